@@ -17,7 +17,6 @@ in the order of their texts; an empty table writes a dictionary and no blocks; o
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +39,12 @@ def train(docs: DataFrame, path: str, end_id: int, width: int, sample_docs: int
     """A zstandard dictionary from a bounded sample of serialized id arrays."""
     import zstandard
 
-    every = max(1, docs.count() // sample_docs)
+    every, end = max(1, docs.count() // sample_docs), end_id.to_bytes(width, "little")
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
     def make():
-        units = Dropped(path)
-        return lambda ids, texts: {"ids": [narrow(x, end_id, width)[: sample_ids * width] for x in units.encode([t or "" for t in texts])]}
+        units = Dropped(path, width)
+        return lambda ids, texts: {"ids": [(x + end)[: sample_ids * width] for x in units.encode([t or "" for t in texts])]}
 
     samples = [bytes(r.ids) for r in map_texts(part, make, "ids binary").collect()]
     try:
@@ -54,10 +53,6 @@ def train(docs: DataFrame, path: str, end_id: int, width: int, sample_docs: int
         return b"".join(samples)[-dict_bytes:] or bytes(16)
 
 
-def narrow(ids: bytes, end_id: int, width: int) -> bytes:
-    return np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes()
-
-
 def write(docs: DataFrame, out: str, path: str, end_id: int = 1, vocabulary: int = 49_408, level: int = 3) -> None:
     """All documents' ids as token-id files under ``out``."""
     import zstandard
@@ -70,7 +65,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 1, vocabulary: int
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        units = Dropped(path)
+        units, end = Dropped(path, width), end_id.to_bytes(width, "little")
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
         part, block, index, frames, at = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -85,7 +80,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 1, vocabulary: int
             for a, b in slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a).to_pylist()
                 for doc, raw in zip(ids, units.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])):
-                    frame = press.compress(body := narrow(raw, end_id, width))
+                    frame = press.compress(body := raw + end)
                     index.append({"doc_id": doc, "offset": at, "length": len(frame), "n_ids": len(body) // width})
                     frames.append(frame)
                     at += len(frame)

@@ -8,7 +8,6 @@ space is not plain (runs of blanks, blanks beside line ends, other spaces at a u
 from __future__ import annotations
 
 import struct
-from collections import ChainMap
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -29,76 +28,112 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-class Units:
-    """Base: how a text is cut, and how missing units are encoded together."""
+@lru_cache(maxsize=4)
+def bare(path: str):
+    """The same without its normaliser."""
+    from tokenizers import Tokenizer, normalizers
+
+    tok = Tokenizer.from_file(path)
+    tok.normalizer = normalizers.Sequence([])
+    return tok
+
+
+class Memo:
+    """Values of units, each learned once while there is room."""
+
+    def __init__(self, room: int = MEMO_UNITS):
+        self.room, self.memo = room, {}
+
+    def learn(self, missing: set[str]) -> dict:
+        """Values of units; one that has none sends its texts the whole way."""
+        raise NotImplementedError
+
+    def values(self, units: list[list[str] | None]) -> list[list | None]:
+        """The remembered value of every unit of every text; None for a text that must go whole."""
+        memo, get = self.memo, self.memo.get
+        found, holes, missing = [], [], set()
+        for u in units:
+            v = None if u is None else list(map(get, u))
+            gaps = []
+            if v is not None and None in v:
+                at = -1
+                try:
+                    while True:
+                        at = v.index(None, at + 1)
+                        gaps.append(at)
+                except ValueError:
+                    missing.update([u[i] for i in gaps])
+            found.append(v)
+            holes.append(gaps)
+        fresh = self.learn(missing)
+        for k, (v, gaps) in enumerate(zip(found, holes)):
+            for i in gaps:
+                if (x := fresh.get(units[k][i])) is None:
+                    found[k] = None
+                    break
+                v[i] = x
+        # when it is full, what came first is what is common, so it stays, and new units serve their batch alone
+        if len(memo) < self.room:
+            memo.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
+        return found
 
-    def __init__(self, path: str, memo_units: int = MEMO_UNITS):
-        self.tok, self.room, self.memo = library(path), memo_units, {}
-        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
+
+class Units(Memo):
+    """Base: how a text is cut, and how missing units are encoded together. ``width``: bytes an id."""
+
+    def __init__(self, path: str, width: int = 4, memo_units: int = MEMO_UNITS):
+        super().__init__(memo_units)
+        self.tok, self.width = library(path), width
+        self.marks = {m: self.packed(self.tok.encode(m, add_special_tokens=False).ids) for m in ",."}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def plain(self, unit: str) -> bool:
         """Whether nothing at the edges of the unit can join its neighbours."""
         raise NotImplementedError
 
-    def learn(self, missing: list[str]) -> dict[str, tuple]:
-        """Ids and spans of units that are not in the memo: many joined in one call, dealt back by their offsets."""
+    def call(self, joined: str):
+        return self.tok.encode(joined, add_special_tokens=False)
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not in the memo: many joined in one call, dealt back by their offsets."""
         # a letter, then one full stop or comma at the end: the cut between them is certain, and the word alone is commoner
         marked = [u for u in missing if u[-1:] in ",." and u[-2:-1].isalpha()]
-        words = {u[:-1] for u in marked}.difference(self.memo)
-        words.update(set(missing).difference(marked))
+        words = missing.difference(marked)
+        words.update({u[:-1] for u in marked}.difference(self.memo))
         out = {}
         plain = list(filter(self.plain, words))
         for a in range(0, len(plain), 256):
             part = plain[a : a + 256]
             joined, begins = self.join(part)
-            enc = self.tok.encode(joined, add_special_tokens=False)
-            spans = np.array(enc.offsets, np.int64).reshape(-1, 2)
-            cuts = np.searchsorted(spans[:, 0], begins).tolist() + [len(spans)]
-            self.deal(out, part, np.array(enc.ids, "<u4"), spans, cuts, begins)
+            enc = self.call(joined)
+            spans = enc.offsets
+            cuts = np.searchsorted(np.array([x[0] for x in spans]), begins).tolist() + [len(spans)]
+            self.deal(out, part, enc.ids, spans, cuts, begins)
         for u in marked:
             if (v := out.get(w := u[:-1]) or self.memo.get(w)) is not None:
                 out[u] = self.add(v, u)
         return out
 
     def deal(self, out, part, ids, spans, cuts, begins) -> None:
-        data = ids.tobytes()
+        data, w = self.packed(ids), self.width
         for u, a, b in zip(part, cuts, cuts[1:]):
-            out[u] = data[4 * a : 4 * b]
+            out[u] = data[w * a : w * b]
 
     def add(self, value, unit: str):
         return value + self.marks[unit[-1]]
 
-    def values(self, units: list[list[str] | None]) -> list[list | None]:
-        """The remembered value of every unit of every text; None for a text that must go whole."""
-        memo = self.memo
-        missing = list(set().union(*[u for u in units if u is not None]).difference(memo))
-        fresh = self.learn(missing)
-        odd = dict.fromkeys(u for u in missing if u not in fresh)
-        if not odd and len(memo) + len(fresh) <= self.room and max(map(len, fresh), default=0) <= MEMO_CHARS:
-            memo.update(fresh)
-            return [None if u is None else list(map(memo.__getitem__, u)) for u in units]
-        # full: what came first is what is common, so it stays, and new units serve this batch alone
-        look = ChainMap(memo, fresh, odd) if len(memo) > 4 * len(fresh) else memo | fresh | odd
-        out = []
-        for u in units:
-            v = None if u is None else list(map(memo.get, u))
-            if v is not None and None in v:
-                v = [look[x] if y is None else y for x, y in zip(u, v)]
-            out.append(None if v is None or None in v else v)
-        if len(memo) < self.room:
-            memo.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
-        return out
-
 
 class Dropped(Units):
     """For vocabularies that drop white space: units are the stretches between blanks and line ends.
 
-    ``low``: the vocabulary lowers texts itself, so that units may be lowered first.
+    ``low``: the vocabulary composes and lowers texts itself, so that units may be lowered first.
     """
 
-    def __init__(self, path: str, low: bool = True, memo_units: int = MEMO_UNITS):
-        super().__init__(path, memo_units)
-        self.low = low
+    def __init__(self, path: str, width: int = 4, low: bool = True, memo_units: int = MEMO_UNITS):
+        super().__init__(path, width, memo_units)
+        self.low, self.bare = low, bare(path)
 
     def plain(self, unit: str) -> bool:
         return True
@@ -107,15 +142,18 @@ class Dropped(Units):
         sizes = np.array([len(u) + 1 for u in part])
         return " ".join(part), np.cumsum(sizes) - sizes
 
+    def call(self, joined: str):
+        # what the normaliser would leave as it is need not pass it
+        done = self.low and joined == joined.lower() and is_normalized("NFC", joined)
+        return (self.bare if done else self.tok).encode(joined, add_special_tokens=False)
+
     def lowered(self, text: str) -> str:
         """In lower case where the library, which composes first and lowers letter by letter, gives the same."""
-        if text.isascii():
-            return text.lower()
         low = text.lower()
-        return low if "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else text
+        return low if text.isascii() or ("Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)) else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned ids of each text."""
         values = self.values([(self.lowered(t) if self.low else t).replace("\n", " ").split(" ") for t in texts])
         return [b"".join(v) for v in values]
 
@@ -128,7 +166,7 @@ class Led(Units):
     """
 
     def __init__(self, path: str, spans: bool = False, memo_units: int = MEMO_UNITS):
-        super().__init__(path, memo_units)
+        super().__init__(path, 4, memo_units)
         self.spans = spans
 
     def plain(self, unit: str) -> bool:
@@ -144,7 +182,7 @@ class Led(Units):
         if not self.spans:
             return super().deal(out, part, ids, spans, cuts, begins)
         counts = np.diff(cuts)
-        data = (spans - np.repeat(begins, counts)[:, None]).astype("<i4").tobytes()
+        data = (np.array(spans, np.int64).reshape(-1, 2) - np.repeat(begins, counts)[:, None]).astype("<i4").tobytes()
         for u, a, b in zip(part, cuts, cuts[1:]):
             out[u] = (b - a, data[8 * a : 8 * b])
 
