@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinoframe.plans import scan_queries
+
+MODULES = (scan_queries,)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE
