@@ -44,13 +44,13 @@ PACKETS = """
 
 def typed_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of few long streams: one stream an event type, in the order of their names."""
-    codes = F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'login' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END")
+    codes = F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END")
     return packets(spark, sf_dir).withColumn("stream_index", codes.cast("long"))
 
 
 TYPED = f"""
-    SELECT * REPLACE (CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'login' THEN 2
-                      WHEN 'purchase' THEN 3 ELSE 4 END AS BIGINT) AS stream_index) FROM ({PACKETS})
+    SELECT * REPLACE (CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
+                      WHEN 'signup' THEN 3 ELSE 4 END AS BIGINT) AS stream_index) FROM ({PACKETS})
 """
 
 
@@ -131,7 +131,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNKS = """
-    SELECT vec_id % 10 AS asset_id, vec_id // 10 AS index, (vec_id // 10) * 4000 AS pts_us, 16000 AS sample_rate,
+    SELECT vec_id % 10 AS asset_id, vec_id // 10 AS "index", (vec_id // 10) * 4000 AS pts_us, 16000 AS sample_rate,
            1 AS channels, embedding AS data
     FROM embeddings
 """
