@@ -17,14 +17,14 @@ MIME = {
 def bitrate_bps(text: Column) -> Column:
     """``2500k``, ``5M`` or a plain number as bits a second; null for anything else."""
     ok = text.rlike(r"^[0-9]+[kKmM]?$")
-    n = F.regexp_extract(text, r"^([0-9]+)", 1).cast("long")
+    n = F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("long")
     unit = F.lower(F.regexp_extract(text, r"([kKmM]?)$", 1))
     return F.when(ok, n * F.when(unit == "k", 1000).when(unit == "m", 1_000_000).otherwise(1))
 
 
 def seconds_us(text: Column) -> Column:
     """Strict decimal seconds (digits, a point, up to 6 digits) as microseconds; null for anything else."""
-    return F.when(text.rlike(r"^[0-9]{1,9}(\.[0-9]{1,6})?$"), (text.cast("decimal(16,6)") * MICROS).cast("long"))
+    return F.when(text.rlike(r"^[0-9]{1,9}(\.[0-9]{1,6})?$"), (text.try_cast("decimal(16,6)") * MICROS).cast("long"))
 
 
 def gop_frames(fps_num: Column, fps_den: Column, segment_us: int) -> Column:
@@ -63,28 +63,28 @@ def nearest(words: DataFrame, options: DataFrame, most: int = 2) -> DataFrame:
 def timecode_ms(text: Column) -> Column:
     """``h:m:s.c`` as milliseconds; the last field counts hundredths whatever its digits. Null where a field is missing."""
     shape = r"^\s*([+-]?[0-9]+):\s*([+-]?[0-9]+):\s*([+-]?[0-9]+)\.\s*([+-]?[0-9]+)"
-    part = [F.regexp_extract(text, shape, i).cast("long") for i in (1, 2, 3, 4)]
+    part = [F.regexp_extract(text, shape, i).try_cast("long") for i in (1, 2, 3, 4)]
     return F.when(text.rlike(shape), ((part[0] * 60 + part[1]) * 60 + part[2]) * 1000 + part[3] * 10)
 
 
 def srt_ms(text: Column) -> Column:
     """``hh:mm:ss,mmm`` as milliseconds."""
     shape = r"^([0-9]+):([0-9]{2}):([0-9]{2})[,.]([0-9]{3})$"
-    part = [F.regexp_extract(text, shape, i).cast("long") for i in (1, 2, 3, 4)]
+    part = [F.regexp_extract(text, shape, i).try_cast("long") for i in (1, 2, 3, 4)]
     return F.when(text.rlike(shape), ((part[0] * 60 + part[1]) * 60 + part[2]) * 1000 + part[3])
 
 
 def packed_colour(text: Column) -> Column:
     """``&HAABBGGRR`` as a struct of red, green, blue and transparency; nothing hexadecimal gives 0."""
     digits = F.regexp_extract(text, r"^\s*[&H]*(?:0[xX])?([0-9a-fA-F]+)", 1)
-    v = F.coalesce(F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long"), F.lit(0))
+    v = F.coalesce(F.conv(F.right(digits, F.lit(8)), 16, 10).try_cast("long"), F.lit(0))
     byte = lambda n: F.shiftright(v, n).bitwiseAND(F.lit(255)).cast("int")
     return F.struct(byte(0).alias("r"), byte(8).alias("g"), byte(16).alias("b"), byte(24).alias("t"))
 
 
 def is_yes(text: Column) -> Column:
     """True for what begins with ``yes`` in any case, or with a whole number above 0."""
-    return (F.lower(F.substring(text, 1, 3)) == "yes") | (F.coalesce(F.regexp_extract(text, r"^\s*([+-]?[0-9]{1,9})", 1).cast("int"), F.lit(0)) > 0)
+    return (F.lower(F.substring(text, 1, 3)) == "yes") | (F.coalesce(F.regexp_extract(text, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0)) > 0)
 
 
 def keypad_alignment(n: Column) -> Column:

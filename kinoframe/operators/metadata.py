@@ -36,7 +36,7 @@ def entries(rows: DataFrame, m: str, *keep: str) -> DataFrame:
 
 def channel_of(key: Column) -> Column:
     """Channel number of a key that ends in ``.N``; null for others."""
-    return F.when(key.rlike(r"\.[0-9]+$"), F.regexp_extract(key, r"\.([0-9]+)$", 1).cast("int"))
+    return F.when(key.rlike(r"\.[0-9]+$"), F.regexp_extract(key, r"\.([0-9]+)$", 1).try_cast("int"))
 
 
 def clipped_chapters(chapters: DataFrame, start_us: int, duration_us: int) -> DataFrame:

@@ -40,7 +40,7 @@ def styles(scripts: DataFrame) -> DataFrame:
     names = F.when(F.col("line").startswith("Format:"), F.transform(F.split(F.substring("line", 8, 1 << 30), ","), lambda x: F.lower(F.trim(x))))
     w = Window.partitionBy("script_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_names", F.last(names, ignorenulls=True).over(w)).where(F.col("line").startswith("Style:"))
-    values = F.transform(F.split(F.substring("line", 7, 1 << 30), ","), F.trim)
+    values = F.transform(F.split(F.substring("line", 7, 1 << 30), ","), lambda x: F.trim(x))
     n = F.least(F.size("_names"), F.size(values))
     fields = F.map_from_arrays(F.slice("_names", F.lit(1), n), F.slice(values, F.lit(1), n))
     out = rows.select("script_id", F.col("line_no").alias("place"), fields.alias("fields"))

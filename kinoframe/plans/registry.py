@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinoframe.plans import scan_queries, timeline_queries
+from kinoframe.plans import media_queries, scan_queries, timeline_queries
 
-MODULES = (scan_queries, timeline_queries)
+MODULES = (scan_queries, timeline_queries, media_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

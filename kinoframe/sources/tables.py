@@ -77,7 +77,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return part.select(
         F.col("p_brand").alias("asset_id"),
-        (F.col("p_partkey") - 1).alias("stream_index"),
+        F.col("p_partkey").alias("stream_index"),
         F.expr("CASE p_size % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' ELSE 'subtitle' END").alias("kind"),
         (F.col("p_size") * 16).cast("long").alias("width"),
         (F.col("p_size") * 9).cast("long").alias("height"),
@@ -89,7 +89,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAMS = """
-    SELECT p_brand AS asset_id, p_partkey - 1 AS stream_index,
+    SELECT p_brand AS asset_id, p_partkey AS stream_index,
            CASE p_size % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' ELSE 'subtitle' END AS kind,
            CAST(p_size * 16 AS BIGINT) AS width, CAST(p_size * 9 AS BIGINT) AS height,
            p_partkey % 5 = 0 AS is_default, p_partkey % 11 = 0 AS attached_pic, p_partkey % 7 <> 0 AS has_packets,
