@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from kinoframe.llm.base import scratch, stored
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a partition's store is closed when its batch is committed, so that only those at work hold local files.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -59,8 +62,9 @@ def keeper() -> Column:
 def state_of(spark: SparkSession, staged: str, schema, per_trigger: dict | None) -> DataFrame:
     """Runs the stream over staged digests to the end; (digest, keep, n)."""
     states, place = scratch(spark, "dedup-states"), scratch(spark, "dedup-stream")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         for k, v in (per_trigger or {}).items():
@@ -76,7 +80,8 @@ def state_of(spark: SparkSession, staged: str, schema, per_trigger: dict | None)
         )
         stream.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     found = spark.read.schema("digest string, keep struct<no_id: boolean, doc_id: long, _file: string, _row: long>, n long, batch int").parquet(states)
     # later states of a digest only have a smaller row to keep and a greater count
     return found.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n"))
