@@ -101,7 +101,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
     # full bytes on hits
     shared = state.where("n > 1").select("digest", "keep")
-    hits = texts.withColumn("digest", digest(F.col("text")).cast("string")).join(shared, "digest")
+    hits = stored(texts.withColumn("digest", digest(F.col("text")).cast("string")).join(shared, "digest"), "dedup-hits")
     stay = (F.col("_file") == F.col("keep._file")) & (F.col("_row") == F.col("keep._row"))
     kept_bytes = hits.where(stay).select("digest", F.col("text").alias("kept_text"))
     other = stored(hits.where(~stay).join(kept_bytes, "digest").where("text <> kept_text").select("doc_id", "_file", "_row", "digest", "text"), "dedup-collided")
