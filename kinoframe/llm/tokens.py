@@ -99,7 +99,8 @@ class Units(Memo):
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of units that are not in the memo: many joined in one call, dealt back by their offsets."""
         # a letter, then one full stop or comma at the end: the cut between them is certain, and the word alone is commoner
-        marked = [u for u in missing if u[-1:] in ",." and u[-2:-1].isalpha()]
+        # (a letter still in lower case: that of a dotted capital I ends in a mark, which joins the stop)
+        marked = [u for u in missing if u[-1:] in ",." and u[-2:-1].lower().isalpha()]
         words = missing.difference(marked)
         words.update({u[:-1] for u in marked}.difference(self.memo))
         out = {}
