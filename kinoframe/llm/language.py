@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinoframe.llm.base import map_texts, only
+from kinoframe.llm.tokens import MEMO_CHARS, MEMO_UNITS, Memo
 
 LENGTHS = (5, 4, 3, 2, 1)
-#: Units a worker remembers, and their greatest length in characters.
-MEMO_UNITS, MEMO_CHARS = 400_000, 40
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters of a text in lower case."""
-    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    low = text.lower()
+    return [low] if low.isalpha() else "".join([c if c.isalpha() else " " for c in low]).split()
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -48,60 +48,55 @@ class Model:
     words: dict[str, list[float]] = field(default_factory=dict)
     grams: dict[str, list[float]] = field(default_factory=dict)
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> list[float]:
         """Log frequency of a word in each language, by backoff."""
         if (known := self.words.get(w)) is not None:
-            return np.array(known)
+            return known
+        look = self.grams.get
         for n in LENGTHS:
-            if found := [x for g in grams_of(w, n) if (x := self.grams.get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if found := [x for g in grams_of(w, n) if (x := look(g)) is not None]:
+                k = len(found)
+                return found[0] if k == 1 else [sum(column) / k for column in zip(*found)]
+        return [0.0] * len(self.langs)
 
     def predictor(self):
         """Texts -> (language, score)."""
-        memo: dict[str, int] = {}
-        table = np.zeros((1024, len(self.langs) + 1))  # the last column counts words
-
-        def unit(u: str) -> np.ndarray:
-            out = np.zeros(table.shape[1])
-            for w in words_of(u):
-                out[:-1] += self.word(w)
-                out[-1] += 1
-            return out
-
-        def predict(texts):
-            nonlocal table
-            out = []
-            for t in texts:
-                units = t.split() if t else []
-                rows = list(map(memo.get, units))
-                odd = np.zeros(table.shape[1])
-                if None in rows:
-                    for i, r in enumerate(rows):
-                        if r is None:
-                            u = units[i]
-                            if (k := memo.get(u)) is None:
-                                v = unit(u)
-                                if len(memo) < MEMO_UNITS and len(u) <= MEMO_CHARS:
-                                    memo[u] = k = len(memo)
-                                    if k >= len(table):
-                                        table = np.concatenate([table, np.zeros_like(table)])
-                                    table[k] = v
-                                else:
-                                    odd += v
-                                    continue
-                            rows[i] = k
-                    rows = [r for r in rows if r is not None]
-                total = table[rows].sum(axis=0) + odd if rows else odd
-                if not self.langs or total[-1] == 0:
-                    out.append(("und", 0.0))
-                    continue
-                x = total[:-1]
-                best = int(np.argmax(x))  # the first of equals is the commonest language
-                out.append((self.langs[best], float(1 / np.exp(np.clip(x - x[best], -60, 0)).sum())))
-            return out
-
-        return predict
+        return Predictor(self).predict
+
+
+class Predictor(Memo):
+    """Remembers the rows of a table: a unit's sums over its words, and in the last column its number of words."""
+
+    def __init__(self, model: Model, room: int = MEMO_UNITS):
+        super().__init__(room)
+        self.model, self.table = model, np.zeros((4096, len(model.langs) + 1))
+
+    def learn(self, missing: set[str]) -> dict[str, int]:
+        # what will be remembered comes first, so that the rows after it are free again for the next batch
+        order = sorted(missing, key=lambda u: len(u) > MEMO_CHARS)
+        base = len(self.memo)
+        rows = []
+        for u in order:
+            words = words_of(u)
+            sums = [self.model.word(w) for w in words]
+            rows.append([*(sums[0] if len(sums) == 1 else map(sum, zip(*sums)) if sums else [0.0] * len(self.model.langs)), len(words)])
+        while len(self.table) < base + len(rows):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if rows:
+            self.table[base : base + len(rows)] = rows
+        return {u: base + i for i, u in enumerate(order)}
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, langs = [], self.model.langs
+        for rows in self.values([t.split() if t else [] for t in texts]):
+            total = self.table[rows].sum(axis=0) if rows else None
+            if not langs or total is None or total[-1] == 0:
+                out.append(("und", 0.0))
+                continue
+            x = total[:-1]
+            best = int(np.argmax(x))  # the first of equals is the commonest language
+            out.append((langs[best], float(1 / np.exp(np.clip(x - x[best], -60, 0)).sum())))
+        return out
 
 
 def held_out(part: int = 0, of: int = 5):
