@@ -50,6 +50,9 @@ def attribute(spans: np.ndarray, begins: np.ndarray, ends: np.ndarray, rule: str
     counts, crossing = np.zeros(k + 1), np.zeros(k + 1, np.int64)
     if not len(spans):
         return counts, crossing
+    if not k:
+        counts[0] = len(spans)
+        return counts, crossing
     a, b = spans[:, 0], np.maximum(spans[:, 1], spans[:, 0] + 1)
     # the first section that ends after a token begins, and the last that begins before it ends
     first = np.searchsorted(ends, a, "right")
@@ -122,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, rule: str = "start", cut: Callable[
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text) with the (doc_id, begin, end) rows of a table of fields gathered as arrays, in order."""
     gathered = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("begin"), F.col("end")))).alias("s"))
-    return docs.join(gathered, "doc_id", "left").select("doc_id", "text", F.coalesce("s.begin", F.array()).alias("begins"), F.coalesce("s.end", F.array()).alias("ends"))
+    return docs.join(gathered, "doc_id", "left").select("doc_id", "text", *[F.coalesce(F.transform("s", lambda x, k=k: x[k].cast("int")), F.array().cast("array<int>")).alias(f"{k}s") for k in ("begin", "end")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
