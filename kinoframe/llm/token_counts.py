@@ -125,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, rule: str = "start", cut: Callable[
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text) with the (doc_id, begin, end) rows of a table of fields gathered as arrays, in order."""
     gathered = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("begin"), F.col("end")))).alias("s"))
-    return docs.join(gathered, "doc_id", "left").select("doc_id", "text", *[F.coalesce(F.transform("s", lambda x, k=k: x[k].cast("int")), F.array().cast("array<int>")).alias(f"{k}s") for k in ("begin", "end")])
+    return docs.join(gathered, "doc_id", "left").select("doc_id", "text", *[F.coalesce(F.col(f"s.{k}").cast("array<int>"), F.array().cast("array<int>")).alias(f"{k}s") for k in ("begin", "end")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
