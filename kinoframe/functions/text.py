@@ -13,6 +13,9 @@ MIME = {
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "txt": "text/plain",
 }
 
+#: Options that a word is compared with at most.
+MOST_OPTIONS = 10_000
+
 
 def bitrate_bps(text: Column) -> Column:
     """``2500k``, ``5M`` or a plain number as bits a second; null for anything else."""
@@ -53,8 +56,10 @@ def master_playlist(variants: DataFrame, version: int = 3) -> DataFrame:
 def nearest(words: DataFrame, options: DataFrame, most: int = 2) -> DataFrame:
     """Each word's nearest option by edit distance, if within ``most``; the first option wins ties.
 
-    ``words``: (word); ``options``: (place, option), a table of options that is small by nature and broadcast.
+    ``words``: (word); ``options``: (place, option), at most ``MOST_OPTIONS`` rows, which are counted before they are broadcast.
     """
+    if (n := options.count()) > MOST_OPTIONS:
+        raise ValueError(f"{n} options; at most {MOST_OPTIONS} are compared with every word")
     pairs = words.join(F.broadcast(options), F.abs(F.length("word") - F.length("option")) <= most)
     near = pairs.withColumn("distance", F.levenshtein("word", "option")).where(F.col("distance") <= most)
     return near.groupBy("word").agg(F.min(F.struct("distance", "place", "option")).alias("n")).select("word", "n.option", "n.distance")

@@ -57,7 +57,9 @@ def discontinuities(packets: DataFrame, forward_us: int = 10_000_000, back_us: i
 
 def start_offsets(packets: DataFrame) -> DataFrame:
     """Each asset's packets moved so that its earliest stream starts at zero."""
-    return packets.withColumn("out_us", F.col("pts_us") - F.min("pts_us").over(Window.partitionBy("asset_id")))
+    # a partial aggregate and a join, not a window: an asset's packets need not meet in one task
+    first = packets.groupBy("asset_id").agg(F.min("pts_us").alias("_first"))
+    return packets.join(first, "asset_id").withColumn("out_us", F.col("pts_us") - F.col("_first")).drop("_first")
 
 
 def filled_pts(packets: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def interleaved(packets: DataFrame) -> DataFrame:
 def shortest(packets: DataFrame, limiting: list[int]) -> DataFrame:
     """All streams cut at the earliest end among the limiting ones: packets that end by then stay."""
     cut = packets.where(F.col(STREAM).isin(limiting)).groupBy("asset_id", STREAM).agg(F.max("end_us").alias("last")).groupBy("asset_id").agg(F.min("last").alias("cut_us"))
-    return packets.join(F.broadcast(cut), "asset_id").where("end_us <= cut_us").drop("cut_us")
+    return packets.join(cut, "asset_id").where("end_us <= cut_us").drop("cut_us")
 
 
 def progress(packets: DataFrame, active: list[int]) -> DataFrame:
