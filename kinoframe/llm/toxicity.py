@@ -9,7 +9,8 @@ distances of a text (greatest, second, mean, share above 2, number of windows) a
 logistic regression on labelled texts that neither dictionary has seen (by folds).
 
 Fitting uses a bounded sample of labelled rows: ``toxic_docs`` and ``ordinary_docs`` in expectation, picked by a hash of
-the id. Scoring reads every whole text.
+the id. Each class is thinned at its own rate, so the calibration weights a row by its class's sampling interval: a
+probability, and with it the threshold, means the same whatever the sample. Scoring reads every whole text.
 
 Defined results: a null, empty or blank text is one empty window; repeated rows score alike; labels that are null or
 whose documents are missing are not used; if a document has several labels the greatest counts; without both classes in
@@ -107,12 +108,13 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[:size]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+    """Coefficients; a row counts ``weight`` times."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
     return w
 
 
@@ -127,8 +129,12 @@ def dictionaries(rows: list[tuple[int, str, int]], size: int, base_bytes: int, m
     return dictionary(hot, size) + base, dictionary(cold, size) + base
 
 
-def fit(rows: list[tuple[int, str, int]], size: int = 1536, base_bytes: int = 250_000, mark_z: float = 6.0, folds: int = 4, **shape) -> Model:
-    """The model from (id, text, label) rows. Each fold is scored by dictionaries of the others, for the calibration."""
+def fit(rows: list[tuple[int, str, int]], size: int = 1536, base_bytes: int = 250_000, mark_z: float = 6.0, folds: int = 4, every: dict[int, int] | None = None, **shape) -> Model:
+    """The model from (id, text, label) rows. Each fold is scored by dictionaries of the others, for the calibration.
+
+    ``every`` has the sampling interval of each label, if the rows are a sample.
+    """
+    every = every or {1: 1, 0: 1}
     rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     random.Random(7).shuffle(rows)
     x, y, model = [], [], Model(**shape)
@@ -140,7 +146,7 @@ def fit(rows: list[tuple[int, str, int]], size: int = 1536, base_bytes: int = 25
             y += [r[2] for r in own]
     if x:
         model.toxic, model.ordinary = dictionaries(rows, size, base_bytes, mark_z)
-        model.weights = logistic(np.array(x), np.array(y, float)).tolist()
+        model.weights = logistic(np.array(x), np.array(y, float), np.array([every[k] for k in y], float)).tolist()
     return model
 
 
@@ -157,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, ordinary_d
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.when(F.col("toxic") == 1, every[1]).otherwise(every[0])) == 0)
     # at most about toxic_docs + ordinary_docs ids, whatever the input
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    return fit([tuple(r) for r in rows], **shape)
+    return fit([tuple(r) for r in rows], every=every, **shape)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

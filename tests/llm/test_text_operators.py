@@ -200,3 +200,14 @@ def test_toxicity_scores_every_text(spark, docs, nothing):
     assert scores[9] > scores[1] and scores[1] == scores[5] and scores[2] == scores[3] == scores[4]
     assert toxicity.score(only(nothing, "doc_id", "text"), model).count() == 0
     assert {r.score for r in toxicity.score(train, toxicity.train(train, labels.where("toxic = 0"))).collect()} == {0.0}
+
+
+def test_toxicity_threshold_is_the_same_on_a_thinned_sample(spark, monkeypatch):
+    # of texts of two windows one in five is toxic, which is less than the threshold however few ordinary ones are sampled
+    monkeypatch.setattr(toxicity, "features", lambda d: (1.0, float(len(d) > 1)))
+    data = [(i, "plain ordinary words " * (5 if i % 5 == 0 else 1) + str(i)) for i in range(2000)]
+    texts = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 25 == 0)) for i, _ in data], "doc_id long, toxic int")
+    for most in ({}, {"ordinary_docs": 350}, {"toxic_docs": 30}):
+        short, long = toxicity.train(texts, labels, **most).scorer()([data[1][1], data[0][1]])
+        assert short < 0.02 and 0.12 < long < 0.28, most
