@@ -2,9 +2,10 @@
 
 Pieces of equal length are interchangeable, so the problem is a histogram of at most ``capacity`` lengths, however many
 documents there are. That histogram (never a row a document) is packed by branch and bound: around the largest length
-left, enumerate the undominated fillings of the bin, drop those whose waste cannot beat the incumbent, take the tightest
-first, and apply a filling as often as the counts allow. The first incumbent is best-fit decreasing; the search ends at
-the lower bound ceil(sum / capacity) or after ``nodes`` fillings. The plan is a short list of stretches (length, ranks
+left, enumerate the undominated fillings of the bin, of any number of members, drop those whose waste cannot beat the
+incumbent, take the tightest first, and apply a filling as often as the counts allow. The first incumbent is best-fit
+decreasing; the search ends at the lower bound ceil(sum / capacity), after ``nodes`` fillings applied or undone, or after
+``tries`` fillings looked at. The plan is a short list of stretches (length, ranks
 from-to, sequence, offset); pieces find their place by their rank among pieces of their length. Ranks come from counts
 by (length, salt), so a length that holds a third of all pieces is numbered in many tasks.
 
@@ -71,53 +72,82 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return out
 
 
-def fillings(left: np.ndarray, largest: int, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated completions of a bin around ``largest`` of up to three more lengths, tightest first.
+def spread(bits: int, width: int) -> int:
+    """``bits`` shifted by 0 to ``width``."""
+    done = 1
+    while done <= width:
+        step = min(done, width + 1 - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(s: tuple[int, ...], waste: int, spare: int) -> bool:
+    """Whether one of the ``spare`` lengths (a bitset) can come into a filling, alone or for members it could hold."""
+    one = two = 0  # sums of one member, and of more
+    for n in s:
+        two |= (two | one) << n
+        one |= 1 << n
+    larger = spread(one, waste - 1) << 1 if waste else 0
+    return bool(spare & (spread(two, waste) | larger | (1 << waste + 1) - 1))
 
-    A set dominates another whose members can be dealt into its members' sizes; so a single length dominates all sets
-    of no greater sum, and of two pairs the one that is larger in both.
-    """
-    room = capacity - largest
-    have = np.flatnonzero(left[: room + 1])
-    if not have.size:
-        return [()]
-    top = int(have[-1])
-    found: list[tuple[int, ...]] = [(top,)]
-    if top == room:
-        return found
-    down = np.zeros(room + 1, np.int64)  # the greatest length at hand up to a size, 0 for none
-    down[have] = have
-    down = np.maximum.accumulate(down)
-
-    def fits(s: tuple[int, ...]) -> bool:
-        return all(left[n] >= s.count(n) for n in set(s))
-
-    xs = have[::-1]
-    ys = down[room - xs]
-    ok = (ys > 0) & (ys <= xs) & (xs + ys > top)
-    pairs = [(int(x), int(y)) for x, y in zip(xs[ok], ys[ok]) if x != y or left[x] > 1]
-    best = 0
-    for x, y in pairs:  # x falls, so a pair whose y is no greater than an earlier one's is dominated
-        if y > best:
-            found.append((x, y))
-            best = y
-    tight = max(sum(s) for s in found)
-    if tight < room:
-        for x in xs[:24]:
-            x = int(x)
-            mids = have[(have <= x) & (have < room - x)][::-1][:64]
-            for y in mids:
-                z = int(down[room - x - int(y)])
-                if 0 < z <= y and x + int(y) + z > tight and fits(s := (x, int(y), z)):
-                    found.append(s)
-                    tight = sum(s)
-            if tight == room:
-                break
-    found.sort(key=lambda s: (-sum(s), len(s)))
-    return found[:most]
 
+def fillings(left: np.ndarray, largest: int, capacity: int, slack: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated completions of a bin around ``largest`` that waste at most ``slack``, tightest first, then by the
+    largest members; None for each dominated one that was looked at.
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_000, branch: int = 3) -> list[tuple[tuple[int, ...], int]]:
+    A set dominates another whose members can be dealt into its members' sizes. ``left`` must be as it was whenever the
+    next one is asked for: the table of sums is made again then, as one for each open choice would fill the memory.
+    """
+    room = capacity - largest
+    now: list[list[int]] = []  # lengths at hand, how many of each can go in, bitsets of the sums of the first i lengths
+
+    def look() -> None:
+        here = np.flatnonzero(left[: room + 1])
+        count = left[here] - (here == largest)
+        here, count = here[count > 0], count[count > 0]
+        most = np.minimum(count, room // here).tolist()
+        sums = [1]
+        for n, c in zip(here.tolist(), most):
+            s, part = sums[-1], 1
+            while c:
+                part = min(part, c)
+                s |= s << n * part
+                c, part = c - part, 2 * part
+            sums.append(s & (1 << room + 1) - 1)
+        now[:] = here.tolist(), most, sums
+
+    def deal(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Members of the first ``i`` lengths with exactly this sum."""
+        if not total:
+            yield ()
+            return
+        while i and now[2][i] >> total & 1:
+            i -= 1
+            n = now[0][i]
+            for m in range(min(now[1][i], total // n), 0, -1):
+                if now[2][i] >> (total - m * n) & 1:
+                    for rest in deal(i, total - m * n):
+                        yield (n,) * m + rest
+
+    look()
+    small = 0  # sum of all lengths that fit into the waste, which therefore must be members
+    for waste in range(min(slack, room) + 1):
+        small += sum(n * c for n, c in zip(now[0], now[1]) if n == waste)
+        if small > room - waste:
+            break
+        if now[2][-1] >> (room - waste) & 1:
+            for s in deal(len(now[0]), room - waste):
+                spare = sum(1 << n for n, c in zip(now[0], now[1]) if c > s.count(n))
+                if dominated(s, waste, spare):
+                    yield None
+                else:
+                    now.clear()
+                    yield s
+                    look()
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_000, tries: int = 100_000) -> list[tuple[tuple[int, ...], int]]:
     """The fewest bins found for a histogram {length: count}: fillings and how often each is used."""
     counts = {n: c for n, c in counts.items() if c > 0}
     total = sum(n * c for n, c in counts.items())
@@ -129,23 +159,26 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_00
         left[n] = c
 
     used, bins, waste, budget = [], 0, 0, nodes
-    stack: list[tuple[list, tuple | None]] = []  # open choices, the filling applied at this depth
+    stack: list[tuple[Iterator, tuple | None]] = []  # open choices, the filling applied at this depth
     options = None
-    while most > least and budget > 0:
+    while most > least and budget > 0 and tries > 0:
         if options is None:
             here = np.flatnonzero(left)
             if not here.size:
                 if bins < most:
                     best, most = list(used), bins
-                options = []
+                options = iter(())
             else:
                 big = int(here[-1])
-                left[big] -= 1
-                options = [(big, *s) for s in fillings(left, big, capacity, branch)][::-1]
-                left[big] += 1
+                options = fillings(left, big, capacity, (most - 1) * capacity - total - waste)
         step = None
-        while options:
-            s = options.pop()
+        for s in options:
+            tries -= 1
+            if tries < 0:
+                break
+            if s is None:
+                continue
+            s = (int(np.flatnonzero(left)[-1]), *s)
             times = min(int(left[n]) // s.count(n) for n in set(s))
             lost = waste + times * (capacity - sum(s))
             # bins can only be saved while the waste stays below what one bin fewer allows

@@ -97,6 +97,13 @@ def test_completion_finds_what_best_fit_misses():
     assert bins_of(packing.complete(dict(counts), 100)) == -(-total // 100)
 
 
+def test_completion_fills_a_bin_with_many_pieces():
+    assert bins_of(packing.complete({300: 1000, 181: 4000})) == 1000
+    # eleven further pieces of two lengths
+    assert bins_of(packing.complete({500: 700, 44: 700 * 6, 52: 700 * 5}, 1024)) == 700
+    assert set(packing.fillings(np.bincount([7, 2, 2, 2, 3], minlength=14), 7, 13, 6)) - {None} == {(2, 2, 2), (3, 2)}
+
+
 def test_hot_length_is_ranked_whole(spark):
     parts = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "CAST(CASE WHEN id % 3 = 0 THEN 512 ELSE 1 + id % 700 END AS int) AS length", "id AS ids_crc32")
     got = packing.pack(parts).collect()
