@@ -4,13 +4,16 @@ A word seen in training scores by its log frequency in each language. An unseen
 its n-grams of the greatest length of which any is known score by their mean log frequency, else the next shorter
 length, down to single letters. A text sums its words; the score is the softmax of that sum over the languages.
 
-Word and n-gram tables come from a bounded sample of labelled rows (``sample_docs`` in expectation, by a hash of the
-id), counted by Spark; of each the ``most_words`` and ``most_grams`` commonest a language are kept. All else covers all
+Word and n-gram tables come from a bounded sample of labelled rows, by a hash of the id and counted by Spark: each language
+has an equal part of ``sample_docs``, at least ``least_docs``, and is thinned at its own rate to between once and twice
+that part; a language with fewer rows is read whole. An item that a language lacks has the same frequency in all of
+them, so that having few rows is no advantage. Of each table the ``most_words`` and ``most_grams`` commonest a language are kept. All else covers all
 rows and whole texts.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text if nothing could be
 learned; a text of letters that no table knows gets the language with most training rows; ties go to that language
-too, then to the first by name. Null languages are not learned from. A null id is never held out.
+too, then to the first by name. Null languages, and those
+whose sampled texts have no word, are not learned from. A null id is never held out.
 """
 
 from __future__ import annotations
@@ -145,19 +148,23 @@ def frequencies(counts: DataFrame, langs: list[str], by: str, most: int, least:
     for r in rows:
         seen.setdefault(r["item"], [0] * len(langs))[place[r["lang"]]] = r["n"]
         totals[size(r["item"]), place[r["lang"]]] += r["n"]
-    return {w: [math.log((c + 0.5) / (totals[size(w), i] + 0.5 * len(seen))) for i, c in enumerate(cs)] for w, cs in seen.items()}
+    # half an item in the language with most of them; as a share it holds for all, also for one without any
+    largest = {n: max(totals[n, i] for i in range(len(langs))) for n, _ in totals}
+    share = lambda c, n, i: c / totals[n, i] if c else 0.0
+    return {w: [math.log((share(c, n, i) * largest[n] + 0.5) / (largest[n] + 0.5 * len(seen))) for i, c in enumerate(cs)] for w, cs in seen.items() for n in (size(w),)}
 
 
-def train(docs: DataFrame, sample_docs: int = 12_000, most_words: int = 20_000, most_grams: int = 4_000) -> Model:
+def train(docs: DataFrame, sample_docs: int = 12_000, least_docs: int = 500, most_words: int = 20_000, most_grams: int = 4_000) -> Model:
     """A model from a bounded sample of the labelled rows (doc_id, text, lang) that are not held out."""
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model()
-    langs = sorted(sizes, key=lambda k: (-sizes[k], k))
-    every = max(1, sum(sizes.values()) // sample_docs)
-    words = counted(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).cache()
+    part = max(1, least_docs, sample_docs // len(sizes))
+    every = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, n // part))])
+    words = counted(known.where(F.pmod(F.xxhash64("doc_id"), every[F.col("lang")]) == 0)).cache()
     try:
+        langs = sorted((r["lang"] for r in words.select("lang").distinct().collect()), key=lambda k: (-sizes[k], k))
         return Model(langs, frequencies(words, langs, "words", most_words, 2), frequencies(gram_counts(words), langs, "grams", most_grams, 1))
     finally:
         words.unpersist()

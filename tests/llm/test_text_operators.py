@@ -174,6 +174,20 @@ def test_language_learns_and_backs_off(spark, tongues, docs, nothing):
     assert {r.lang_pred for r in language.predict(only(docs, "doc_id", "text"), language.train(nothing)).collect()} == {"und"}
 
 
+def test_language_with_few_rows_is_learned_from_a_sample(spark, tongues):
+    few = spark.createDataFrame([(i, "kissa koira talo", "fi") for i in range(1000, 1006)] + [(i, "12 34", "none") for i in range(2000, 2009)], tongues.schema)
+    model = language.train(tongues.unionByName(few), sample_docs=6)
+    assert set(model.langs) == {"en", "de", "fi"}
+    assert [x for x, _ in model.predictor()(["koira talo", "the which", "nicht werden"])] == ["fi", "en", "de"]
+
+
+def test_language_with_few_rows_does_not_take_rare_words(spark):
+    counts = spark.createDataFrame([("en", "the", 100_000), ("en", "rare", 2), ("fi", "talo", 5), ("fi", "the", 1)], "lang string, item string, n long")
+    found = language.frequencies(counts, ["en", "fi", "none"], "words", 100, 2)
+    assert found["rare"][0] > found["rare"][1] == found["rare"][2]
+    assert found["talo"][1] > found["talo"][0] == found["talo"][2]
+
+
 def test_language_held_out_accuracy(spark):
     from tests.conftest import SF
 
