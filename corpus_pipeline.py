@@ -2,48 +2,61 @@
 
 Language ID, toxicity, exact deduplication and near-duplicate removal return the columns of ``documents``; packing
 returns pieces with their places. Belongs to ``kinoframe.llm``.
+
+Every stage decides row by row: rows that share an id are judged each by its own text, and so are rows with a null id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinoframe.llm import exact_dedup, language, packing, simhash, toxicity
-from kinoframe.llm.base import cut, only, stored
+from kinoframe.llm.base import free_name, only, stored, with_found
 
 #: The stages train models and follow links, which SQL cannot say; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``gone``."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone_id")), F.col("doc_id") == F.col("_gone_id"), "left_anti")
+def kept_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of ``docs`` whose text the function that ``make`` gives finds true."""
+    name = free_name(docs, "_keep")
+    return with_found(docs, make, name, "boolean").where(F.col(name)).drop(name)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: a null text, or one without a letter, goes."""
     model = language.train(docs.select("doc_id", "text", "lang"))
-    found = cut(language.predict(only(docs, "doc_id", "text"), model).where("lang_pred = 'und'").select("doc_id").distinct())
-    return without(docs, found)
+
+    def make():
+        predict = model.predictor()
+        return lambda texts: [lang != "und" for lang, _ in predict(texts)]
+
+    return kept_rows(docs, make)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     texts = only(docs, "doc_id", "text")
     model = toxicity.train(texts, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, cut(toxicity.score(texts, model).where("predicted = 1").select("doc_id").distinct()))
+
+    def make():
+        score = model.scorer()
+        return lambda texts: [x < toxicity.THRESHOLD for x in score(texts)]
+
+    return kept_rows(docs, make)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id."""
+    """Of equal texts, the one with the smallest doc_id, null ids last."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id."""
-    found = simhash.near_duplicates(only(docs, "doc_id", "text"))
-    return without(docs, cut(found.where("doc_id <> component_id").select("doc_id").distinct()))
+    """Of each component of near-duplicates, the document with the smallest doc_id, null ids last."""
+    return simhash.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

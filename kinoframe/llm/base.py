@@ -79,6 +79,28 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]],
     return docs.mapInArrow(run, parsed)
 
 
+def with_found(docs: DataFrame, make: Callable[[], Callable[[list], list]], name: str, kind: str) -> DataFrame:
+    """The rows of ``docs``, each with what a Python function finds in its text, as a last column ``name``.
+
+    ``make`` runs once a task and gives a function texts -> values. Nothing is joined, so rows need no key.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    at, value = docs.columns.index("text"), _parse_datatype_string(kind)
+    schema = StructType([*docs.schema.fields, StructField(name, value)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, arrow = make(), to_arrow_type(value)
+        for batch in batches:
+            texts = batch.column(at)
+            for a, b in slices(texts):
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(work(rows.column(at).to_pylist()), arrow)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes."""
     import pyarrow.compute as pc

@@ -121,7 +121,12 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     if not has_locator(docs):
         docs = stored(docs, "dedup-input")
-    gone = groups(docs, **options).where("not kept").select("_file", "_row")
+    return without_rows(docs, groups(docs, **options).where("not kept"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """A plain Parquet scan less the rows whose locators (_file, _row) are in ``gone``."""
+    gone = gone.select("_file", "_row")
     file, row = "_dedup_file", "_dedup_row"
     here = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     return here.join(gone, (F.col(file) == gone["_file"]) & (F.col(row) == gone["_row"]), "left_anti").drop(file, row)

@@ -13,7 +13,7 @@ goes down level by level for all fingerprints of a batch at once, adds up the di
 prunes whole groups above ``distance``, and takes whole groups that must lie within it. Fingerprints that are linked
 already are not compared again, and a bucket yields a spanning set of links, not all pairs.
 
-Components. Links between nodes (a node is the smallest doc_id of its fingerprint) are contracted to stars by rounds of
+Components. Links between nodes (a node is a fingerprint, whatever ids its rows have) are contracted to stars by rounds of
 large-star and small-star until nothing changes, each round cut by a checkpoint.
 
 Defined results: a null text has no words; null ids are not returned by SQL comparison but keep their row, with their
@@ -28,10 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm.base import cut, map_texts, only
+from kinoframe.llm.base import cut, map_texts, only, stored, with_found
+from kinoframe.llm.exact_dedup import has_locator, keeper, located, without_rows
 
 SHINGLE, DISTANCE, BLOCKS, FAN = 4, 4, 6, 8
 #: Pairs (fingerprint, node) that a search holds at once.
@@ -270,14 +271,36 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return stars
 
 
+def kept_of(prints: DataFrame, keep: Column, distance: int, blocks: int) -> DataFrame:
+    """(fp, kept): of each fingerprint's component, the least ``keep`` of all rows."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(keep).alias("least")))
+    stars = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, blocks))
+    named = nodes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    kept = named.groupBy("component").agg(F.min("least").alias("kept"))
+    return named.join(kept, "component").select("fp", "kept")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for rows of (doc_id, text)."""
     prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    stars = components(links(nodes, distance, blocks))
-    named = nodes.join(stars, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = kept_of(prints, F.col("doc_id"), distance, blocks)
     # a fingerprint of very many copies is one row here and many there, which adaptive execution splits
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", F.col("kept").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
+    """Of each component one row of ``docs`` stays, with its columns: the one with the smallest doc_id, null ids last;
+    among rows that share the id, the first by file and row."""
+    if not has_locator(docs):
+        docs = stored(docs, "near-dedup-input")
+
+    def make():
+        return lambda texts: np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+
+    rows = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_file", "_row")
+    prints = cut(with_found(rows, make, "fp", "long").select("fp", keeper().alias("own")))
+    named = kept_of(prints, F.col("own"), distance, blocks)
+    return without_rows(docs, prints.join(named, "fp").where("own._file <> kept._file or own._row <> kept._row").select("own._file", "own._row"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from kinoframe.llm.base import map_texts, only
 
+#: Least score of a text that is predicted toxic.
+THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -166,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, ordinary_d
     return fit([tuple(r) for r in rows], every=every, **shape)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted for rows of (doc_id, text)."""
 
     def make():

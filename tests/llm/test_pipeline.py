@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinoframe.llm import language, packing, simhash, toxicity
@@ -46,3 +47,38 @@ def test_filters_keep_the_columns(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = stage(spark, docs, SF)
     assert out.columns == docs.columns and 0.5 * docs.count() < out.count() <= docs.count()
+
+
+def test_rows_with_one_id_or_none_are_judged_each(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    words = " ".join(f"word{chr(97 + i % 26) * (1 + i // 26)}" for i in range(400))
+    near = words.replace("wordk ", "other ", 1)
+    far = " ".join(f"thing{chr(97 + i % 26) * (1 + i // 26)}" for i in range(400))
+    assert 0 < (simhash.fingerprint(words) ^ simhash.fingerprint(near)).bit_count() <= 4 < (simhash.fingerprint(words) ^ simhash.fingerprint(far)).bit_count()
+
+    def left(stage, data):
+        out = stage(spark, spark.createDataFrame(data, "doc_id long, text string, lang string"), str(tmp_path))
+        return sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+
+    tongue = [(1, far, "en"), (1, None, "en"), (None, None, "en"), (None, words, "en"), *[(i, words, "en") for i in range(10, 20)]]
+    assert left(corpus_pipeline.keep_known_languages, tongue) == sorted((i or 0, t) for i, t, _ in tongue if t)
+    # two texts under one id; a near copy without an id; a pair without ids
+    assert left(corpus_pipeline.drop_near_copies, [(1, words, "en"), (1, far, "en"), (None, near, "en")]) == sorted([(1, words), (1, far)])
+    assert left(corpus_pipeline.drop_near_copies, [(5, far, "en"), (5, words, "en"), (4, near, "en")]) == sorted([(5, far), (4, near)])
+    assert len(left(corpus_pipeline.drop_near_copies, [(None, words, "en"), (None, near, "en"), (None, far, "en")])) == 2
+    assert left(corpus_pipeline.drop_copies, [(1, words, "en"), (1, far, "en"), (None, far, "en")]) == sorted([(1, words), (1, far)])
+
+
+def test_toxic_rows_with_one_id_or_none_are_judged_each(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *a: toxicity.Model(b"loser idiot scum", b"ordinary words", [-9.0, 1.0, 0, 0, 0, 0, 0]))
+    monkeypatch.setattr(spark.__class__, "read", property(lambda self: type("R", (), {"parquet": lambda *a: None})()))
+    data = [(i, t) for i in (1, None) for t in ("loser idiot scum", "ordinary words")]
+    out = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "ordinary words"), (1, "ordinary words")]
+
+
+def test_chains_of_copies_go_through_rows_without_id(spark):
+    base = 0x123456789ABCDEF
+    prints = [(1, base), (None, base ^ 0xF), (2, base ^ 0xFF)]
+    got = simhash.kept_of(spark.createDataFrame(prints, "doc_id long, fp long"), F.col("doc_id"), 4, 6).collect()
+    assert {r.kept for r in got} == {1} and len(got) == 3
