@@ -1,7 +1,7 @@
 """FLAC: texts' bytes as audio, and the decoder that turns FLAC streams into seekable PCM blocks.
 
-The decoder finds frames by their sync code, header CRC-8 and running number, verifies the CRC-16 of every frame and the
-MD5 of every stream, and decodes all frames of an Arrow batch in step: one array operation a sample position reads the
+The decoder finds frames by their sync code, a header that agrees with the stream's, its CRC-8 and the running number,
+verifies the CRC-16 of every frame and the MD5 of every stream that has one, and decodes all frames of an Arrow batch in step: one array operation a sample position reads the
 next Rice code of every frame, and one restores the next sample of every linear predictor. It reads mono streams of 8
 bits with fixed block size and constant, verbatim, fixed and LPC subframes; anything else raises ``ValueError``.
 
@@ -238,9 +238,13 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
 
 
 class Stream:
-    """What the metadata of a stream says, and where its frames lie."""
+    """What the metadata of a stream says, and where its frames lie.
 
-    def __init__(self, data: bytes):
+    A stretch inside a frame can look like the next header. Then some CRC-16 does not hold or ``whole`` is false, and the
+    stream is read again with ``checked``: a header then counts only where the CRC-16 of the frame before it holds.
+    """
+
+    def __init__(self, data: bytes, checked: bool = False):
         if data[:4] != b"fLaC" or len(data) < 42:
             raise ValueError("not a FLAC stream")
         at, last = 4, False
@@ -254,43 +258,68 @@ class Stream:
         self.block, self.total, self.md5 = int.from_bytes(info[2:4]), packed & (1 << 36) - 1, info[18:34]
         if packed >> 41 & 7 or (packed >> 36 & 31) != 7 or self.block != int.from_bytes(info[:2]):
             raise ValueError("only mono streams of 8 bits and fixed block size are read")
+        self.rate, frames = packed >> 44, -(-self.total // self.block)
         self.begins, self.bodies = [], []
+        buffer = np.frombuffer(data, np.uint8) if checked else None
         for m in SYNC.finditer(data, at):
             i = m.start()
             n, after = number_at(data, i + 4) if i + 6 < len(data) else (-1, i)
             after += {6: 1, 7: 2}.get(data[i + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(data[i + 2] & 15, 0) if n >= 0 else 0
-            if n == len(self.begins) and after < len(data) and crc8(data[i:after]) == data[after] and (self.begins or i == at):
+            if n == len(self.begins) < frames and after < len(data) and crc8(data[i:after]) == data[after] and (self.begins or i == at) and self.agrees(data, i, after, n == frames - 1):
+                if checked and self.begins and crc16(buffer, np.array(self.begins[-1:]), np.array([i])).any():
+                    continue
                 self.begins.append(i)
                 self.bodies.append(after + 1)
         self.ends = [*self.begins[1:], len(data)]
-        if len(self.begins) != -(-self.total // self.block):
+        self.whole = len(self.begins) == frames
+        if checked and not self.whole:
             raise ValueError("frames are missing")
 
+    def agrees(self, data: bytes, i: int, after: int, last: bool) -> bool:
+        """Whether the header from ``i`` to its CRC-8 at ``after`` has the stream's block size, rate, channel and bits."""
+        sized, rated = data[i + 2] >> 4, data[i + 2] & 15
+        tail = after - {12: 1, 13: 2, 14: 2}.get(rated, 0)
+        size = int.from_bytes(data[tail - sized + 5 : tail]) + 1 if sized in (6, 7) else 192 if sized == 1 else 576 << sized - 2 if 2 <= sized <= 5 else 256 << sized - 8 if sized >= 8 else 0
+        rate = int.from_bytes(data[tail:after]) * {12: 1000, 13: 1, 14: 10}[rated] if 12 <= rated <= 14 else (self.rate, *RATES)[rated] if rated < 12 else -1
+        want = self.total - (-(-self.total // self.block) - 1) * self.block if last else self.block
+        return size == want and rate == self.rate and data[i + 3] in (0, 2)
+
+    def verify(self, samples: np.ndarray) -> np.ndarray:
+        """``samples``, if they have the stream's MD5 or it has none."""
+        if self.md5 != bytes(16) and hashlib.md5((samples ^ 0x80).tobytes()).digest() != self.md5:
+            raise ValueError("the samples do not have the stream's MD5")
+        return samples
+
 
 SYNC = re.compile(rb"\xff\xf8")
+#: Sample rates by their code in a frame header, from 1.
+RATES = (88200, 176400, 192000, 8000, 16000, 22050, 24000, 32000, 44100, 48000, 96000)
 
 
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """Samples (0 to 255) of each stream, frames of all streams decoded in step."""
-    found = [Stream(s) for s in streams]
+    found = [f if (f := Stream(s)).whole else Stream(s, checked=True) for s in streams]
     if not found:
         return []
     offsets = np.cumsum([0, *map(len, streams[:-1])])
-    begins, bodies, ends = (np.concatenate([np.array(getattr(f, k), np.int64) + o for f, o in zip(found, offsets)]) for k in ("begins", "bodies", "ends"))
     buffer = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
-    if crc16(buffer, begins, ends).any():
-        raise ValueError("a frame's checksum does not hold")
+    places = lambda: (np.concatenate([np.array(getattr(f, k), np.int64) + o for f, o in zip(found, offsets)]) for k in ("begins", "bodies", "ends"))
+    begins, bodies, ends = places()
+    bad = crc16(buffer, begins, ends).nonzero()[0]
+    if len(bad):
+        for i in np.unique(np.searchsorted(offsets, begins[bad], "right") - 1).tolist():
+            found[i] = Stream(streams[i], checked=True)
+        begins, bodies, ends = places()
+        if crc16(buffer, begins, ends).any():
+            raise ValueError("a frame's checksum does not hold")
     if {f.block for f in found} - {BLOCK} or any(f.total % BLOCK for f in found):
         # other block sizes go stream by stream, each with its own length of frames
-        return [decode_frames(np.frombuffer(s + bytes(16), np.uint8), np.array(f.bodies), np.array(f.ends), f.block, f.total) for s, f in zip(streams, found)]
+        return [f.verify(decode_frames(np.frombuffer(s + bytes(16), np.uint8), np.array(f.bodies), np.array(f.ends), f.block, f.total)) for s, f in zip(streams, found)]
     samples = decode_frames(buffer, bodies, ends, BLOCK, BLOCK * len(begins))
     out, at = [], 0
     for f in found:
-        own = samples[at : at + f.total]
+        out.append(f.verify(samples[at : at + f.total]))
         at += f.total
-        if f.md5 != bytes(16) and hashlib.md5((own ^ 0x80).tobytes()).digest() != f.md5:
-            raise ValueError("the samples do not have the stream's MD5")
-        out.append(own)
     return out
 
 

@@ -39,6 +39,31 @@ def test_damage_is_found():
         flac.decode_streams([stream[:-3]])
 
 
+@pytest.mark.parametrize("number, at", [(1, 100), (2, 700)])
+def test_a_header_inside_a_frame_is_passed_over(number, at):
+    pick = random.Random(5)
+    noise = bytearray(pick.randrange(256) for _ in range(1152))
+    fake = flac.frame_header(number)
+    noise[at : at + len(fake)] = bytes(b ^ 0x80 for b in fake)
+    streams = flac.encode_streams([bytes(576), bytes(noise), bytes(1152)])
+    assert streams[1].count(fake) == (2 if number == 1 else 1)
+    assert [x.tobytes() for x in flac.decode_streams(streams)] == [bytes(576), bytes(noise), bytes(1152)]
+
+
+def test_other_block_sizes_are_verified():
+    samples = bytes(random.Random(6).randrange(256) for _ in range(192 + 50))
+    frames = b""
+    for head, part in ((b"\xff\xf8\x14\x02\x00", samples[:192]), (b"\xff\xf8\x64\x02\x01\x31", samples[192:])):
+        frame = head + bytes([flac.crc8(head), 2]) + part
+        frames += frame + int(flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2)
+    info = (192).to_bytes(2) * 2 + bytes(6) + (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8)
+    stream = lambda md5: b"fLaC\x80\x00\x00\x22" + info + md5 + frames
+    good = hashlib.md5(samples).digest()
+    assert flac.decode_streams([stream(good)])[0].tobytes() == bytes(b ^ 0x80 for b in samples)
+    with pytest.raises(ValueError):
+        flac.decode_streams([stream(good[::-1])])
+
+
 class Bits:
     def __init__(self):
         self.text = ""
