@@ -258,7 +258,8 @@ def _(spark, d):
 @query("visible_events", f"SELECT script_id, t_ms, read_order, row_number() OVER (PARTITION BY script_id, t_ms ORDER BY layer, read_order) AS z FROM (SELECT c.*, t.k * 700 AS t_ms FROM ({CUES}) c, range(40) t(k)) WHERE t_ms >= start_ms AND t_ms < start_ms + duration_ms")
 def _(spark, d):
     c = cues(spark, d)
-    frames = c.select("script_id").distinct().select("script_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("script_id", (F.col("k") * 700).cast("long").alias("t_ms"))
+    ends = c.groupBy("script_id").agg(F.greatest(F.lit(0), F.max(F.col("start_ms") + F.col("duration_ms"))).cast("long").alias("end_ms"))
+    frames = ends.select("script_id", F.explode(F.sequence(F.lit(0).cast("long"), "end_ms", F.lit(700).cast("long"))).alias("t_ms"))
     return subtitles.visible(frames, c).select("script_id", "t_ms", "read_order", "z")
 
 

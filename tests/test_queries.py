@@ -28,3 +28,9 @@ def test_entry_without_the_training_operators():
 
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLE) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_visible_events_of_a_long_script(spark, tmp_path):
+    turns = spark.createDataFrame([(1, turn, "user", "x" * 100) for turn in range(50)], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.read_order for r in registry.QUERIES["visible_events"](spark, str(tmp_path)).collect()} == set(range(50))
