@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +13,54 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset a folder of the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset the warehouse serves, if it is no machine's own disk or the session is a single machine.
+    """
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if own:
+        return own
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and re.match(r"(file:)?/", warehouse):
+        raise ValueError(f"executors do not share {warehouse}: set spark.checkpoint.dir to a folder that they share")
+    return f"{warehouse}/_shared"
+
+
+def folder(spark: SparkSession, path: str):
+    """A Hadoop file system and a path in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+#: Scratch paths of this process that are not removed yet, oldest first.
+_scratch: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which is removed when the session ends, or before by ``drop_scratch``."""
+    home = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files, where = folder(spark, home)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    _scratch.append(path := f"{home}/data")
+    return path
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch that no later plan reads."""
+    for path in paths:
+        files, where = folder(spark, path.removesuffix("/data"))
+        files.delete(where, True)
+        if path in _scratch:
+            _scratch.remove(path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+@contextmanager
+def only_result(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch made inside is removed at the end, but for the paths put into the list that this gives."""
+    before, keep = set(_scratch), []
+    yield keep
+    drop_scratch(spark, *[p for p in _scratch if p not in before and p not in keep])
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,10 +71,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet to the shared folder and read again."""
+def stored(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Written as Parquet to the shared folder and read again; its path goes into ``keep``."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if keep is not None:
+        keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

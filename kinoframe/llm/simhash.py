@@ -17,8 +17,9 @@ Components. Links between nodes (a node is a fingerprint, whatever ids its rows
 large-star and small-star until nothing changes, each round cut by a checkpoint.
 
 Defined results: a null text has no words; null ids are not returned by SQL comparison but keep their row, with their
-fingerprint and the component of it (a component of null ids alone is null); repeated rows are kept each; an empty
-table gives an empty result; other columns are ignored.
+fingerprint and the component of it (a component of null ids alone is null); repeated rows are kept each; very long texts
+are read whole, 65,536 shingles at a time; an empty table gives an empty result; other columns are ignored. The rounds of
+stars grow with the logarithm of the longest chain; if ``rounds`` (40) do not settle it, that is an error, never a wrong result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm.base import cut, map_texts, only, stored, with_found
-from kinoframe.llm.exact_dedup import has_locator, keeper, located, without_rows
+from kinoframe.llm.base import cut, map_texts, only, with_found
+from kinoframe.llm.exact_dedup import keeper, located, scanned, without_rows
 
 SHINGLE, DISTANCE, BLOCKS, FAN = 4, 4, 6, 8
 #: Pairs (fingerprint, node) that a search holds at once.
@@ -288,11 +289,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.col("kept").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
+def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, blocks: int = BLOCKS, plain_scan: bool = False) -> DataFrame:
     """Of each component one row of ``docs`` stays, with its columns: the one with the smallest doc_id, null ids last;
-    among rows that share the id, the first by file and row."""
-    if not has_locator(docs):
-        docs = stored(docs, "near-dedup-input")
+    among rows that share the id, the first by file and row. ``plain_scan``: see ``exact_dedup``."""
+    docs = scanned(docs, plain_scan, "near-dedup-input")
 
     def make():
         return lambda texts: np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
