@@ -1,21 +1,25 @@
 """FLAC: texts' bytes as audio, and the decoder that turns FLAC streams into seekable PCM blocks.
 
 The decoder finds frames by their sync code, a header that agrees with the stream's, its CRC-8 and the running number,
-verifies the CRC-16 of every frame and the MD5 of every stream that has one, and decodes all frames of an Arrow batch in step: one array operation a sample position reads the
-next Rice code of every frame, and one restores the next sample of every linear predictor. It reads mono streams of 8
-bits with fixed block size and constant, verbatim, fixed and LPC subframes; anything else raises ``ValueError``.
+verifies the CRC-16 of every frame and the MD5 of every stream that has one, and decodes all frames of an Arrow batch in
+step: one array operation a sample position reads the next Rice code of every frame, and one restores the next sample of
+every linear predictor. It reads mono streams of 8 bits with fixed block size and constant, verbatim, fixed and LPC
+subframes; anything else raises ``ValueError``. Its PCM blocks are written a row a block with the offset of their first
+sample; a range of samples is read from the blocks that meet it.
 
 The encoder stores a payload in blocks of 576 samples and picks for each block the shortest of constant, verbatim, fixed
 predictors of order 0 to 2 and a linear predictor of order 4, with Rice parameters for 8 partitions.
 
-Defined results: a null or empty text is a payload of 576 bytes 255; equal texts have equal streams; a null stream
-decodes to no blocks; a damaged stream raises ``ValueError``.
+Defined results: a null or empty text is a payload of 576 bytes 255; equal texts have equal streams; a very long text is one
+stream of many blocks; null and repeated ids keep a stream for each row; a null stream has one row without samples; an empty
+table has no blocks; other columns are ignored; a damaged stream raises ``ValueError``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm.base import map_texts, only, slices
+from kinoframe.llm.base import map_texts, only, scratch, slices
 
 BLOCK, RATE, PAD = 576, 8000, 255
 LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 4, 12, 9
@@ -462,46 +466,94 @@ def encode(docs: DataFrame) -> DataFrame:
     return map_texts(docs, make, "doc_id long, n_bytes long, media binary")
 
 
+BLOCKS = (
+    "part int, stream long, doc_id long, n_bytes long, media_bytes long, media_sha256 string, n_blocks int, "
+    "sample_offset long, n_samples int, pcm binary"
+)
+
+
 def decode(media: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """``media`` rows (doc_id, n_bytes, media) with blocks (sample_offset, pcm) in order and the feature of their samples."""
+    """A row a PCM block for rows of (doc_id, n_bytes, media), in order of a stream's ``sample_offset``.
+
+    ``part`` and ``stream`` number the streams, so that repeated and null ids stay apart. A null stream has one row without
+    samples.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = _parse_datatype_string("doc_id long, n_bytes long, media binary, blocks array<struct<sample_offset: long, pcm: binary>>, feature string")
+    schema = _parse_datatype_string(BLOCKS)
     arrow = to_arrow_schema(schema)
     step = block_frames * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b in slices(batch.column(2)):
-                part = batch.slice(a, b - a)
-                streams = part.column(2).to_pylist()
+                rows = [[] for _ in arrow]
+                docs, sizes, streams = (batch.column(i).slice(a, b - a).to_pylist() for i in range(3))
                 samples = iter(decode_streams([s for s in streams if s is not None]))
-                own = [None if s is None else next(samples) for s in streams]
-                blocks = [[] if x is None else [{"sample_offset": i, "pcm": x[i : i + step].tobytes()} for i in range(0, len(x), step)] for x in own]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blocks, arrow.field("blocks").type), pa.array([None if x is None else feature(x) for x in own], pa.string())], schema=arrow)
+                for doc, size, stream in zip(docs, sizes, streams):
+                    x = None if stream is None else next(samples)
+                    head = (part, number, doc, size, stream and len(stream), stream and hashlib.sha256(stream).hexdigest())
+                    number += 1
+                    starts = [None] if x is None else range(0, len(x), step)
+                    for i in starts:
+                        pcm = None if x is None else x[i : i + step].tobytes()
+                        for column, v in zip(rows, (*head, 0 if x is None else len(starts), i, pcm and len(pcm), pcm)):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, arrow)], schema=arrow)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
-def pcm_blocks(decoded: DataFrame) -> DataFrame:
-    """A row a block: doc_id, sample_offset, pcm. A range of samples is a filter on sample_offset."""
-    return decoded.select("doc_id", F.inline("blocks"))
+def write_blocks(media: DataFrame, path: str, block_frames: int = BLOCK_FRAMES) -> None:
+    """PCM blocks of FLAC streams as Parquet: decoded, verified and written in one pass, each task its own files."""
+    decode(media, block_frames).write.option("compression", "zstd").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCKS).parquet(path)
+
+
+def read_range(spark: SparkSession, path: str, doc_id: int, first: int, last: int) -> DataFrame:
+    """Samples ``first`` to ``last`` (exclusive) of a document from its written blocks: (part, stream, sample_offset, pcm).
+
+    Only blocks that meet the range are read: the filters on doc_id and sample_offset reach the scan.
+    """
+    hit = read_blocks(spark, path).where((F.col("doc_id") == doc_id) & (F.col("sample_offset") < last) & (F.col("sample_offset") + F.col("n_samples") > first))
+    begin = F.greatest(F.lit(first), F.col("sample_offset"))
+    size = F.least(F.lit(last), F.col("sample_offset") + F.col("n_samples")) - begin
+    return hit.select("part", "stream", begin.alias("sample_offset"), F.col("pcm").substr((begin - F.col("sample_offset") + 1).cast("int"), size.cast("int")).alias("pcm"))
+
+
+def digests(blocks: DataFrame) -> DataFrame:
+    """What written blocks hold, a row a stream: sizes, digests and the feature of the samples read.
+
+    Most streams are one block and go as they are; the blocks of longer ones are gathered by their stream.
+    """
+    own = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
+    block = F.struct("sample_offset", "pcm")
+    short = blocks.where("n_blocks <= 1").select(*own, F.array(block).alias("b"))
+    long = blocks.where("n_blocks > 1").groupBy("part", "stream").agg(*[F.first(c).alias(c) for c in own], F.sort_array(F.collect_list(block)).alias("b")).select(*own, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[], [], [], []]
+            for i in range(batch.num_rows):
+                pcm = b"".join([x["pcm"] or b"" for x in batch.column(4)[i].as_py()])
+                for column, v in zip(found, (len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-32:]), feature(np.frombuffer(pcm, np.uint8)) if pcm else None)):
+                    column.append(v)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, found, kinds)], names=[*own, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+
+    return short.unionByName(long).mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: every document as FLAC and back."""
+    """op5: every document as FLAC, decoded into PCM blocks in the shared folder, which are read back."""
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    # joined in hexadecimal: its cost is in proportion to the length, which adding block after block is not
-    whole = F.unhex(F.array_join(F.transform("blocks", lambda x: F.hex(x.pcm)), ""))
-    back = decode(encode(docs)).withColumn("payload", whole)
-    return back.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-    )
+    path = scratch(spark, "pcm")
+    write_blocks(encode(docs), path)
+    return digests(read_blocks(spark, path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
