@@ -12,9 +12,12 @@ Fitting uses a bounded sample of labelled rows: ``toxic_docs`` and ``ordinary_do
 the id. Each class is thinned at its own rate, so the calibration weights a row by its class's sampling interval: a
 probability, and with it the threshold, means the same whatever the sample. Scoring reads every whole text.
 
-Defined results: a null, empty or blank text is one empty window; repeated rows score alike; labels that are null or
-whose documents are missing are not used; if a document has several labels the greatest counts; without both classes in
-the sample every text scores 0. A null id is never held out.
+This departs from dictionaries of whole texts, which do not separate these documents: see the README for figures.
+
+Defined results: a null, empty or blank text is one empty window; very long texts are windows from end to end; repeated rows
+score alike, and an id that repeats is learned from once, by its first text; labels that are null or whose documents are
+missing are not used; if a document has several labels the greatest counts; other columns are ignored; an empty table, or a
+sample without both classes, gives a model by which every text scores 0. A null id is never held out nor learned from.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,12 @@ THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def features(d: np.ndarray) -> tuple[float, ...]:
+    top = np.sort(d)[-2:]
+    n = len(d)
+    return (1.0, float(top[-1]), float(top[0]), float(d.mean()), float((d >= 2).sum()) / n, float((d >= 2).sum()) / math.sqrt(n), math.log(n))
+
+
 @dataclass
 class Model:
     toxic: bytes = b""
@@ -44,6 +55,7 @@ class Model:
     window: int = 64
     step: int = 48
     level: int = 9
+    describe: Callable[[np.ndarray], tuple] = features
 
     def scorer(self):
         """Texts -> probabilities; holds the two compressors."""
@@ -53,7 +65,7 @@ class Model:
         weights = np.array(self.weights)
 
         def score(texts):
-            x = np.array([features(distances(t, *press, self.window, self.step)) for t in texts]).reshape(-1, len(weights))
+            x = np.array([self.describe(distances(t, *press, self.window, self.step)) for t in texts]).reshape(-1, len(weights))
             return (1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))).tolist()
 
         return score
@@ -77,12 +89,6 @@ def distances(text: str | None, toxic, ordinary, window: int, step: int) -> np.n
     return np.array([len(b(w)) - len(a(w)) for i in range(0, max(1, len(body) - window + step), step) if (w := body[i : i + window]) is not None])
 
 
-def features(d: np.ndarray) -> tuple[float, ...]:
-    top = np.sort(d)[-2:]
-    n = len(d)
-    return (1.0, float(top[-1]), float(top[0]), float(d.mean()), float((d >= 2).sum()) / n, float((d >= 2).sum()) / math.sqrt(n), math.log(n))
-
-
 def stems(word: str) -> tuple[str, ...]:
     """A word and its beginnings, under which its inflected forms meet."""
     return (word, f"{word[:4]}-", f"{word[:5]}-")
@@ -131,23 +137,39 @@ def dictionaries(rows: list[tuple[int, str, int]], size: int, base_bytes: int, m
     return dictionary(hot, size) + base, dictionary(cold, size) + base
 
 
-def fit(rows: list[tuple[int, str, int]], size: int = 1536, base_bytes: int = 250_000, mark_z: float = 6.0, folds: int = 4, every: dict[int, int] | None = None, **shape) -> Model:
-    """The model from (id, text, label) rows. Each fold is scored by dictionaries of the others, for the calibration.
+def fit_fold(rows: list[tuple[str, int, bool]], model: Model, size: int, base_bytes: int, mark_z: float) -> tuple[list, list, tuple[bytes, bytes]]:
+    """Features and labels of the rows (text, label, own) that are the fold's own, by dictionaries of the others."""
+    rows = sorted(rows)
+    random.Random(7).shuffle(rows)
+    rest = [(0, t, y) for t, y, own in rows if not own]
+    if {r[2] for r in rest} != {0, 1}:
+        return [], [], (b"", b"")
+    content = dictionaries(rest, size, base_bytes, mark_z)
+    press = [compressor(c, model.level) for c in content]
+    own = [(t, y) for t, y, o in rows if o]
+    return [model.describe(distances(t, *press, model.window, model.step)) for t, _ in own], [y for _, y in own], content
+
 
-    ``every`` has the sampling interval of each label, if the rows are a sample.
+def fit(sample: DataFrame, size: int = 1536, base_bytes: int = 250_000, mark_z: float = 6.0, folds: int = 4, every: dict[int, int] | None = None, **shape) -> Model:
+    """The model from (doc_id, text, toxic) rows. Each fold is scored by dictionaries of the others, for the calibration.
+
+    The folds, and the dictionaries of all rows, are trained each in a task of its own; what comes to the driver are the
+    features of the sample and the two dictionaries. ``every`` has the sampling interval of each label.
     """
-    every = every or {1: 1, 0: 1}
-    rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    random.Random(7).shuffle(rows)
-    x, y, model = [], [], Model(**shape)
-    for k in range(folds):
-        own, rest = rows[k::folds], [r for i, r in enumerate(rows) if i % folds != k]
-        if {r[2] for r in rest} == {0, 1}:
-            press = [compressor(c, model.level) for c in dictionaries(rest, size, base_bytes, mark_z)]
-            x += [features(distances(r[1], *press, model.window, model.step)) for r in own]
-            y += [r[2] for r in own]
+    every, model = every or {1: 1, 0: 1}, Model(**shape)
+    fold = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(folds)).cast("int")
+    parts = sample.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", fold.alias("fold")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(folds))))
+
+    def run(pdf):
+        k = int(pdf["part"].iloc[0])
+        x, y, content = fit_fold([(t, int(label), int(f) == k) for t, label, f in zip(pdf["text"], pdf["toxic"], pdf["fold"])], model, size, base_bytes, mark_z)
+        last = k == folds
+        return pd.DataFrame({"x": [[list(map(float, r)) for r in x]], "y": [y], "toxic": [content[0] if last else b""], "ordinary": [content[1] if last else b""]})
+
+    found = parts.groupBy("part").applyInPandas(run, "x array<array<double>>, y array<int>, toxic binary, ordinary binary").collect()
+    x, y = [r for f in found for r in f.x], [v for f in found for v in f.y]
     if x:
-        model.toxic, model.ordinary = dictionaries(rows, size, base_bytes, mark_z)
+        model.toxic, model.ordinary = (max((bytes(f[c]) for f in found), key=len) for c in ("toxic", "ordinary"))
         model.weights = logistic(np.array(x), np.array(y, float), np.array([every[k] for k in y], float)).tolist()
     return model
 
@@ -163,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, ordinary_d
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     every = {k: max(1, round(sizes.get(k, 0) / most)) for k, most in ((1, toxic_docs), (0, ordinary_docs))}
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.when(F.col("toxic") == 1, every[1]).otherwise(every[0])) == 0)
-    # at most about toxic_docs + ordinary_docs ids, whatever the input
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    return fit([tuple(r) for r in rows], every=every, **shape)
+    # at most about toxic_docs + ordinary_docs ids, whatever the input; an id that repeats counts once, with its first text
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return fit(rows, every=every, **shape)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
