@@ -7,13 +7,13 @@ length, down to single letters. A text sums its words; the score is the softmax
 Word and n-gram tables come from a bounded sample of labelled rows, by a hash of the id and counted by Spark: each language
 has an equal part of ``sample_docs``, at least ``least_docs``, and is thinned at its own rate to between once and twice
 that part; a language with fewer rows is read whole. An item that a language lacks has the same frequency in all of
-them, so that having few rows is no advantage. Of each table the ``most_words`` and ``most_grams`` commonest a language are kept. All else covers all
-rows and whole texts.
+them, so that having few rows is no advantage. A word is known if some language has it ``least`` times in the sample, an
+n-gram if it is in a word of the sample; nothing else bounds the tables. All else covers all rows and whole texts.
 
-Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text if nothing could be
-learned; a text of letters that no table knows gets the language with most training rows; ties go to that language
-too, then to the first by name. Null languages, and those
-whose sampled texts have no word, are not learned from. A null id is never held out.
+Defined results (very long texts and repeated rows are as any other): ``und`` with score 0 for a null text or one without a letter, and for every text if nothing could be
+learned, as from an empty table; a text of letters that no table knows gets the language with most training rows, at a score
+of one part for each language; ties go to that language too, then to the first by name. Null languages, and those whose
+sampled texts have no word, are not learned from. Other columns are ignored. A null id is never held out nor learned from.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm.base import map_texts, only
+from kinoframe.llm.base import drop_scratch, map_texts, only, stored
 from kinoframe.llm.tokens import MEMO_CHARS, MEMO_UNITS, Memo
 
 LENGTHS = (5, 4, 3, 2, 1)
+#: A text's language is told where its score is above this: likelier than all others together.
+CONFIDENT = 0.5
 
 
 def words_of(text: str) -> list[str]:
@@ -136,38 +138,42 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def frequencies(counts: DataFrame, langs: list[str], by: str, most: int, least: int) -> dict[str, list[float]]:
-    """Log relative frequency in each language of the ``most`` commonest items a language (a bounded table)."""
-    rank = F.row_number().over(Window.partitionBy("lang", *([F.length("item")] if by == "grams" else [])).orderBy(F.col("n").desc(), "item"))
-    kept = counts.where(F.col("n") >= least).withColumn("rank", rank).where(F.col("rank") <= most).select("item").distinct()
-    rows = counts.join(kept, "item").collect()
+def frequencies(counts: DataFrame, langs: list[str], by: str, least: int) -> dict[str, list[float]]:
+    """Log relative frequency in each language of the items that some language has ``least`` times.
+
+    The table grows with the sample, which is bounded.
+    """
+    known = counts.groupBy("item").agg(F.collect_list(F.struct("lang", "n")).alias("by")).where(F.exists("by", lambda x: x.n >= least))
     place = {lang: i for i, lang in enumerate(langs)}
     size = (lambda g: len(g)) if by == "grams" else (lambda g: 0)
     totals: dict[tuple[int, int], int] = Counter()
     seen: dict[str, list[int]] = {}
-    for r in rows:
-        seen.setdefault(r["item"], [0] * len(langs))[place[r["lang"]]] = r["n"]
-        totals[size(r["item"]), place[r["lang"]]] += r["n"]
+    for r in known.collect():
+        seen[r["item"]] = own = [0] * len(langs)
+        for x in r["by"]:
+            own[place[x["lang"]]] = x["n"]
+            totals[size(r["item"]), place[x["lang"]]] += x["n"]
     # half an item in the language with most of them; as a share it holds for all, also for one without any
     largest = {n: max(totals[n, i] for i in range(len(langs))) for n, _ in totals}
     share = lambda c, n, i: c / totals[n, i] if c else 0.0
     return {w: [math.log((share(c, n, i) * largest[n] + 0.5) / (largest[n] + 0.5 * len(seen))) for i, c in enumerate(cs)] for w, cs in seen.items() for n in (size(w),)}
 
 
-def train(docs: DataFrame, sample_docs: int = 12_000, least_docs: int = 500, most_words: int = 20_000, most_grams: int = 4_000) -> Model:
+def train(docs: DataFrame, sample_docs: int = 12_000, least_docs: int = 500, least: int = 2) -> Model:
     """A model from a bounded sample of the labelled rows (doc_id, text, lang) that are not held out."""
+    spark = docs.sparkSession
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model()
     part = max(1, least_docs, sample_docs // len(sizes))
     every = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, n // part))])
-    words = counted(known.where(F.pmod(F.xxhash64("doc_id"), every[F.col("lang")]) == 0)).cache()
-    try:
-        langs = sorted((r["lang"] for r in words.select("lang").distinct().collect()), key=lambda k: (-sizes[k], k))
-        return Model(langs, frequencies(words, langs, "words", most_words, 2), frequencies(gram_counts(words), langs, "grams", most_grams, 1))
-    finally:
-        words.unpersist()
+    paths: list[str] = []
+    words = stored(counted(known.where(F.pmod(F.xxhash64("doc_id"), every[F.col("lang")]) == 0)), "language-words", paths)
+    langs = sorted((r["lang"] for r in words.select("lang").distinct().collect()), key=lambda k: (-sizes[k], k))
+    model = Model(langs, frequencies(words, langs, "words", least), frequencies(gram_counts(words), langs, "grams", 1))
+    drop_scratch(spark, *paths)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
