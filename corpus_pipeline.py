@@ -4,6 +4,12 @@ Language ID, toxicity, exact deduplication and near-duplicate removal return the
 returns pieces with their places. Belongs to ``kinoframe.llm``.
 
 Every stage decides row by row: rows that share an id are judged each by its own text, and so are rows with a null id.
+
+Defined results, the same in every stage unless it says otherwise: null ids are kept as rows of their own; a null, empty or
+blank text goes in the first stage, and in a later one it is a text like any other, without words; very long texts are read
+whole; repeated rows are judged alike, and of them the deduplication stages keep one; of ties the smallest id stays, then the
+first row by file and place; an empty table passes as an empty table; other columns are carried, whatever their names, and
+packing leaves them.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinoframe.llm import exact_dedup, language, packing, simhash, toxicity
-from kinoframe.llm.base import free_name, only, stored, with_found
+from kinoframe.llm.base import drop_scratch, free_name, only, only_result, stored, with_found
 
 #: The stages train models and follow links, which SQL cannot say; tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -27,14 +33,19 @@ def kept_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]]) -> Da
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: a null text, or one without a letter, goes."""
+    """Documents whose language is predicted with confidence; where their ``lang`` is null, it becomes the prediction.
+
+    Rejected: a null text, one without a letter, and one for which no language is likelier than all others together.
+    """
     model = language.train(docs.select("doc_id", "text", "lang"))
 
     def make():
         predict = model.predictor()
-        return lambda texts: [lang != "und" for lang, _ in predict(texts)]
+        return lambda texts: [lang if lang != "und" and score > language.CONFIDENT else None for lang, score in predict(texts)]
 
-    return kept_rows(docs, make)
+    name = free_name(docs, "_lang")
+    told = with_found(docs, make, name, "string").where(F.col(name).isNotNull())
+    return told.withColumn("lang", F.coalesce("lang", name)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +87,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; what only a stage needs is removed when its output is written."""
+    docs, paths = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with only_result(spark) as keep:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep)
+        drop_scratch(spark, *paths)
+        paths = keep
     return STAGES[-1][1](spark, docs, sf_dir)

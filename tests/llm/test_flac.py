@@ -124,15 +124,48 @@ def test_frame_numbers_and_checksums():
     assert int(flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0]) == 0xFEE8
 
 
-def test_operator_on_edge_cases(docs, nothing):
-    back = flac.decode(flac.encode(only(docs, "doc_id", "text")))
-    want = {}
-    for i, t in TEXTS:
-        want[i] = flac.payload_of(t)
+def test_operator_on_edge_cases(spark, docs, nothing, tmp_path):
+    flac.write_blocks(flac.encode(only(docs, "doc_id", "text")), f"{tmp_path}/a")
+    back = flac.read_blocks(spark, f"{tmp_path}/a")
+    streams = {}
     for r in back.collect():
-        assert b"".join(bytes(b.pcm) for b in r.blocks) == want[r.doc_id]
-        assert [b.sample_offset for b in r.blocks] == list(range(0, len(want[r.doc_id]), flac.BLOCK_FRAMES * flac.BLOCK))
-    assert flac.pcm_blocks(back).where("doc_id = 10 and sample_offset > 0").count() == len(want[10]) // (64 * 576)
+        streams.setdefault((r.part, r.stream, r.doc_id), []).append((r.sample_offset, bytes(r.pcm)))
+    got = sorted((i, b"".join(x for _, x in sorted(v))) for (_, _, i), v in streams.items())
+    assert got == sorted((i, flac.payload_of(t)) for i, t in TEXTS)
+    for v in streams.values():
+        assert [a for a, _ in sorted(v)] == list(range(0, sum(len(x) for _, x in v), flac.BLOCK_FRAMES * flac.BLOCK))
+    whole = flac.payload_of("word " * 30_000)
+    for first, last in ((0, 10), (36_860, 36_870), (100, 120_000), (149_999, 10**9)):
+        part = flac.read_range(spark, f"{tmp_path}/a", 10, first, last).collect()
+        assert b"".join(bytes(r.pcm) for r in sorted(part, key=lambda r: r.sample_offset)) == whole[first:last]
     assert flac.decode(flac.encode(only(nothing, "doc_id", "text"))).count() == 0
-    nulls = docs.sparkSession.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
-    assert flac.decode(nulls).first().blocks == []
+    nulls = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    only_row = flac.decode(nulls).first()
+    assert only_row.pcm is None and only_row.n_blocks == 0 and flac.digests(flac.decode(nulls)).first().payload_bytes == 0
+
+
+def test_headers_planted_in_noise_are_passed_over():
+    """Verbatim frames of noise that hold the header of this frame, the next or a later one."""
+    pick = random.Random(9)
+    streams, want = [], []
+    for _ in range(400):
+        blocks = pick.randrange(1, 4)
+        body = bytearray(pick.randbytes(blocks * 576))
+        for _ in range(3):
+            fake = flac.frame_header(pick.randrange(blocks + 1))
+            at = pick.randrange(len(body) - len(fake))
+            body[at : at + len(fake)] = bytes(b ^ 0x80 for b in fake)
+        want.append(bytes(body))
+    streams = flac.encode_streams(want)
+    assert [x.tobytes() for x in flac.decode_streams(streams)] == want
+
+
+def test_a_text_that_spells_a_frame_header():
+    # two-byte characters of which 0x81 ends one: FF F8 with other header bits, inside a verbatim frame
+    pick = random.Random(10)
+    for _ in range(200):
+        noise = "".join(chr(pick.choice((pick.randrange(1, 128), pick.randrange(128, 2048)))) for _ in range(pick.randrange(300, 900)))
+        at = pick.randrange(len(noise))
+        text = noise[:at] + "\x7fx" + chr(pick.randrange(97, 123)) + "\u0101\u00c1" + noise[at:]
+        payload = flac.payload_of(text)
+        assert flac.decode_streams(flac.encode_streams([payload]))[0].tobytes() == payload

@@ -51,6 +51,31 @@ def test_shards_of_nothing_and_of_null_ids(nothing, odd_id, tmp_path):
     assert odd_id.sparkSession.read.parquet(str(tmp_path / "s")).count() == 3
 
 
+def test_shards_order_comes_from_the_seed_alone(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("t"), (F.col("id") % 50).cast("int")).alias("text"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions, files in ((2, 1), (7, 5), (211, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(sorted(rows(sharding.shuffle_shards(many.repartition(files), 8, bucket_bytes=20_000).select("shard", "slot", "doc_id"))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
+def test_shards_split_an_id_that_repeats(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 100)
+    data = [(i, "t") for i in range(600)] + [(7, "t")] * 300 + [(8, f"t {i}") for i in range(300)] + [(None, "x")] * 200
+    many = spark.createDataFrame(data, "doc_id long, text string")
+    out = sharding.shuffle_shards(many, 4, bucket_bytes=2_000)
+    got = out.collect()
+    check_shards([(r.shard, r.slot) for r in got], len(data), 4)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(data)
+    # no bucket holds a hot id whole: its rows lie all over the shards
+    assert all(sum(r.doc_id == i and r.shard == s for r in got) > 20 for i in (7, 8, None) for s in range(4))
+    assert sorted(rows(out), key=str) == sorted(rows(sharding.shuffle_shards(many.repartition(5), 4, bucket_bytes=2_000)), key=str)
+
+
 # --- exact dedup ---
 
 
@@ -84,6 +109,21 @@ def test_deduplicate_keeps_columns_and_first_rows(docs, nothing, odd_id):
     assert exact_dedup.deduplicate(odd_id.union(odd_id)).count() == 3
 
 
+def test_rows_that_share_a_place_in_a_file_are_rows_of_their_own(spark, tmp_path):
+    lists = [(10, ["a b", "a b", "c d"]), (20, ["c d", "e f"])]
+    spark.createDataFrame(lists, "doc_id long, texts array<string>").coalesce(1).write.parquet(f"{tmp_path}/lists")
+    scan = spark.read.parquet(f"{tmp_path}/lists")
+    exploded = scan.select("doc_id", F.explode("texts").alias("text"))
+    twice = exploded.join(spark.range(2).withColumnRenamed("id", "k"))
+    for made in (exploded, exploded.unionByName(exploded), twice):
+        plain = [(r.doc_id, r.text) for r in made.collect()]
+        got = exact_dedup.groups(made).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == brute_groups(plain)
+        assert sum(r.kept for r in got) == 3 and len({(r._file, r._row) for r in got}) == len(plain)
+        assert sorted(r.text for r in exact_dedup.deduplicate(made).collect()) == ["a b", "c d", "e f"]
+        assert len(simhash.deduplicate(made).collect()) == 3
+
+
 # --- near-duplicates ---
 
 
@@ -115,6 +155,12 @@ def test_fingerprints_match_the_definition():
         assert simhash.fingerprint(short) == brute_fingerprint(short)
 
 
+def test_fingerprint_of_more_shingles_than_a_step():
+    pick = np.random.default_rng(4)
+    text = " ".join(f"w{x}" for x in pick.integers(0, 900, 70_000))
+    assert len(text.split()) - 3 > 1 << 16 and simhash.fingerprint(text) == brute_fingerprint(text)
+
+
 def test_components_match_brute_force(docs, nothing, odd_id):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(only(docs, "doc_id", "text")).collect()}
     prints = [(i, simhash.fingerprint(t)) for i, t in TEXTS]
@@ -183,11 +229,47 @@ def test_language_with_few_rows_is_learned_from_a_sample(spark, tongues):
 
 def test_language_with_few_rows_does_not_take_rare_words(spark):
     counts = spark.createDataFrame([("en", "the", 100_000), ("en", "rare", 2), ("fi", "talo", 5), ("fi", "the", 1)], "lang string, item string, n long")
-    found = language.frequencies(counts, ["en", "fi", "none"], "words", 100, 2)
+    found = language.frequencies(counts, ["en", "fi", "none"], "words", 2)
     assert found["rare"][0] > found["rare"][1] == found["rare"][2]
     assert found["talo"][1] > found["talo"][0] == found["talo"][2]
 
 
+def test_language_scores_by_the_definition(spark, tongues):
+    """Counts and scores by plain loops over the sample, which is all that is not held out."""
+    train = [(r.lang, r.text) for r in tongues.where(~language.held_out()).collect()]
+    langs = sorted({x for x, _ in train}, key=lambda x: (-sum(y == x for y, _ in train), x))
+    grams = lambda w, n: [g for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) != " "]
+
+    def table(items, least):
+        counts = {x: Counter(i for lang, t in train if lang == x for i in items(t)) for x in langs}
+        known = {i for c in counts.values() for i, n in c.items() if n >= least}
+        out = {}
+        for i in known:
+            size = len(i) if least == 1 else 0
+            own = {x: sum(n for j, n in counts[x].items() if j in known and (least > 1 or len(j) == size)) for x in langs}
+            most = max(own.values())
+            out[i] = [np.log((counts[x][i] / own[x] * most + 0.5) / (most + 0.5 * len(known))) for x in langs]
+        return out
+
+    words = table(lambda t: t.split(), 2)
+    parts = table(lambda t: [g for w in t.split() for n in range(1, 6) for g in grams(w, n)], 1)
+
+    def word(w):
+        if w in words:
+            return np.array(words[w])
+        for n in (5, 4, 3, 2, 1):
+            if found := [parts[g] for g in grams(w, n) if g in parts]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    texts = ["the und", "unter which", "durchaus nichts", "withal theirs schön", "日本 x", "q"]
+    got = language.train(tongues).predictor()(texts)
+    for t, (lang, score) in zip(texts, got):
+        x = sum(word(w) for w in t.split())
+        assert lang == langs[int(np.argmax(x))]
+        assert score == pytest.approx(1 / np.exp(x - x.max()).sum())
+
+
 def test_language_held_out_accuracy(spark):
     from tests.conftest import SF
 
@@ -216,12 +298,43 @@ def test_toxicity_scores_every_text(spark, docs, nothing):
     assert {r.score for r in toxicity.score(train, toxicity.train(train, labels.where("toxic = 0"))).collect()} == {0.0}
 
 
-def test_toxicity_threshold_is_the_same_on_a_thinned_sample(spark, monkeypatch):
+def test_toxicity_is_the_compression_distance(spark):
+    """Windows, distances, features and the score by the definition, and labels of the held-out part unused."""
+    import zstandard
+
+    data = [(i, f"plain ordinary words number {i} " + ("you worthless loser " if i % 3 == 0 else "") * 2) for i in range(120)]
+    texts = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in data], "doc_id long, toxic int")
+    model = toxicity.train(texts, labels)
+    swapped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = toxicity.train(texts, swapped)
+    assert (model.toxic, model.ordinary, model.weights) == (other.toxic, other.ordinary, other.weights)
+    press = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(c, dict_type=1), write_checksum=False, write_content_size=False, write_dict_id=False) for c in (model.toxic, model.ordinary)]
+    got = {r.doc_id: r.score for r in toxicity.score(texts, model).collect()}
+    for i, t in data:
+        body = " ".join(t.lower().split()).encode()
+        d = []
+        for at in range(0, max(1, len(body) - 64 + 48), 48):
+            sizes = [len(p.compress(body[at : at + 64])) for p in press]
+            d.append(sizes[1] - sizes[0])
+        top, hits = sorted(d)[-2:], sum(x >= 2 for x in d)
+        x = [1, top[-1], top[0], sum(d) / len(d), hits / len(d), hits / len(d) ** 0.5, np.log(len(d))]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.weights))))
+
+
+def test_toxicity_takes_null_ids_repeats_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, "no id"), (1, "bad loser"), (1, "bad loser"), (1, "bad scum"), (2, "good words")] * 20, "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1, "t"), (1, 1, "t"), (1, 0, "t"), (2, 0, "t")], "doc_id long, toxic int, text string")
+    out = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(out) == 100 and len({r.score for r in out if r.doc_id is None}) == 1
+
+
+def test_toxicity_threshold_is_the_same_on_a_thinned_sample(spark):
     # of texts of two windows one in five is toxic, which is less than the threshold however few ordinary ones are sampled
-    monkeypatch.setattr(toxicity, "features", lambda d: (1.0, float(len(d) > 1)))
+    shape = {"describe": lambda d: (1.0, float(len(d) > 1))}
     data = [(i, "plain ordinary words " * (5 if i % 5 == 0 else 1) + str(i)) for i in range(2000)]
     texts = spark.createDataFrame(data, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 25 == 0)) for i, _ in data], "doc_id long, toxic int")
     for most in ({}, {"ordinary_docs": 350}, {"toxic_docs": 30}):
-        short, long = toxicity.train(texts, labels, **most).scorer()([data[1][1], data[0][1]])
+        short, long = toxicity.train(texts, labels, **most, **shape).scorer()([data[1][1], data[0][1]])
         assert short < 0.02 and 0.12 < long < 0.28, most

@@ -193,7 +193,72 @@ def test_lines_cover_and_counts_add_up(docs, nothing):
 def test_fields_from_a_table(spark):
     docs = spark.createDataFrame([(1, "title: some words here"), (2, "no fields")], "doc_id long, text string")
     spans = spark.createDataFrame([(1, 0, 6), (1, 7, 22)], "doc_id long, begin int, end int")
-    got = token_counts.count_tokens(token_counts.with_spans(docs, spans), BYTES, rule="most").collect()
+    got = token_counts.count_tokens(token_counts.with_spans(docs, spans), BYTES, rule="most", given=("begins", "ends")).collect()
     by = {(r.doc_id, r.section): r.n_tokens for r in got}
     assert by[1, 0] + by[1, 1] + by.get((1, None), 0) == len(library_ids(BYTES, ["title: some words here"])[0])
     assert by[2, None] == 2
+
+
+def innermost(sections, at):
+    """The section a character belongs to: of those that hold it the one that begins last, the shortest, the last given."""
+    held = [(s, -e, k) for k, (s, e) in enumerate(sections) if s <= at < e]
+    return max(held)[2] if held else -1
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_overlapping_sections_in_any_order(rule):
+    pick = random.Random(6)
+    for _ in range(300):
+        cuts = sorted(pick.sample(range(50), 10))
+        spans = list(zip(cuts, cuts[1:]))
+        sections = [(a, a + pick.randint(-2, 20)) for a in (pick.randint(0, 50) for _ in range(7))]
+        got, _ = token_counts.attribute(np.array(spans), *token_counts.bounds(*zip(*sections)), rule)
+        want = np.zeros(len(sections) + 1)
+        for a, b in spans:
+            owners = [innermost(sections, at) for at in range(a, b)]
+            if rule == "share":
+                for k in owners:
+                    want[k] += 1 / (b - a)
+            elif rule == "start":
+                want[owners[0]] += 1
+            else:
+                inside = [k for k in owners if k >= 0]
+                want[min(set(inside), key=lambda k: (-inside.count(k), k)) if inside else -1] += 1
+        assert got == pytest.approx(want), (spans, sections)
+
+
+def test_a_nested_field_and_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "title: some words here", 5, "x", 1), (None, None, 5, "x", 1)], "doc_id long, text string, begins int, section string, sections int")
+    assert token_counts.count_tokens(docs, BYTES).count() == 2
+    spans = spark.createDataFrame([(1, 6, 11), (1, 0, 17), (1, None, 4), (1, 30, 40), (None, 0, 1)], "doc_id long, begin int, end int")
+    got = token_counts.count_tokens(token_counts.with_spans(docs.select("doc_id", "text"), spans), BYTES, given=("begins", "ends")).collect()
+    by = {(r.doc_id, r.begin, r.end): r.n_tokens for r in got}
+    # title and : before the inner field, "some" in it, "words" begins at its end, and "here" in none
+    assert by[1, 0, 17] == 3 and by[1, 6, 11] == 1 and by[1, None, None] == 1 and by[1, 30, 40] == 0
+
+
+def test_gap_to_the_bound():
+    rng = np.random.default_rng(2)
+    for counts in ({int(n): int(c) for n, c in zip(range(1, 1025), rng.integers(1, 500, 1024))}, {n: int(rng.integers(1, 9)) for n in range(180, 261)}):
+        least, found = packing.lower_bound(counts, 1024), bins_of(packing.complete(dict(counts), nodes=500))
+        assert least <= found <= bins_of(packing.best_fit(counts, 1024)) <= 1.1 * least
+
+
+def test_best_fit_is_best_fit():
+    pick = random.Random(1)
+    for _ in range(100):
+        items = [pick.randint(1, 100) for _ in range(pick.randint(1, 80))]
+        rooms = []
+        for x in sorted(items, reverse=True):
+            fits = [r for r in rooms if r >= x]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 100) - x)
+        counts = {n: items.count(n) for n in set(items)}
+        assert bins_of(packing.best_fit(counts, 100)) == len(rooms) >= packing.lower_bound(counts, 100)
+
+
+def test_packing_takes_null_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, "a b c", 1, 2), (None, None, 1, 2), (3, "x " * 3000, 1, 2)], "doc_id long, text string, length int, rank long")
+    got = packing.pack_documents(docs.select("doc_id", "text"), BYTES).collect()
+    assert sum(r.doc_id is None for r in got) == 2 and max(r.length for r in got) == 1024
