@@ -143,20 +143,21 @@ def frequencies(counts: DataFrame, langs: list[str], by: str, least: int) -> dic
 
     The table grows with the sample, which is bounded.
     """
-    known = counts.groupBy("item").agg(F.collect_list(F.struct("lang", "n")).alias("by")).where(F.exists("by", lambda x: x.n >= least))
-    place = {lang: i for i, lang in enumerate(langs)}
-    size = (lambda g: len(g)) if by == "grams" else (lambda g: 0)
-    totals: dict[tuple[int, int], int] = Counter()
-    seen: dict[str, list[int]] = {}
-    for r in known.collect():
-        seen[r["item"]] = own = [0] * len(langs)
-        for x in r["by"]:
-            own[place[x["lang"]]] = x["n"]
-            totals[size(r["item"]), place[x["lang"]]] += x["n"]
-    # half an item in the language with most of them; as a share it holds for all, also for one without any
-    largest = {n: max(totals[n, i] for i in range(len(langs))) for n, _ in totals}
-    share = lambda c, n, i: c / totals[n, i] if c else 0.0
-    return {w: [math.log((share(c, n, i) * largest[n] + 0.5) / (largest[n] + 0.5 * len(seen))) for i, c in enumerate(cs)] for w, cs in seen.items() for n in (size(w),)}
+    own = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    rows = counts.groupBy("item").agg(own.alias("by")).select("item", F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.try_element_at("by", x), F.lit(0).cast("long"))).alias("n"))
+    # as Arrow columns, which hold a number in 8 bytes
+    known = rows.where(F.array_max("n") >= least).toArrow()
+    items = known.column("item").to_pylist()
+    n = known.column("n").combine_chunks().flatten().to_numpy().reshape(-1, len(langs)).astype(np.float64)
+    size = np.array([len(g) if by == "grams" else 0 for g in items], np.int64)
+    out = np.zeros_like(n)
+    for k in np.unique(size):
+        part = n[size == k]
+        totals = part.sum(axis=0)
+        # half an item in the language with most of them; as a share it holds for all, also for one without any
+        most = totals.max()
+        out[size == k] = np.log((part / np.maximum(totals, 1) * most + 0.5) / (most + 0.5 * len(items)))
+    return dict(zip(items, out.tolist()))
 
 
 def train(docs: DataFrame, sample_docs: int = 12_000, least_docs: int = 500, least: int = 2) -> Model:
