@@ -172,7 +172,7 @@ def train(docs: DataFrame, sample_docs: int = 12_000, least_docs: int = 500, lea
     paths: list[str] = []
     words = stored(counted(known.where(F.pmod(F.xxhash64("doc_id"), every[F.col("lang")]) == 0)), "language-words", paths)
     langs = sorted((r["lang"] for r in words.select("lang").distinct().collect()), key=lambda k: (-sizes[k], k))
-    model = Model(langs, frequencies(words, langs, "words", least), frequencies(gram_counts(words), langs, "grams", 1))
+    model = Model() if not langs else Model(langs, frequencies(words, langs, "words", least), frequencies(gram_counts(words), langs, "grams", 1))
     drop_scratch(spark, *paths)
     return model
 

@@ -234,6 +234,11 @@ def test_language_with_few_rows_does_not_take_rare_words(spark):
     assert found["talo"][1] > found["talo"][0] == found["talo"][2]
 
 
+def test_language_of_texts_without_words_is_not_learned(spark):
+    model = language.train(spark.createDataFrame([(i, "12 34", "none") for i in range(20)], "doc_id long, text string, lang string"))
+    assert model.langs == [] and model.predictor()(["a word"]) == [("und", 0.0)]
+
+
 def test_language_scores_by_the_definition(spark, tongues):
     """Counts and scores by plain loops over the sample, which is all that is not held out."""
     train = [(r.lang, r.text) for r in tongues.where(~language.held_out()).collect()]
