@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 
 from kinoframe.functions.rational import MICROS, ceil_div
 
-# File extension to MIME type.
-MIME = {
-    "ttf": "application/x-truetype-font", "otf": "application/vnd.ms-opentype", "ttc": "application/x-truetype-font",
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "txt": "text/plain",
-}
+# File extensions of fonts, with MIME type and codec.
+FONTS = {"ttf": ("application/x-truetype-font", "ttf"), "otf": ("application/vnd.ms-opentype", "otf")}
 
 #: Options that a word is compared with at most.
 MOST_OPTIONS = 10_000
 
 
 def bitrate_bps(text: Column) -> Column:
-    """``2500k``, ``5M`` or a plain number as bits a second; null for anything else."""
-    ok = text.rlike(r"^[0-9]+[kKmM]?$")
-    n = F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("long")
-    unit = F.lower(F.regexp_extract(text, r"([kKmM]?)$", 1))
-    return F.when(ok, n * F.when(unit == "k", 1000).when(unit == "m", 1_000_000).otherwise(1))
+    """``2500k``, ``2.5M``, ``1G`` or a plain number as bits a second, rounded; null for what is not above 0."""
+    shape = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([kKmMgG]?)\s*$"
+    n = F.regexp_extract(text, shape, 1).try_cast("double")
+    unit = F.lower(F.regexp_extract(text, shape, 2))
+    scaled = n * F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "g", 1e9).otherwise(1.0)
+    return F.when(text.rlike(shape) & (n > 0) & (n < float("inf")), F.floor(scaled + 0.5).cast("long"))
 
 
 def seconds_us(text: Column) -> Column:
-    """Strict decimal seconds (digits, a point, up to 6 digits) as microseconds; null for anything else."""
-    return F.when(text.rlike(r"^[0-9]{1,9}(\.[0-9]{1,6})?$"), (text.try_cast("decimal(16,6)") * MICROS).cast("long"))
+    """Strict decimal seconds (digits, a point, digits) as microseconds, rounded; null for anything else."""
+    us = F.floor(text.try_cast("double") * MICROS + 0.5)
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$") & (text.try_cast("double") < 9.2e12), us.cast("long"))
 
 
 def gop_frames(fps_num: Column, fps_den: Column, segment_us: int) -> Column:
@@ -40,10 +39,19 @@ def bandwidth(video_bps: Column, audio_bps: Column) -> Column:
     return F.call_function("div", (video_bps + audio_bps) * 11, F.lit(10))
 
 
+def font_of(path: Column, which: int, other: str) -> Column:
+    table = F.create_map(*[F.lit(x) for k, v in FONTS.items() for x in (k, v[which])])
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))), F.lit(other))
+
+
 def mime_type(path: Column) -> Column:
-    """MIME type by the extension, in lower case; octet-stream where it is not known."""
-    table = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
+    """MIME type of an attachment by its extension: fonts have one, all else is a stream of bytes."""
+    return font_of(path, 0, "application/octet-stream")
+
+
+def codec_id(path: Column) -> Column:
+    """Codec of an attachment by its extension."""
+    return font_of(path, 1, "none")
 
 
 def master_playlist(variants: DataFrame, version: int = 3) -> DataFrame:
@@ -79,25 +87,6 @@ def srt_ms(text: Column) -> Column:
     return F.when(text.rlike(shape), ((part[0] * 60 + part[1]) * 60 + part[2]) * 1000 + part[3])
 
 
-def packed_colour(text: Column) -> Column:
-    """``&HAABBGGRR`` as a struct of red, green, blue and transparency; nothing hexadecimal gives 0."""
-    digits = F.regexp_extract(text, r"^\s*[&H]*(?:0[xX])?([0-9a-fA-F]+)", 1)
-    v = F.coalesce(F.conv(F.right(digits, F.lit(8)), 16, 10).try_cast("long"), F.lit(0))
-    byte = lambda n: F.shiftright(v, n).bitwiseAND(F.lit(255)).cast("int")
-    return F.struct(byte(0).alias("r"), byte(8).alias("g"), byte(16).alias("b"), byte(24).alias("t"))
-
-
-def is_yes(text: Column) -> Column:
-    """True for what begins with ``yes`` in any case, or with a whole number above 0."""
-    return (F.lower(F.substring(text, 1, 3)) == "yes") | (F.coalesce(F.regexp_extract(text, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0)) > 0)
-
-
-def keypad_alignment(n: Column) -> Column:
-    """Keypad position 1 to 9 as the older code: column 1 to 3, plus 8 in the middle row or 4 in the top row."""
-    row = F.call_function("div", n - 1, F.lit(3))
-    return (n - 1) % 3 + 1 + F.when(row == 1, 8).when(row == 2, 4).otherwise(0)
-
-
 def fade(now: Column, a: tuple[int, int, int], t: tuple[int, int, int, int]) -> Column:
     """Transparency of a seven-part fade at ``now``: a1 until t1, to a2 by t2, until t3, to a3 by t4; fractions are cut."""
     now = now.cast("double")

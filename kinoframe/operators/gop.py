@@ -21,9 +21,11 @@ def gop_stats(packets: DataFrame) -> DataFrame:
 
 
 def retained(packets: DataFrame, most: int) -> DataFrame:
-    """Packets of the last ``most`` groups of each stream; groups are numbered without gaps, so the greatest tells."""
+    """Packets that a cache of ``most`` closed groups and the open one holds at the end of each stream; without room for a
+    closed group nothing is cached. Groups are numbered without gaps, so the greatest tells."""
     numbered = with_gop(packets)
-    return numbered.withColumn("_last", F.max("gop_id").over(Window.partitionBy(STREAM))).where(F.col("gop_id") > F.col("_last") - most).drop("_last")
+    last = F.max("gop_id").over(Window.partitionBy(STREAM))
+    return numbered.withColumn("_last", last).where((F.col("gop_id") >= F.col("_last") - most) & F.lit(most > 0)).drop("_last")
 
 
 def replay_suffix(packets: DataFrame, budget: int) -> DataFrame:
@@ -33,13 +35,6 @@ def replay_suffix(packets: DataFrame, budget: int) -> DataFrame:
     return stats.withColumn("suffix_bytes", F.sum("bytes").over(upto(w))).where(F.col("suffix_bytes") <= budget)
 
 
-def wire_size(packets: DataFrame, chunk: int = 4096, header: int = 12) -> DataFrame:
-    """Upper bound of each group's bytes on the wire: payload, a message header a frame, 3 bytes a begun chunk."""
-    stats = gop_stats(packets)
-    chunks = F.call_function("div", F.col("bytes") + chunk - 1, F.lit(chunk))
-    return stats.select(STREAM, "gop_id", (F.col("bytes") + F.col("frames") * header + chunks * 3).alias("wire_bytes"))
-
-
 def gated(packets: DataFrame) -> DataFrame:
     """What a watcher gets that joins at the start: nothing of a stream before its first key packet."""
     seen = F.max(F.col("is_key").cast("int")).over(upto(ordered()))
@@ -47,9 +42,13 @@ def gated(packets: DataFrame) -> DataFrame:
 
 
 def bounded(packets: DataFrame, most_frames: int) -> DataFrame:
-    """Groups of at most ``most_frames`` packets; an open group that grows past that is dropped whole."""
+    """What a cache keeps of groups that grow past ``most_frames`` packets: the packet too many clears the open group, itself
+    with it, and counting begins anew. So of each group the last run stays, if it is not full."""
     numbered = with_gop(packets)
-    return numbered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(STREAM, "gop_id"))).where(F.col("_n") <= most_frames).drop("_n")
+    w = Window.partitionBy(STREAM, "gop_id")
+    run = most_frames + 1
+    rows = numbered.withColumn("_at", F.row_number().over(w.orderBy("seq")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    return rows.where(F.col("_at") >= F.col("_n") - F.col("_n") % run).drop("_at", "_n")
 
 
 def serving_prefix(packets: DataFrame) -> DataFrame:

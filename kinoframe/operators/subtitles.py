@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinoframe.functions.text import packed_colour, srt_ms, timecode_ms
+from kinoframe.functions.text import srt_ms, timecode_ms
+from kinoframe.functions.values import colour
 
 
 def script_lines(scripts: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def styles(scripts: DataFrame) -> DataFrame:
     n = F.least(F.size("_names"), F.size(values))
     fields = F.map_from_arrays(F.slice("_names", F.lit(1), n), F.slice(values, F.lit(1), n))
     out = rows.select("script_id", F.col("line_no").alias("place"), fields.alias("fields"))
-    return out.select("script_id", "place", F.try_element_at("fields", F.lit("name")).alias("name"), "fields", packed_colour(F.try_element_at("fields", F.lit("primarycolour"))).alias("colour"))
+    return out.select("script_id", "place", F.try_element_at("fields", F.lit("name")).alias("name"), "fields", colour(F.try_element_at("fields", F.lit("primarycolour"))).alias("colour"))
 
 
 def srt_cues(scripts: DataFrame) -> DataFrame:
@@ -67,12 +68,13 @@ def first_by_order(rows: DataFrame) -> DataFrame:
 
 
 def styled(events_: DataFrame, styles_: DataFrame) -> DataFrame:
-    """Events with their style: leading asterisks are ignored, the last definition of a name counts, an unknown name takes ``Default``."""
-    last = styles_.groupBy("script_id", F.lower("name").alias("_name")).agg(F.max_by("colour", "place").alias("colour"), F.max("place").alias("place"))
-    bare = F.lower(F.regexp_replace("style", r"^\*+", ""))
-    own = events_.withColumn("_name", bare).join(last, ["script_id", "_name"], "left")
-    fallback = last.where("_name = 'default'").select("script_id", F.col("colour").alias("_colour"))
-    return own.join(fallback, "script_id", "left").withColumn("colour", F.coalesce("colour", "_colour")).drop("_name", "_colour", "place")
+    """Events with their style: leading asterisks are ignored, the last definition of a name counts, an unknown name takes
+    ``Default``. Names are compared as they are; only that of ``Default`` may be in any case."""
+    last = styles_.groupBy("script_id", F.col("name").alias("_name")).agg(F.max_by("colour", "place").alias("colour"))
+    bare = F.regexp_replace("style", r"^\*+", "")
+    own = events_.withColumn("_name", F.when(F.lower(bare) == "default", "Default").otherwise(bare)).join(last, ["script_id", "_name"], "left")
+    fallback = last.where("_name = 'Default'").select("script_id", F.col("colour").alias("_colour"))
+    return own.join(fallback, "script_id", "left").withColumn("colour", F.coalesce("colour", "_colour")).drop("_name", "_colour")
 
 
 def visible(frames: DataFrame, cues: DataFrame, bin_ms: int = 5_000) -> DataFrame:

@@ -195,42 +195,3 @@ def synced(frames: DataFrame, mode: str, fps: int) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", copies long, before long"
     return frames.groupBy(STREAM).applyInPandas(fold, schema)
-
-
-def queue_fold(rows: pd.DataFrame, warning: int, high: int, critical: int, max_age_s: int, audio_age_s: int) -> list[str]:
-    """What a connection's write queue does with each entry: ``queued``, ``dropped``, ``evicted`` later, or ``refused``.
-
-    Below ``warning`` bytes all is queued; below ``high`` droppable video that is no key frame is dropped; above it all
-    droppable entries but key frames; an entry that would reach ``critical`` is refused and ends the connection. Under
-    pressure droppable entries older than the limit leave from the front, up to the first that may not be dropped.
-    """
-    state, queue, total, video = [""] * len(rows), [], 0, False
-    for i, r in enumerate(rows.itertuples()):
-        video |= bool(r.is_video)
-        if total + r.bytes >= critical:
-            state[i] = "refused"
-            break
-        level = 0 if total < warning else 1 if total < high else 2
-        keep = r.is_header or not r.droppable or level == 0 or r.is_key or (level == 1 and not r.is_video)
-        state[i] = "queued" if keep else "dropped"
-        if keep:
-            queue.append((i, r.bytes, r.at_s, r.droppable and not r.is_header))
-            total += r.bytes
-        if level and not r.is_header:
-            limit = max_age_s if video else audio_age_s
-            while queue and queue[0][3] and r.at_s - queue[0][2] > limit:
-                j, size, _, _ = queue.pop(0)
-                total -= size
-                state[j] = "evicted"
-    return state
-
-
-def shed(entries: DataFrame, warning: int = 1 << 20, high: int = 2 << 20, critical: int = 4 << 20, max_age_s: int = 10, audio_age_s: int = 5) -> DataFrame:
-    """Entries of each connection with what its write queue does; entries after a refusal have an empty state."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return rows.assign(state=queue_fold(rows, warning, high, critical, max_age_s, audio_age_s))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in entries.dtypes) + ", state string"
-    return entries.groupBy("conn_id").applyInPandas(fold, schema)

@@ -123,7 +123,7 @@ def _(spark, d):
     "live_gop_cache",
     f"""WITH g AS (SELECT *, sum(CASE WHEN is_key AND r > 1 THEN 1 ELSE 0 END) OVER {UPTO} AS gop FROM (SELECT *, row_number() OVER ({W}) AS r FROM ({PACKETS}))),
         k AS (SELECT *, max(gop) OVER (PARTITION BY stream_index) AS last FROM g)
-        SELECT stream_index, CAST(count(DISTINCT gop) AS BIGINT) AS groups, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, min(seq) AS first_seq FROM k WHERE gop > last - 3 GROUP BY 1""",
+        SELECT stream_index, CAST(count(DISTINCT gop) AS BIGINT) AS groups, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, min(seq) AS first_seq FROM k WHERE gop >= last - 3 GROUP BY 1""",
 )
 def _(spark, d):
     last = live.drained(live.gop_cache(packet_stream(spark, d), 3), "update", "live-gop", "stream_index long, groups long, packets long, bytes long, first_seq long")

@@ -122,17 +122,6 @@ def _(spark, d):
 # --- text ---
 
 
-@query("bitrates", f"SELECT stream_index, CASE stream_index % 3 WHEN 0 THEN width * 1000 WHEN 1 THEN width * 1000000 ELSE width END AS bps FROM ({STREAMS})")
-def _(spark, d):
-    k = F.col("stream_index") % 3
-    return streams(spark, d).select("stream_index", text.bitrate_bps(F.concat(F.col("width").cast("string"), F.when(k == 0, "k").when(k == 1, "M").otherwise(""))).alias("bps"))
-
-
-@query("seconds_text", f"SELECT seq, CASE WHEN measure < 100 THEN CAST(round(measure * 1000000) AS BIGINT) END AS us FROM ({PACKETS})")
-def _(spark, d):
-    return packets(spark, d).select("seq", text.seconds_us(F.when(F.col("measure") < 100, F.col("measure").cast("decimal(10,2)").cast("string")).otherwise("1:40")).alias("us"))
-
-
 @query("gop_frames", f"SELECT stream_index, greatest(1, (width * 1000 * 4000000::BIGINT + 1001 * 1000000 - 1) // (1001 * 1000000)) AS frames FROM ({STREAMS})")
 def _(spark, d):
     return streams(spark, d).select("stream_index", text.gop_frames(F.col("width") * 1000, F.lit(1001), 4_000_000).alias("frames"))
@@ -156,13 +145,6 @@ def _(spark, d):
     return text.master_playlist(rows)
 
 
-@query("attachment_mime", f"SELECT stream_index, CASE stream_index % 4 WHEN 0 THEN 'application/x-truetype-font' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' ELSE 'application/octet-stream' END AS mime FROM ({STREAMS})")
-def _(spark, d):
-    k = F.col("stream_index") % 4
-    path = F.concat(F.lit("/a.b/f"), F.col("stream_index"), F.when(k == 0, ".TTF").when(k == 1, ".jpeg").when(k == 2, ".Png").otherwise(".bin"))
-    return streams(spark, d).select("stream_index", text.mime_type(path).alias("mime"))
-
-
 OPTIONS = ["small", "large", "medium", "promo", "standard", "economy"]
 
 
@@ -177,30 +159,6 @@ def _(spark, d):
     return text.nearest(words, spark.createDataFrame(list(enumerate(OPTIONS)), "place int, option string"))
 
 
-@query("timecodes", f"SELECT script_id, read_order, start_ms + (read_order % 7) * 10 AS ms FROM ({CUES})")
-def _(spark, d):
-    s = F.call_function("div", F.col("start_ms"), F.lit(1000))
-    code = F.concat_ws(":", F.lit("0"), F.call_function("div", s, F.lit(60)), F.concat(s % 60, F.lit("."), F.lpad((F.col("read_order") % 7).cast("string"), 2, "0")))
-    return cues(spark, d).select("script_id", "read_order", text.timecode_ms(code).alias("ms"))
-
-
-@query("packed_colours", f"SELECT seq, CAST(seq % 256 AS INTEGER) AS r, CAST((seq // 7) % 256 AS INTEGER) AS g, CAST((seq // 11) % 256 AS INTEGER) AS b, CAST((seq // 13) % 256 AS INTEGER) AS t FROM ({PACKETS})")
-def _(spark, d):
-    two = lambda n: F.lpad(F.hex(F.call_function("div", F.col("seq"), F.lit(n)) % 256), 2, "0")
-    return packets(spark, d).select("seq", text.packed_colour(F.concat(F.lit("&H"), two(13), two(11), two(7), two(1))).alias("c")).select("seq", "c.r", "c.g", "c.b", "c.t")
-
-
-@query("script_bool", f"SELECT script_id, read_order, read_order % 3 <> 0 AS flag FROM ({CUES})")
-def _(spark, d):
-    k = F.col("read_order") % 3
-    return cues(spark, d).select("script_id", "read_order", text.is_yes(F.when(k == 0, "no").when(k == 1, "Yes!").otherwise(" 2x")).alias("flag"))
-
-
-@query("keypad_alignment", f"SELECT seq, CAST((seq % 9) % 3 + 1 + CASE (seq % 9) // 3 WHEN 1 THEN 8 WHEN 2 THEN 4 ELSE 0 END AS BIGINT) AS code FROM ({PACKETS})")
-def _(spark, d):
-    return packets(spark, d).select("seq", text.keypad_alignment(F.col("seq") % 9 + 1).cast("long").alias("code"))
-
-
 @query(
     "fade_alpha",
     f"""SELECT seq, CAST(CASE WHEN n < 100 THEN 255 WHEN n < 400 THEN trunc(255.0::DOUBLE * (1 - (n - 100) / 300.0::DOUBLE) + 32.0::DOUBLE * ((n - 100) / 300.0::DOUBLE)) WHEN n < 700 THEN 32
@@ -218,11 +176,11 @@ def _(spark, d):
 
 @query(
     "karaoke",
-    f"""WITH s AS (SELECT script_id, read_order, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS k, unnest(w) AS word FROM (SELECT script_id, read_order, string_split(substr(text, 1, 200), ' ') AS w FROM ({CUES})))
+    f"""WITH s AS (SELECT script_id, read_order, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS k, unnest(w) AS word FROM (SELECT script_id, read_order, string_split(text, ' ') AS w FROM ({CUES})))
         SELECT script_id, read_order, k, begin_ms, begin_ms <= 500 AS sung FROM (SELECT *, coalesce(CAST(sum(length(word) * 40) OVER (PARTITION BY script_id, read_order ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begin_ms FROM s)""",
 )
 def _(spark, d):
-    words = cues(spark, d).select("script_id", "read_order", F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("k", "word"))
+    words = cues(spark, d).select("script_id", "read_order", F.posexplode(F.split("text", " ")).alias("k", "word"))
     return text.karaoke(words.withColumn("ms", F.length("word") * 40), 500).select("script_id", "read_order", "k", "begin_ms", "sung")
 
 
@@ -249,13 +207,21 @@ def _(spark, d):
     return subtitles.styles(scripts(spark, d)).select("script_id", "name", F.col("fields")["fontname"].alias("font"), "colour.r", "colour.g", "colour.b")
 
 
-@query("styled_events", f"SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY read_order) - 1 AS read_order, CASE WHEN style = 'user' THEN 0 ELSE 255 END AS r, 255 AS g FROM ({CUES})")
+@query("styled_events", f"SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY read_order) - 1 AS read_order, CASE WHEN style = 'user' AND read_order % 4 < 2 THEN 0 ELSE 255 END AS r, 255 AS g FROM ({CUES})")
 def _(spark, d):
+    """Names as they are, behind asterisks, in other case (which is an unknown name) and the default's in any case."""
     s = scripts(spark, d)
-    return subtitles.styled(subtitles.events(s), subtitles.styles(s)).select("script_id", "read_order", "colour.r", "colour.g")
+    k = F.col("read_order") % 4
+    name = F.when(k == 0, F.col("style")).when(k == 1, F.concat(F.lit("**"), "style")).when(k == 2, F.initcap("style")).otherwise("DEFAULT")
+    return subtitles.styled(subtitles.events(s).withColumn("style", name), subtitles.styles(s)).select("script_id", "read_order", "colour.r", "colour.g")
 
 
-@query("visible_events", f"SELECT script_id, t_ms, read_order, row_number() OVER (PARTITION BY script_id, t_ms ORDER BY layer, read_order) AS z FROM (SELECT c.*, t.k * 700 AS t_ms FROM ({CUES}) c, range(40) t(k)) WHERE t_ms >= start_ms AND t_ms < start_ms + duration_ms")
+@query(
+    "visible_events",
+    f"""SELECT script_id, t_ms, read_order, row_number() OVER (PARTITION BY script_id, t_ms ORDER BY layer, read_order) AS z FROM (
+        SELECT c.*, t.t_ms FROM ({CUES}) c JOIN (SELECT script_id, unnest(generate_series(0, greatest(0, max(start_ms + duration_ms)), 700)) AS t_ms FROM ({CUES}) GROUP BY 1) t USING (script_id))
+        WHERE t_ms >= start_ms AND t_ms < start_ms + duration_ms""",
+)
 def _(spark, d):
     c = cues(spark, d)
     ends = c.groupBy("script_id").agg(F.greatest(F.lit(0), F.max(F.col("start_ms") + F.col("duration_ms"))).cast("long").alias("end_ms"))

@@ -214,7 +214,7 @@ def _(spark, d):
     return gop.gop_stats(packets(spark, d))
 
 
-@query("gop_retained", f"SELECT stream_index, seq, gop_id FROM (SELECT *, max(gop_id) OVER (PARTITION BY stream_index) AS last FROM {GOP}) WHERE gop_id > last - 2")
+@query("gop_retained", f"SELECT stream_index, seq, gop_id FROM (SELECT *, max(gop_id) OVER (PARTITION BY stream_index) AS last FROM {GOP}) WHERE gop_id >= last - 2")
 def _(spark, d):
     return gop.retained(packets(spark, d), 2).select("stream_index", "seq", "gop_id")
 
@@ -224,19 +224,14 @@ def _(spark, d):
     return gop.replay_suffix(packets(spark, d), 600).select("stream_index", "gop_id", "suffix_bytes")
 
 
-@query("gop_wire_size", f"SELECT stream_index, gop_id, bytes + frames * 12 + ((bytes + 4095) // 4096) * 3 AS wire_bytes FROM {GOP_STATS}")
-def _(spark, d):
-    return gop.wire_size(packets(spark, d))
-
-
 @query("gop_gated", f"SELECT stream_index, seq FROM (SELECT *, max(is_key::INT) OVER {UPTO} AS seen FROM ({TYPED})) WHERE seen = 1")
 def _(spark, d):
     return gop.gated(typed_packets(spark, d)).select("stream_index", "seq")
 
 
-@query("gop_bounded", f"SELECT stream_index, seq, gop_id FROM (SELECT *, count(*) OVER (PARTITION BY stream_index, gop_id) AS n FROM {GOP}) WHERE n <= 8")
+@query("gop_bounded", f"SELECT stream_index, seq, gop_id FROM (SELECT *, count(*) OVER (PARTITION BY stream_index, gop_id) AS n, row_number() OVER (PARTITION BY stream_index, gop_id ORDER BY seq) - 1 AS place FROM {GOP}) WHERE place >= n - n % 4")
 def _(spark, d):
-    return gop.bounded(packets(spark, d), 8).select("stream_index", "seq", "gop_id")
+    return gop.bounded(packets(spark, d), 3).select("stream_index", "seq", "gop_id")
 
 
 @query("serving_prefix", f"SELECT stream_index, seq, coalesce(CAST(sum(size) OVER {BEFORE} AS BIGINT), 0) AS ahead_bytes FROM ({PACKETS})")

@@ -156,16 +156,6 @@ def _(spark, d):
     return timeline.synced(packets(spark, d).select("stream_index", "seq", "pts_us", F.lit(40_000).cast("long").alias("duration_us")), "vfr", 1)
 
 
-@query("write_queue_shedding", None)
-def _(spark, d):
-    p = packets(spark, d)
-    rows = p.select(
-        F.col("stream_index").alias("conn_id"), "seq", (F.col("size") * 2000).alias("bytes"), F.call_function("div", F.col("pts_us"), F.lit(3_600_000_000)).alias("at_s"),
-        "is_key", (F.col("event_type") == "signup").alias("is_header"), (F.col("event_type") != "click").alias("is_video"), F.lit(True).alias("droppable"),
-    )
-    return timeline.shed(rows).select("conn_id", "seq", "state")
-
-
 # --- detector events ---
 
 ISLANDS = f"""SELECT stream_index, start_us, end_us FROM (

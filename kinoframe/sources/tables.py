@@ -55,10 +55,11 @@ TYPED = f"""
 
 
 def line_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets at bench scale: one stream a supplier."""
+    """Packets at bench scale: one stream a supplier. ``seq`` is a struct, as order and line number alone repeat."""
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_returnflag")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("stream_index"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        F.struct(*order).alias("seq"),
         micros("l_shipdate").alias("pts_us"),
         F.col("l_quantity").cast("long").alias("size"),
         (F.col("l_returnflag") == "R").alias("is_key"),
@@ -66,7 +67,8 @@ def line_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = """
-    SELECT l_suppkey AS stream_index, l_orderkey * 8 + l_linenumber AS seq, epoch_us(l_shipdate) AS pts_us,
+    SELECT l_suppkey AS stream_index, epoch_us(l_shipdate) AS pts_us,
+           row(l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_returnflag) AS seq,
            CAST(l_quantity AS BIGINT) AS size, l_returnflag = 'R' AS is_key
     FROM lineitem
 """

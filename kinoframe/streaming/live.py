@@ -12,9 +12,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, else under the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share, which goes when the session ends: under spark.checkpoint.dir, or where that is
+    unset under the warehouse, if that is no machine's own disk or the session is a single machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local[") and warehouse.startswith(("/", "file:")):
+            raise ValueError(f"executors do not share {warehouse}: set spark.checkpoint.dir to a folder that they share")
+        base = f"{warehouse}/_shared"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{where}/data"
 
 
 def drained(stream: DataFrame, mode: str, name: str, schema: str, per_batch: bool = True) -> DataFrame:
@@ -46,7 +56,7 @@ def gated(packets: DataFrame) -> DataFrame:
 
 
 def gop_cache(packets: DataFrame, most: int) -> DataFrame:
-    """What a late watcher would be sent of each stream after each batch: its last ``most`` groups.
+    """What a late watcher would be sent of each stream after each batch: its last ``most`` closed groups and the open one.
 
     State: the sequence numbers, key flags and sizes of the groups that are kept; a key packet opens a group unless the
     open one is empty.
@@ -58,7 +68,7 @@ def gop_cache(packets: DataFrame, most: int) -> DataFrame:
             if not groups or (r.is_key and groups[-1]):
                 groups.append([])
             groups[-1].append((int(r.seq), int(r.size)))
-            groups = groups[-most:]
+            groups = groups[-most - 1 :]
         state.update(([[x[0] for x in g] for g in groups], [[x[1] for x in g] for g in groups]))
         yield pd.DataFrame({"stream_index": [key[0]], "groups": [len(groups)], "packets": [sum(map(len, groups))], "bytes": [sum(x[1] for g in groups for x in g)], "first_seq": [groups[0][0][0]]})
 

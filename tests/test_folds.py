@@ -103,20 +103,6 @@ def entry(i, size, **more):
     return {"conn_id": 1, "seq": i, "bytes": size, "at_s": 0, "is_video": True, "is_key": False, "is_header": False, "droppable": True, **more}
 
 
-def test_write_queue_sheds_by_level():
-    mib = 1 << 20
-    rows = pd.DataFrame([
-        entry(0, mib), entry(1, 10), entry(2, mib, is_key=True), entry(3, 10, is_video=False), entry(4, 10, is_key=True),
-        entry(5, 10, is_header=True), entry(6, 2 * mib, is_key=True), entry(7, 1, is_key=True),
-    ])
-    assert timeline.queue_fold(rows, mib, 2 * mib, 4 * mib, 10, 5) == ["queued", "dropped", "queued", "dropped", "queued", "queued", "refused", ""]
-
-
-def test_write_queue_evicts_by_age_up_to_what_is_pinned():
-    rows = pd.DataFrame([entry(0, 100), entry(1, 100, is_header=True), entry(2, 100), entry(3, 10, at_s=60, is_key=True)])
-    assert timeline.queue_fold(rows, 50, 5000, 9000, 10, 5)[:2] == ["evicted", "queued"]
-
-
 def pair_loop(events, end, least):
     pending, out = {}, []
     for channel, kind, t in events:
