@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoframe.sources.tables import PACKETS, packets
@@ -35,3 +35,13 @@ def vectors(query: Callable, name: str, kind: str, pairs: list[tuple], operator:
     def _(spark, d):
         given = F.array(*[F.array(*map(F.lit, x)) if isinstance(x, (list, tuple)) else F.lit(x) for x, _ in pairs])
         return packets(spark, d).select("seq", F.element_at(given, (F.col("seq") % n + 1).cast("int")).alias("x")).select("seq", operator(F.col("x")).alias("v"))
+
+
+def row_vectors(query: Callable, name: str, kind: str, pairs: list[tuple], operator: Callable[[DataFrame], DataFrame]) -> None:
+    """The same for an operator of rows (seq, data), whose input is given in hexadecimal, that adds a column ``v``."""
+    n = len(pairs)
+
+    @query(name, f"SELECT seq, CAST(({literal([r for _, r in pairs])})[seq % {n} + 1] AS {kind}) AS v FROM ({PACKETS})")
+    def _(spark, d):
+        given = F.array(*[F.lit(x) for x, _ in pairs])
+        return operator(packets(spark, d).select("seq", F.unhex(F.element_at(given, (F.col("seq") % n + 1).cast("int"))).alias("data"))).select("seq", "v")
