@@ -93,9 +93,19 @@ def shared_origin(packets: DataFrame, bases: DataFrame) -> DataFrame:
     return rows.withColumn("out_dts", F.col("dts") - origin).drop("o_dts", "o_num", "o_den")
 
 
-def interleaved(packets: DataFrame) -> DataFrame:
-    """Mux order within an asset: by dts, then stream, then arrival."""
-    return packets.withColumn("position", F.row_number().over(Window.partitionBy("asset_id").orderBy("dts", STREAM, "seq")).cast("long"))
+def interleaved(packets: DataFrame, cells: int = 4096) -> DataFrame:
+    """Mux order within an asset: by dts, then stream, then arrival.
+
+    The range of dts is cut into ``cells``; packets are numbered in their cell, after the counts of the cells before it, so
+    that an asset is not one task.
+    """
+    span = packets.agg(F.min("dts").alias("low"), F.max("dts").alias("high")).first()
+    width = max(1, ((span.high or 0) - (span.low or 0)) // cells + 1)
+    rows = packets.withColumn("_cell", F.call_function("div", F.col("dts") - F.lit(span.low or 0), F.lit(width)))
+    before = F.sum("_n").over(Window.partitionBy("asset_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("asset_id", "_cell").agg(F.count(F.lit(1)).alias("_n")).select("asset_id", "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("asset_id", "_cell").orderBy("dts", STREAM, "seq"))
+    return rows.withColumn("_own", own).join(counts, ["asset_id", "_cell"]).withColumn("position", F.col("_before") + F.col("_own")).drop("_own", "_before", "_cell")
 
 
 def shortest(packets: DataFrame, limiting: list[int]) -> DataFrame:
@@ -124,20 +134,16 @@ def percent(t: Column, total_us: int) -> Column:
 
 
 def forced_keys(frames: DataFrame, times_us: list[int]) -> DataFrame:
-    """Frames that are made key frames: the first at or after the next forced time; a frame takes one time at most."""
-    times = sorted(times_us)
+    """Frames that are made key frames, in order of their stamps: the first at or after the next forced time; a frame takes
+    one time at most.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        forced, k = [], 0
-        for t in rows["pts_us"]:
-            hit = k < len(times) and t >= times[k]
-            k += hit
-            forced.append(bool(hit))
-        return rows.assign(forced=forced)
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", forced boolean"
-    return frames.groupBy(STREAM).applyInPandas(fold, schema)
+    Of the times that have come by a frame, as many are taken as frames allow: ranks less the greatest lag so far.
+    """
+    w = Window.partitionBy(STREAM).orderBy("pts_us", "seq")
+    come = sum((F.when(F.col("pts_us") >= t, 1).otherwise(0) for t in times_us), F.lit(0))
+    rank = F.row_number().over(w)
+    rows = frames.withColumn("_rank", rank).withColumn("_taken", F.col("_rank") + F.least(F.lit(0), F.min(come - F.col("_rank")).over(upto(w))))
+    return rows.withColumn("forced", F.col("_taken") > F.coalesce(F.lag("_taken").over(w), F.lit(0))).drop("_rank", "_taken")
 
 
 def half_away(x: float) -> int:
@@ -195,3 +201,31 @@ def synced(frames: DataFrame, mode: str, fps: int) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", copies long, before long"
     return frames.groupBy(STREAM).applyInPandas(fold, schema)
+
+
+def emitted(frames: DataFrame) -> DataFrame:
+    """Frames of ``synced`` as they are put out: (stream_index, tick, seq), ``seq`` the frame shown; the first ``before`` of
+    a frame's copies show the frame before it."""
+    w = ordered()
+    rows = frames.withColumn("_prev", F.coalesce(F.lag("seq").over(w), F.col("seq"))).withColumn("_first", F.sum("copies").over(upto(w)) - F.col("copies")).where("copies > 0")
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.select(STREAM, (F.col("_first") + F.col("_k")).alias("tick"), F.when(F.col("_k") < F.col("before"), F.col("_prev")).otherwise(F.col("seq")).alias("seq"))
+
+
+def sync_mode(asked: Column, variable_rate: Column, stamps: Column) -> Column:
+    """The mode that ``auto`` stands for, by what the container can hold: frames at any time, or no stamps at all."""
+    own = F.when(~variable_rate, "cfr").when(stamps, "vfr").otherwise("passthrough")
+    return F.when(asked == "auto", own).otherwise(asked)
+
+
+def limited(packets: DataFrame, stream: int, most: int) -> DataFrame:
+    """At most ``most`` packets of a stream, which then ends: the others are cut at its end, as with ``shortest``."""
+    n = F.row_number().over(Window.partitionBy("asset_id", STREAM).orderBy("seq"))
+    short = packets.withColumn("_n", n).where((F.col(STREAM) != stream) | (F.col("_n") <= most)).drop("_n")
+    return shortest(short, [stream])
+
+
+def trailing_dts(packets: DataFrame, finished: list[int]) -> DataFrame:
+    """Of each asset the least last dts among streams that are not finished and have one; null without such a stream."""
+    last = packets.groupBy("asset_id", STREAM).agg(F.max_by("dts", "seq").alias("_last"))
+    return last.groupBy("asset_id").agg(F.min(F.when(~F.col(STREAM).isin(finished), F.col("_last"))).alias("dts"))

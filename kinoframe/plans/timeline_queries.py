@@ -141,21 +141,6 @@ def _(spark, d):
     return timeline.progress(typed_packets(spark, d), [0, 2]).select("asset_id", timeline.percent(F.col("out_us") - AT, 90 * DAY).alias("percent"))
 
 
-@query("forced_keys", None)
-def _(spark, d):
-    return timeline.forced_keys(packets(spark, d).select("stream_index", "seq", "pts_us"), [AT + k * DAY for k in range(0, 20, 3)])
-
-
-@query("sync_cfr", None)
-def _(spark, d):
-    return timeline.synced(packets(spark, d).select("stream_index", "seq", "pts_us", F.lit(40_000).cast("long").alias("duration_us")), "cfr", 1)
-
-
-@query("sync_vfr", None)
-def _(spark, d):
-    return timeline.synced(packets(spark, d).select("stream_index", "seq", "pts_us", F.lit(40_000).cast("long").alias("duration_us")), "vfr", 1)
-
-
 # --- detector events ---
 
 ISLANDS = f"""SELECT stream_index, start_us, end_us FROM (
@@ -202,13 +187,6 @@ def _(spark, d):
     return analysis.report(dark(spark, d), cuts(spark, d))
 
 
-@query("paired_events", None)
-def _(spark, d):
-    p = packets(spark, d).where("event_type in ('signup', 'purchase')")
-    marks = p.select("stream_index", (F.col("seq") % 2).alias("channel"), "seq", F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"), "pts_us")
-    return analysis.paired(marks, F.lit(AT + 400 * DAY), 0)
-
-
 @query("last_loudness", f"SELECT stream_index, arg_max(a, seq) FILTER (a IS NOT NULL) AS integrated, arg_max(b, seq) FILTER (b IS NOT NULL) AS range FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN measure END AS a, CASE WHEN seq % 5 = 0 THEN measure / 2 END AS b FROM ({PACKETS})) GROUP BY 1")
 def _(spark, d):
     p = packets(spark, d).withColumn("integrated", F.when(F.col("seq") % 3 == 0, F.col("measure"))).withColumn("range", F.when(F.col("seq") % 5 == 0, F.col("measure") / 2))
