@@ -149,3 +149,84 @@ def best_streams(streams: DataFrame, kind: str) -> DataFrame:
 def first_streams(streams: DataFrame) -> DataFrame:
     """The first stream of each kind of each asset."""
     return streams.groupBy("asset_id", "kind").agg(F.min("stream_index").alias("stream_index"))
+
+
+class Scope:
+    """A scope of metadata: ``g`` (or nothing) the file, ``s[:specifier]`` streams, ``c:N`` a chapter, ``p:N`` a program."""
+
+    def __init__(self, text: str):
+        kind, _, rest = text.partition(":")
+        if kind not in ("", "g", "s", "c", "p") or (kind in ("c", "p") and not re.fullmatch(r"[0-9]+", rest)) or (kind in ("", "g") and rest):
+            raise ValueError(f"metadata scope {text!r}")
+        self.kind, self.rest = kind or "g", rest
+
+    def places(self, rows: DataFrame, streams: DataFrame) -> DataFrame:
+        """(asset_id, place) of what the scope names, for the assets of ``rows``; ``place`` is null for the file."""
+        assets = rows.select("asset_id").distinct()
+        if self.kind == "s":
+            return Specifier(self.rest).select(streams).select("asset_id", F.col("stream_index").cast("long").alias("place"))
+        return assets.withColumn("place", F.lit(int(self.rest) if self.rest else None).cast("long"))
+
+
+#: Keys of a file that describe its making, which a copy does not take along.
+OWN_KEYS = ["creation_time", "company_name", "product_name", "product_version"]
+
+
+def processed(
+    source: DataFrame,
+    streams: DataFrame,
+    maps: list[tuple[str, str]] = (),
+    user: list[tuple[str, str, str]] = (),
+    auto: bool = True,
+    recording: bool = False,
+    encoded: bool = False,
+) -> DataFrame:
+    """Metadata of outputs as (asset_id, scope, place, key, value) from that of their inputs, in the same form.
+
+    First the mappings (from, to) of scopes; then, with ``auto``, the file's own entries and those of each stream, unless a
+    mapping named that kind of scope on either side; of a key the first value counts. The file's entries lose ``OWN_KEYS``,
+    and its duration under a recording time; streams that are encoded lose their encoder. Last the user's (scope, key, value),
+    which replace, or delete by an empty value.
+    """
+    parts, manual = [], set()
+    pick = ["asset_id", "scope", "place", "key", "value"]
+    for n, (a, b) in enumerate(maps):
+        src, dst = Scope(a), Scope(b)
+        manual |= {src.kind, dst.kind}
+        # one place to copy from, the first that the scope names
+        from_ = src.places(source, streams).groupBy("asset_id").agg(F.min("place").alias("_from"))
+        rows = source.where(F.col("scope") == src.kind).join(from_, "asset_id").where(F.col("place").eqNullSafe(F.col("_from"))).select("asset_id", "key", "value")
+        parts.append(rows.join(dst.places(source, streams), "asset_id").select("asset_id", F.lit(dst.kind).alias("scope"), "place", "key", "value", F.lit(n).alias("_rank")))
+    if auto:
+        for kind, without in (("g", OWN_KEYS + (["duration"] if recording else [])), ("s", ["encoder"] if encoded else [])):
+            if kind not in manual:
+                rows = source.where(F.col("scope") == kind)
+                parts.append((rows.where(~F.col("key").isin(without)) if without else rows).select(*pick, F.lit(len(maps)).alias("_rank")))
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    if out is None:
+        out = source.where("false").select(*pick, F.lit(0).alias("_rank"))
+    for n, (scope, key, value) in enumerate(user):
+        s = Scope(scope)
+        to = s.places(source, streams)
+        out = out.unionByName(to.select("asset_id", F.lit(s.kind).alias("scope"), "place", F.lit(key).alias("key"), F.lit(value).alias("value"), F.lit(-1 - n).alias("_rank")))
+    first = out.groupBy("asset_id", "scope", "place", "key").agg(F.min_by("value", "_rank").alias("value"))
+    return first.where("value <> ''")
+
+
+def sorted_codecs(codecs: DataFrame) -> DataFrame:
+    """Codecs (kind, name) with their ``place`` by kind, then name."""
+    order = F.expr("CASE kind WHEN 'video' THEN 0 WHEN 'audio' THEN 1 WHEN 'data' THEN 2 WHEN 'subtitle' THEN 3 ELSE 4 END")
+    own = F.row_number().over(Window.partitionBy("kind").orderBy("name"))
+    return codecs.withColumn("order", order).withColumn("place", own)
+
+
+def first_data(streams: DataFrame, codec: str) -> DataFrame:
+    """The first data stream of each asset that has the container's data codec."""
+    return streams.where((F.col("kind") == "data") & (F.col("codec") == codec)).groupBy("asset_id").agg(F.min("stream_index").alias("stream_index"))
+
+
+def merged_options(by_kind: Column, by_map: Column) -> Column:
+    """Options of an encoder: those of its kind of stream, and over them those of its own map."""
+    return F.map_concat(F.map_filter(by_kind, lambda k, v: ~F.map_contains_key(by_map, k)), by_map)

@@ -89,3 +89,19 @@ def visible(frames: DataFrame, cues: DataFrame, bin_ms: int = 5_000) -> DataFram
     at = frames.withColumn("_bin", cell(F.col("t_ms")))
     hit = at.join(spread, ["script_id", "_bin"]).where("t_ms >= start_ms and t_ms < start_ms + duration_ms").drop("_bin")
     return hit.withColumn("z", F.row_number().over(Window.partitionBy("script_id", "t_ms").orderBy("layer", "read_order")).cast("long"))
+
+
+def packets_of(cues: DataFrame, codec: str, start_us: int | None = None, duration_us: int | None = None) -> DataFrame:
+    """Cues (script_id, seq, pts_us, show_ms, hide_ms, rects) as packets (script_id, seq, part, pts_us, duration_us).
+
+    Cues before the start go, and all from the first on that reaches the end of the recording. Bitmaps for broadcast
+    (``dvb``) are two packets, one that draws and one that clears; ``ass`` has one a rectangle; others one.
+    """
+    rows = cues if start_us is None else cues.where(F.col("pts_us") >= start_us)
+    if duration_us is not None:
+        late = F.max((F.col("pts_us") - (start_us or 0) >= duration_us).cast("int")).over(Window.partitionBy("script_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_late", late).where("_late = 0")
+    parts = F.lit(2) if codec == "dvb" else F.greatest(F.col("rects"), F.lit(1)) if codec == "ass" else F.lit(1)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    shift = F.when(F.col("part") == 0, F.col("show_ms")).otherwise(F.col("hide_ms")) * 1000 if codec == "dvb" else F.lit(0)
+    return rows.select("script_id", "seq", "part", (F.col("pts_us") + shift).alias("pts_us"), ((F.col("hide_ms") - F.col("show_ms")) * 1000).alias("duration_us"))
