@@ -10,9 +10,6 @@ from kinoframe.functions.rational import MICROS, ceil_div
 # File extensions of fonts, with MIME type and codec.
 FONTS = {"ttf": ("application/x-truetype-font", "ttf"), "otf": ("application/vnd.ms-opentype", "otf")}
 
-#: Options that a word is compared with at most.
-MOST_OPTIONS = 10_000
-
 
 def bitrate_bps(text: Column) -> Column:
     """``2500k``, ``2.5M``, ``1G`` or a plain number as bits a second, rounded; null for what is not above 0."""
@@ -64,11 +61,19 @@ def master_playlist(variants: DataFrame, version: int = 3) -> DataFrame:
 def nearest(words: DataFrame, options: DataFrame, most: int = 2) -> DataFrame:
     """Each word's nearest option by edit distance, if within ``most``; the first option wins ties.
 
-    ``words``: (word); ``options``: (place, option), at most ``MOST_OPTIONS`` rows, which are counted before they are broadcast.
+    ``words``: (word); ``options``: (place, option). An option within ``most`` edits keeps one of ``most`` + 1 pieces as it
+    is, moved by ``most`` at most, so pairs meet by equal pieces of equal places: no word is compared with every option.
     """
-    if (n := options.count()) > MOST_OPTIONS:
-        raise ValueError(f"{n} options; at most {MOST_OPTIONS} are compared with every word")
-    pairs = words.join(F.broadcast(options), F.abs(F.length("word") - F.length("option")) <= most)
+    pieces = F.explode(F.sequence(F.lit(0), F.lit(most)))
+    cut = lambda i: F.floor(i * F.col("_size") / (most + 1)).cast("int")
+    bounds = lambda rows: rows.withColumn("_piece", pieces).withColumn("_a", cut(F.col("_piece"))).withColumn("_n", cut(F.col("_piece") + 1) - F.col("_a"))
+    kept = bounds(options.select("place", "option", F.length("option").alias("_size"))).withColumn("_text", F.substr(F.col("option"), F.col("_a") + 1, F.col("_n")))
+    size = F.length("word")
+    probes = bounds(words.select("word", F.explode(F.sequence(F.greatest(size - most, F.lit(0)), size + most)).alias("_size")))
+    probes = probes.withColumn("_at", F.explode(F.sequence(F.greatest(F.col("_a") - most, F.lit(0)), F.col("_a") + most))).where(F.col("_at") + F.col("_n") <= size)
+    key = ["_size", "_piece", "_text"]
+    probes = probes.withColumn("_text", F.substr(F.col("word"), F.col("_at") + 1, F.col("_n"))).select("word", *key).distinct()
+    pairs = probes.join(kept.select("place", "option", *key), key).select("word", "place", "option").distinct()
     near = pairs.withColumn("distance", F.levenshtein("word", "option")).where(F.col("distance") <= most)
     return near.groupBy("word").agg(F.min(F.struct("distance", "place", "option")).alias("n")).select("word", "n.option", "n.distance")
 

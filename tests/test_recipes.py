@@ -87,3 +87,29 @@ def test_script_lines_keep_commas_of_the_text(spark):
     script = "[Events]\r\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\r\nDialogue: 2,0:00:01.00,0:00:02.50,*Default,,0,0,0,,one, two, {\\i1}three"
     row = subtitles.events(spark.createDataFrame([(1, script), (2, ""), (3, None)], "script_id long, script string")).collect()
     assert [(r.layer, r.start_ms, r.duration_ms, r.text) for r in row] == [(2, 1000, 1500, "one, two, {\\i1}three")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_option_equals_comparing_all(spark):
+    import random
+
+    from kinoframe.functions import text
+
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("ab") for _ in range(pick.randint(0, 9)))
+    words, options = sorted({word() for _ in range(150)}), [word() for _ in range(40)]
+    got = text.nearest(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(enumerate(options)), "place int, option string"))
+    want = {}
+    for w in words:
+        d, place = min((edits(w, o), i) for i, o in enumerate(options))
+        if d <= 2:
+            want[w] = (options[place], d)
+    assert {r.word: (r.option, r.distance) for r in got.collect()} == want
