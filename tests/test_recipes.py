@@ -78,7 +78,7 @@ def test_timecodes(spark, given, ms):
     assert spark.createDataFrame([(given,)], "t string").select(text.timecode_ms(F.col("t")).alias("ms")).first().ms == ms
 
 
-@pytest.mark.parametrize("given, bps", [("2500k", 2_500_000), ("5M", 5_000_000), ("77", 77), ("5G", None), ("", None)])
+@pytest.mark.parametrize("given, bps", [("2500k", 2_500_000), ("5M", 5_000_000), ("77", 77), ("5G", 5_000_000_000), ("2.5M", 2_500_000), ("5T", None), ("", None)])
 def test_bitrates(spark, given, bps):
     assert spark.createDataFrame([(given,)], "t string").select(text.bitrate_bps(F.col("t")).alias("b")).first().b == bps
 
