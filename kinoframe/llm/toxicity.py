@@ -166,7 +166,8 @@ def fit(sample: DataFrame, size: int = 1536, base_bytes: int = 250_000, mark_z:
         last = k == folds
         return pd.DataFrame({"x": [[list(map(float, r)) for r in x]], "y": [y], "toxic": [content[0] if last else b""], "ordinary": [content[1] if last else b""]})
 
-    found = parts.groupBy("part").applyInPandas(run, "x array<array<double>>, y array<int>, toxic binary, ordinary binary").collect()
+    # by range: a task a part, where hashes of so few numbers would meet
+    found = parts.repartitionByRange(folds + 1, "part").groupBy("part").applyInPandas(run, "x array<array<double>>, y array<int>, toxic binary, ordinary binary").collect()
     x, y = [r for f in found for r in f.x], [v for f in found for v in f.y]
     if x:
         model.toxic, model.ordinary = (max((bytes(f[c]) for f in found), key=len) for c in ("toxic", "ordinary"))
