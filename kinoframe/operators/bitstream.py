@@ -87,8 +87,13 @@ def scan(units: DataFrame) -> DataFrame:
 
 def length_prefixed(units: DataFrame) -> DataFrame:
     """Units joined again, each behind its length: natively, from the array."""
-    one = lambda n: F.concat(F.unhex(F.lpad(F.hex(n["size"]), 8, "0")), n.data)
-    return units.withColumn("sample", F.aggregate("nals", F.lit(b"").cast("binary"), lambda a, n: F.concat(a, one(n))))
+    one = lambda n: F.concat(F.lpad(F.hex(n["size"]), 8, "0"), F.hex(n.data))
+    return units.withColumn("sample", joined(F.transform("nals", one)))
+
+
+def joined(parts: Column) -> Column:
+    """Pieces in hexadecimal as one binary: each byte is copied once, however many pieces there are."""
+    return F.unhex(F.array_join(parts, ""))
 
 
 def byte_at(data: Column, i: int) -> Column:
@@ -132,8 +137,8 @@ FLV_HEADER = b"FLV\x01\x05\x00\x00\x00\x09\x00\x00\x00\x00"
 
 def flv_stream(tags: DataFrame, key: str) -> DataFrame:
     """One FLV file a key from (key, seq, tag) rows; a key's tags must fit in a task."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda x: x.tag)
-    return tags.groupBy(key).agg(F.aggregate(parts, F.lit(FLV_HEADER).cast("binary"), lambda a, x: F.concat(a, x)).alias("data"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda x: F.hex(x.tag))
+    return tags.groupBy(key).agg(joined(F.concat(F.array(F.lit(FLV_HEADER.hex())), parts)).alias("data"))
 
 
 def flv_tags(files: DataFrame, binary: str = "data") -> DataFrame:

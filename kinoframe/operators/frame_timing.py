@@ -1,22 +1,29 @@
 """Timing of packets and decoded frames: predicted stamps, durations, time bases.
 
-Everything is a window over a stream in order; a prediction that builds on the one before it is a sum since the last stamp
-that was there.
+A prediction that builds on the one before it is a sum since the last stamp that was there. The clock of sound and the jumps
+of several streams have no such form; they carry a state along the packets (``folds.folded``).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from math import gcd
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinoframe.functions.rational import MICROS, rescale_q
+from kinoframe.operators.folds import folded
 from kinoframe.operators.scan import STREAM, ordered, upto
 
 #: A time base that holds all common sample rates, for when their common multiple is too large.
 COMMON_RATE = 28_224_000
+INT_MAX = (1 << 31) - 1
+
+
+def nearest(n: int, d: int) -> int:
+    """n / d rounded, halves away from zero."""
+    return (2 * abs(n) + d) // (2 * d) * (1 if n >= 0 else -1)
 
 
 def islands_of(known: Column) -> Column:
@@ -94,15 +101,121 @@ def common_rates(frames: DataFrame) -> DataFrame:
     """
     changed = frames.withColumn("_before", F.lag("sample_rate").over(ordered())).where("_before IS NULL OR _before <> sample_rate").select(STREAM, "seq", "sample_rate")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, base, out = rows.sort_values("seq"), 1, []
-        for rate in rows["sample_rate"].tolist():
-            share = base // gcd(base, rate)
-            base = COMMON_RATE if share >= (1 << 31) // rate else share * rate
-            out.append(base)
-        return rows.assign(base=out)
+    def step(clock: Clock, rate: int) -> tuple[int]:
+        clock.change(rate)
+        return (clock.base,)
+
+    return folded(changed, [STREAM], ["seq"], ["sample_rate"], Clock, step, "base long")
+
+
+@dataclass
+class Clock:
+    """The clock of a stream of sound: its ticks a second, the last frame's place on it, and where the next one is due."""
+
+    base: int = 1
+    rate: int | None = None
+    last: int | None = None
+    length: int = 0
+    due: int | None = None
+
+    def change(self, rate: int, num: int = 0, den: int = 1) -> None:
+        """Takes up another sample rate: what is known moves to the base that also holds its stamps, which is that of the
+        frame (num/den seconds a tick) if it is finer."""
+        before = self.base
+        share = before // gcd(before, rate)
+        self.base = COMMON_RATE if share >= INT_MAX // rate else share * rate
+        if num == 1 and den > self.base and den % self.base == 0:
+            self.base = den
+        self.last = None if self.last is None else nearest(self.last * self.base, before)
+        self.length = nearest(self.length * self.base, before)
+        self.rate = rate
+
+    def stamp(self, pts: int | None, num: int, den: int, rate: int, samples: int) -> int:
+        """Where a frame of ``samples`` samples lies, in samples of its rate.
+
+        ``pts`` counts num/den seconds. Where it agrees with the end of the frame before it to half a tick, that end is
+        taken, which is finer; where it does not, or lies after a gap, the clock is set by it anew.
+        """
+        if rate != self.rate:
+            self.change(rate, num, den)
+        expected = 0 if self.last is None else self.last + self.length
+        if pts is None:
+            pts, num, den = expected, 1, self.base
+        elif self.last is not None and pts > -(-expected * den // (self.base * num)):
+            self.due = None
+        at = nearest(pts * num * self.base, den)
+        if self.due is not None and samples and num * self.base > den:
+            low = ((2 * pts - 1) * num * self.base // den) >> 1
+            high = (-(-(2 * pts + 1) * num * self.base // den) + 1) >> 1
+            if 2 * low - high <= self.due <= 2 * high - low:
+                at = min(max(self.due, low), high)
+        self.due = at + samples
+        self.last, self.length = at, nearest(samples * self.base, rate)
+        return nearest(at * rate, self.base)
+
+
+def sound_stamps(frames: DataFrame) -> DataFrame:
+    """Frames of sound (pts in ticks of num/den seconds, sample_rate, samples) with ``out_pts`` in samples of their rate."""
+    inputs = ["pts", "num", "den", "sample_rate", "samples"]
+    return folded(frames, [STREAM], ["seq"], inputs, Clock, lambda clock, *frame: (clock.stamp(*frame),), "out_pts long")
+
+
+@dataclass
+class Joint:
+    """What is known of an asset whose stamps may jump: the offset that takes all jumps so far out again, the last stamp of
+    any stream, and each stream's last stamp and the next one it is due."""
+
+    offset: int = 0
+    last: int | None = None
+    streams: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    def jump(self, stream: int, dts: int, far_us: int, back_us: int) -> int:
+        """How far a stamp lies off: from what its stream is due, or for a stream's first from the asset's last stamp."""
+        seen, due = self.streams.get(stream, (dts, self.last))
+        if due is None:
+            return 0
+        off = dts - due
+        return off if abs(off) > far_us or dts + back_us < seen else 0
+
+    def pass_on(self, stream: int, dts: int | None, pts: int | None, duration: int) -> None:
+        at = dts if dts is not None else self.streams[stream][1] if stream in self.streams else pts or 0
+        self.streams[stream] = (at, at + duration)
+
+
+def rejoined(packets: DataFrame, far_us: int = 10 * MICROS, back_us: int = MICROS // 10) -> DataFrame:
+    """Packets of containers whose stamps may jump, with ``out_dts``, ``out_pts`` and the asset's running ``offset_us``.
+
+    A jump is taken out of every stream of the asset, whichever shows it first; only packets with a dts and ``timed`` true
+    (sound and pictures) show one. Columns: asset_id, seq, stream_index, timed, dts_us, pts_us, duration_us.
+    """
 
-    return changed.groupBy(STREAM).applyInPandas(fold, f"{STREAM} long, seq long, sample_rate int, base long")
+    def step(joint: Joint, stream, timed, dts, pts, duration):
+        dts, pts = (x if x is None else x + joint.offset for x in (dts, pts))
+        if dts is not None and timed:
+            off = joint.jump(stream, dts, far_us, back_us)
+            joint.offset -= off
+            dts, pts = dts - off, pts if pts is None else pts - off
+            joint.last = dts
+        joint.pass_on(stream, dts, pts, duration or 0)
+        return dts, pts, joint.offset
+
+    inputs = [STREAM, "timed", "dts_us", "pts_us", "duration_us"]
+    return folded(packets, ["asset_id"], ["seq"], inputs, Joint, step, "out_dts long, out_pts long, offset_us long")
+
+
+def without_strays(packets: DataFrame, far_us: int = 108_000 * MICROS) -> DataFrame:
+    """Packets of all other containers, with ``out_dts`` and ``out_pts``: null what lies further than ``far_us`` from what
+    its stream is due."""
+
+    def step(joint: Joint, stream, timed, dts, pts, duration):
+        if dts is not None and timed and stream in joint.streams:
+            due = joint.streams[stream][1]
+            dts, pts = (None if x is None or abs(x - due) > far_us else x for x in (dts, pts))
+        joint.pass_on(stream, dts, pts, duration or 0)
+        return dts, pts
+
+    inputs = [STREAM, "timed", "dts_us", "pts_us", "duration_us"]
+    return folded(packets, ["asset_id"], ["seq"], inputs, Joint, step, "out_dts long, out_pts long")
 
 
 def wrap_corrected(packets: DataFrame, start: Column, bits: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +34,34 @@ def as_s16(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("data", F.transform("data", lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.round(x.cast("double") * 32768).cast("int")))))
 
 
+def placed(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``start``, ``total`` (samples before them and of their asset) and ``after`` (the sample that follows, for
+    the last chunk its own last). Only sizes and first samples are gathered by asset, never the samples."""
+    w = Window.partitionBy("asset_id").orderBy("index")
+    ends = chunks.where(F.size("data") > 0).select("asset_id", "index", F.size("data").alias("_n"), F.element_at("data", 1).alias("_first"), F.element_at("data", -1).alias("_last"))
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy("asset_id"))
+    places = ends.select("asset_id", "index", before.alias("start"), total.alias("total"), F.coalesce(F.lead("_first").over(w), "_last").alias("after"))
+    return chunks.join(places, ["asset_id", "index"])
+
+
 def resampled(chunks: DataFrame, rate: int) -> DataFrame:
-    """Each asset at another rate by linear interpolation; an asset must fit in a task."""
+    """Chunks at another rate by linear interpolation, each with ``first``, the place of its first new sample in the asset.
+
+    A chunk makes the new samples that fall on it or between it and the next one, whose first sample is at hand, so chunks
+    are worked on apart. An asset of n samples gets n * rate / its rate, rounded down; chunks that get none are left out.
+    """
+    old = F.col("sample_rate").cast("long")
+    upward = lambda n: F.call_function("div", n * rate + old - 1, old)
+    rows = placed(chunks).withColumn("first", upward(F.col("start")))
+    most = F.call_function("div", F.col("total") * rate, old)
+    rows = rows.withColumn("_end", F.least(upward(F.col("start") + F.size("data")), most)).where("_end > first").withColumn("_x", F.concat("data", F.array("after")))
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate(rows.sort_values("index")["data"].to_list()).astype(np.float64)
-        old = int(rows["sample_rate"].iloc[0])
-        n = len(x) * rate // old
-        y = np.interp(np.arange(n) * old / rate, np.arange(len(x)), x)
-        return pd.DataFrame({"asset_id": [rows["asset_id"].iloc[0]], "sample_rate": [rate], "data": [y.tolist()]})
+    def sample(j):
+        at = (F.call_function("div", j * old, F.lit(rate)) - F.col("start")).cast("int")
+        low, high = F.get("_x", at).cast("double"), F.get("_x", at + 1).cast("double")
+        return low + (high - low) * (F.pmod(j * old, F.lit(rate)) / F.lit(float(rate)))
 
-    return chunks.groupBy("asset_id").applyInPandas(work, "asset_id long, sample_rate int, data array<double>")
+    # a projection of its own: within one that also renames the rate, a lambda would read the new one
+    new = rows.withColumn("_new", F.transform(F.sequence("first", F.col("_end") - 1), sample))
+    return new.select("asset_id", "index", F.lit(rate).alias("sample_rate"), "first", F.col("_new").alias("data"))

@@ -1,19 +1,19 @@
 """Timestamps over time: repair, discontinuities, shared origins, cuts and progress.
 
-Folds that have a closed form are windows; those that have none run a stream at a time, ordered, by ``applyInPandas``
-(one group a stream, so streams bound the parallelism and a stream must fit in a worker).
+Folds that have a closed form are windows; those that have none carry a state along a stream in order (``folds.folded``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinoframe.functions.rational import MICROS, median3, rescale
+from kinoframe.operators.folds import folded
 from kinoframe.operators.scan import STREAM, ordered, upto
 
 
@@ -150,23 +150,29 @@ def half_away(x: float) -> int:
     return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
 
 
-def sync_fold(pts: np.ndarray, durations: np.ndarray, mode: str, most: int = 3_240_000) -> tuple[list[int], list[int]]:
-    """Copies of each frame (in output ticks) and of the frame before it, by the mode's drift thresholds.
+@dataclass
+class Output:
+    """Where the output of a rate conversion stands: its next tick, and the frames put out so far."""
 
-    A frame's drift is where it falls less where the output stands. Constant rates drop a frame that ends more than 1.1
-    ticks early and repeat one that ends more than 1.1 late, first the frame before it if it also begins late; variable
-    rates drop what ends 0.6 early and move the output on to what ends 0.6 late; pass-through keeps every stamp.
-    """
-    out, prev_out, nxt, n = [], [], 0, 0
-    for ipts, duration in zip(pts.tolist(), durations.tolist()):
-        start = ipts - nxt
+    nxt: int = 0
+    frames: int = 0
+    origin_us: int | None = None
+
+    def take(self, ipts: float, duration: float, mode: str, most: int = 3_240_000) -> tuple[int, int]:
+        """Copies of a frame (in output ticks) and, of these, those of the frame before it, by the mode's drift thresholds.
+
+        A frame's drift is where it falls less where the output stands. Constant rates drop a frame that ends more than 1.1
+        ticks early and repeat one that ends more than 1.1 late, first the frame before it if it also begins late; variable
+        rates drop what ends 0.6 early and move the output on to what ends 0.6 late; pass-through keeps every stamp.
+        """
+        start = ipts - self.nxt
         end = start + duration
         if start < 0 < end and mode != "passthrough":
-            ipts, duration, start = float(nxt), duration + start, 0.0
+            ipts, duration, start = float(self.nxt), duration + start, 0.0
         copies, before = 1, 0
         if mode in ("cfr", "vscfr"):
-            if mode == "vscfr" and n == 0 and start >= 0.5:
-                end, start, nxt = duration, 0.0, half_away(ipts)
+            if mode == "vscfr" and self.frames == 0 and start >= 0.5:
+                end, start, self.nxt = duration, 0.0, half_away(ipts)
             if end < -1.1:
                 copies = 0
             elif end > 1.1:
@@ -177,30 +183,32 @@ def sync_fold(pts: np.ndarray, durations: np.ndarray, mode: str, most: int = 3_2
             if end <= -0.6:
                 copies = 0
             elif end > 0.6:
-                nxt = half_away(ipts)
+                self.nxt = half_away(ipts)
         else:
-            nxt = half_away(ipts)
+            self.nxt = half_away(ipts)
         if copies > most:
             copies = 0
-        before = min(before, copies)
-        out.append(copies)
-        prev_out.append(before)
-        nxt += copies
-        n += copies
-    return out, prev_out
+        self.nxt += copies
+        self.frames += copies
+        return copies, min(before, copies)
+
+
+def sync_fold(pts: Iterable[float], durations: Iterable[float], mode: str) -> tuple[list[int], list[int]]:
+    """The copies of all frames of a stream, and those of the frames before them."""
+    out = Output()
+    taken = [out.take(float(t), float(d), mode) for t, d in zip(pts, durations)]
+    return [c for c, _ in taken], [b for _, b in taken]
 
 
 def synced(frames: DataFrame, mode: str, fps: int) -> DataFrame:
     """Frames with ``copies`` and ``before`` (copies that show the frame before) at an output rate of ``fps``."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        t = (rows["pts_us"].to_numpy() - rows["pts_us"].iloc[0]) * fps / MICROS
-        copies, before = sync_fold(t, rows["duration_us"].to_numpy() * fps / MICROS, mode)
-        return rows.assign(copies=copies, before=before)
+    def step(out: Output, pts_us: int, duration_us: int) -> tuple[int, int]:
+        if out.origin_us is None:
+            out.origin_us = pts_us
+        return out.take((pts_us - out.origin_us) * fps / MICROS, duration_us * fps / MICROS, mode)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", copies long, before long"
-    return frames.groupBy(STREAM).applyInPandas(fold, schema)
+    return folded(frames, [STREAM], ["seq"], ["pts_us", "duration_us"], Output, step, "copies long, before long")
 
 
 def emitted(frames: DataFrame) -> DataFrame:

@@ -98,7 +98,21 @@ def _(spark, d):
 
 @query("audio_resampled", f'SELECT asset_id, 8000 AS sample_rate, CAST(sum(len(data)) // 2 AS INTEGER) AS samples, arg_min(data[3], "index")::DOUBLE AS second FROM ({CHUNKS}) GROUP BY 1')
 def _(spark, d):
-    return samples.resampled(chunks(spark, d), 8000).select("asset_id", "sample_rate", F.size("data").alias("samples"), F.element_at("data", 2).alias("second"))
+    second = F.when(F.col("first") <= 1, F.get("data", (1 - F.col("first")).cast("int")))
+    blocks = samples.resampled(chunks(spark, d), 8000).select("asset_id", "sample_rate", F.size("data").alias("n"), second.alias("second"))
+    return blocks.groupBy("asset_id", "sample_rate").agg(F.sum("n").cast("int").alias("samples"), F.max("second").alias("second"))
+
+
+@query(
+    "audio_resampled_up",
+    f"""WITH s AS (SELECT asset_id, "index" * 64 + i AS n, x FROM (SELECT asset_id, "index", generate_subscripts(data, 1) - 1 AS i, unnest(data)::DOUBLE AS x FROM ({CHUNKS}))),
+        l AS (SELECT asset_id, count(*) AS total FROM s GROUP BY 1), j AS (SELECT asset_id, total, unnest(range(total * 44100 // 16000)) AS j FROM l)
+        SELECT j.asset_id, j.j AS place, a.x + (coalesce(b.x, a.x) - a.x) * ((j.j * 16000) % 44100 / 44100.0::DOUBLE) AS x
+        FROM j JOIN s a ON a.asset_id = j.asset_id AND a.n = j.j * 16000 // 44100 LEFT JOIN s b ON b.asset_id = j.asset_id AND b.n = a.n + 1""",
+)
+def _(spark, d):
+    new = samples.resampled(chunks(spark, d), 44_100)
+    return new.select("asset_id", "first", F.posexplode("data").alias("i", "x")).select("asset_id", (F.col("first") + F.col("i")).alias("place"), "x")
 
 
 # --- live ---

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinoframe.operators import analysis, frame_timing, timeline
@@ -214,6 +215,54 @@ def _(spark, d):
     return analysis.paired(marks, F.lit(AT + 400 * DAY), 0)
 
 
+# --- jumps and the clock of sound ---
+
+# an asset a user, a stream a type; a day is 17 seconds, and a type other than the first two shows no jumps
+JUMPY = f"""SELECT stream_index AS asset_id, seq, type AS s, type < 2 AS timed, CASE WHEN seq % 7 <> 3 THEN (pts_us - {AT}) // 5000 END AS dts, (pts_us - {AT}) // 5000 + 80000 AS pts, 40000::BIGINT AS du,
+        row_number() OVER ({W}) AS r FROM (SELECT *, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS type FROM ({PACKETS}))"""
+
+
+def jumpy(spark, d):
+    kind = F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END")
+    t = F.call_function("div", F.col("pts_us") - AT, F.lit(5_000))
+    rows = packets(spark, d).withColumn("asset_id", F.col("stream_index")).withColumn("stream_index", kind.cast("long"))
+    return rows.select("asset_id", "seq", "stream_index", (F.col("stream_index") < 2).alias("timed"), F.when(F.col("seq") % 7 != 3, t).alias("dts_us"), (t + 80_000).alias("pts_us"), F.lit(40_000).cast("long").alias("duration_us"))
+
+
+def jump_sql(far: int, strays: bool) -> str:
+    """A packet after the other; ``seen`` and ``due`` hold a number a stream."""
+    at, pts = ("dts", "pts") if strays else ("dts + off", "pts + off")
+    jump = "0" if strays else f"CASE WHEN timed AND x IS NOT NULL AND (CASE WHEN d IS NULL THEN l IS NOT NULL AND abs(x - l) > {far} ELSE abs(x - d) > {far} OR x + 100000 < n END) THEN x - coalesce(d, l) ELSE 0 END"
+    stray = lambda c: f"CASE WHEN timed AND x IS NOT NULL AND d IS NOT NULL AND abs({c} - d) > {far} THEN NULL ELSE {c} END" if strays else f"{c} - j"
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({JUMPY}), f AS (
+        SELECT asset_id, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS off, NULL::BIGINT AS l, [NULL, NULL, NULL]::BIGINT[] AS seen, [NULL, NULL, NULL]::BIGINT[] AS due, NULL::BIGINT AS out_dts, NULL::BIGINT AS out_pts FROM (SELECT DISTINCT asset_id FROM p)
+        UNION ALL SELECT asset_id, r, seq, (off - j)::BIGINT, CASE WHEN timed AND x IS NOT NULL THEN o ELSE l END,
+            [CASE WHEN s = 0 THEN m ELSE seen[1] END, CASE WHEN s = 1 THEN m ELSE seen[2] END, CASE WHEN s = 2 THEN m ELSE seen[3] END], [CASE WHEN s = 0 THEN m + du ELSE due[1] END, CASE WHEN s = 1 THEN m + du ELSE due[2] END, CASE WHEN s = 2 THEN m + du ELSE due[3] END], o, q
+        FROM (SELECT *, coalesce(o, d, q, 0) AS m FROM (SELECT *, ({stray('x')})::BIGINT AS o, ({stray('y')})::BIGINT AS q FROM (SELECT *, {jump} AS j FROM (
+            SELECT p.asset_id, p.r, p.seq, p.s, p.timed, p.du, f.off, f.l, f.seen, f.due, p.{at} AS x, p.{pts} AS y, f.seen[p.s + 1] AS n, f.due[p.s + 1] AS d FROM f JOIN p ON p.asset_id = f.asset_id AND p.r = f.r + 1)))))"""
+
+
+@query("rejoined", f"{jump_sql(10_000_000, False)} SELECT asset_id, seq, out_dts, out_pts, off AS offset_us FROM f WHERE r > 0")
+def _(spark, d):
+    return frame_timing.rejoined(jumpy(spark, d)).select("asset_id", "seq", "out_dts", "out_pts", "offset_us")
+
+
+@query("without_strays", f"{jump_sql(60_000_000, True)} SELECT asset_id, seq, out_dts, out_pts FROM f WHERE r > 0")
+def _(spark, d):
+    return frame_timing.without_strays(jumpy(spark, d), 60_000_000).select("asset_id", "seq", "out_dts", "out_pts")
+
+
+# stamps of a container in milliseconds, a fifth of them missing; every 50 frames the sound goes on at the next full minute
+@query("sound_stamps", f"SELECT stream_index, seq, r // 50 * 60 * 44100 + r % 50 * 1024 AS out_pts FROM (SELECT stream_index, seq, row_number() OVER ({W}) - 1 AS r FROM ({PACKETS}))")
+def _(spark, d):
+    r = F.row_number().over(Window.partitionBy("stream_index").orderBy("seq")) - 1
+    rows = packets(spark, d).select("stream_index", "seq", r.cast("long").alias("r")).withColumn("k", F.col("r") % 50)
+    ms = F.call_function("div", F.col("r"), F.lit(50)) * 60_000 + F.round(F.col("k") * 1_024_000 / 44_100).cast("long")
+    given = F.when((F.col("k") == 0) | (F.col("seq") % 5 != 2), ms)
+    frames = rows.select("stream_index", "seq", given.alias("pts"), F.lit(1).alias("num"), F.lit(1_000).alias("den"), F.lit(44_100).alias("sample_rate"), F.lit(1_024).alias("samples"))
+    return frame_timing.sound_stamps(frames).select("stream_index", "seq", "out_pts")
+
+
 # --- limits ---
 
 
