@@ -6,7 +6,8 @@ shingle, no words the fingerprint zero, which links like any other.
 
 Links. Two fingerprints link at ``distance`` (4) differing bits or fewer. Equal fingerprints are joined first, so that
 copies are one node. Of 6 blocks of bits, a linked pair agrees in 2 at least; so for each of the 15 pairs of blocks the
-fingerprints that agree there meet in one bucket, and no pair is missed. In a bucket they are sorted by Gray rank, which
+fingerprints that agree there meet in one bucket, and no pair is missed. A bucket of too many is dealt again in the same
+way by the bits outside its two blocks, so the size of a bucket is bounded. In a bucket they are sorted by Gray rank, which
 puts patterns with few differing bits side by side, and an index is built over runs of that order: an upper node holds
 the bits that all below it share (a mask and a pattern), a lower node only what its upper nodes do not hold. A search
 goes down level by level for all fingerprints of a batch at once, adds up the differences of the patterns passed,
@@ -25,6 +26,7 @@ stars grow with the logarithm of the longest chain; if ``rounds`` (40) do not se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +40,8 @@ from kinoframe.llm.exact_dedup import keeper, located, scanned, without_rows
 SHINGLE, DISTANCE, BLOCKS, FAN = 4, 4, 6, 8
 #: Pairs (fingerprint, node) that a search holds at once.
 FRONTIER = 1 << 20
+#: Fingerprints of a bucket that one task searches: as many as 20 bits tell apart.
+HOT = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -207,18 +211,51 @@ def local_links(keys: np.ndarray, fps: np.ndarray, distance: int, chunk: int = 4
     return order[label[linked]], order[linked]
 
 
-def block_masks(blocks: int = BLOCKS) -> list[int]:
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def block_masks(free: int = (1 << 64) - 1, blocks: int = BLOCKS) -> list[int]:
+    """The bits of ``free`` cut into blocks of about equal sizes."""
+    bits = [i for i in range(64) if free >> i & 1]
+    cuts = [len(bits) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) between nodes (node, fp) of different fingerprints: their components are those of all links."""
-    masks = block_masks(blocks)
-    tables = [sum(c) for c in combinations(masks, blocks - distance)]
-    tables = [m - (1 << 64) if m >> 63 else m for m in tables]
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(tables)]))
-    spread = nodes.select("node", "fp", table.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp", "node")
+def tables_in(mask: int, distance: int, blocks: int) -> list[int]:
+    """Masks, ``mask`` included, of which fingerprints that agree in it and link agree in one at least."""
+    rest = block_masks(((1 << 64) - 1) & ~mask, blocks)
+    return [mask | sum(c) for c in combinations(rest, blocks - distance)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between nodes (node, fp) of different fingerprints: their components are those of all links.
+
+    A bucket of more than ``hot`` fingerprints is dealt again by blocks of the bits that they need not share, until buckets
+    are small or leave 20 bits free, so that they cannot be larger: no task holds more than ``HOT`` rows of a bucket.
+    """
+    n, masks, found = nodes.count(), [0], []
+    rows = nodes.select("node", "fp", F.lit(0).alias("t"))
+    while True:
+        # 15 masks for each of the level before: 15, 225, 3375, whatever the input
+        deals = [tables_in(mask, distance, blocks) for mask in masks]
+        own = F.get(F.lit([[signed(m) for m in deal] for deal in deals]).cast("array<array<bigint>>"), F.col("t"))
+        dealt = rows.select("node", "fp", "t", F.posexplode(own).alias("i", "m"))
+        spread = dealt.select((F.col("t") * len(deals[0]) + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp", "node")
+        masks = [m for deal in deals for m in deal]
+        if n <= hot or max(64 - m.bit_count() for m in masks) < HOT.bit_length():
+            break
+        large = cut(spread.groupBy("t", "key").count().where(F.col("count") > hot).select("t", "key"))
+        if large.isEmpty():
+            break
+        found.append(bucket_links(spread.join(large, ["t", "key"], "left_anti"), distance))
+        rows = spread.join(large, ["t", "key"], "left_semi").select("node", "fp", "t")
+    found.append(bucket_links(spread, distance))
+    return reduce(DataFrame.unionByName, found)
+
+
+def bucket_links(spread: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) within the buckets of (t, key, fp, node), which are tasks' work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t, key, fp, node):
@@ -244,7 +281,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> D
         if rows:
             yield from found(*(np.concatenate(c) for c in zip(*held)))
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return spread.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
 
 

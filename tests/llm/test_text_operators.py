@@ -188,9 +188,22 @@ def test_links_of_clusters_and_chains(spark, spread):
     nodes = [(i, f) for i, f in enumerate(fps)]
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in nodes]
     df = spark.createDataFrame(signed, "node long, fp long")
-    stars = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
     want = brute_components(nodes)
-    assert {i: stars.get(i, i) for i, _ in nodes} == want
+    for hot in (simhash.HOT, 8):  # the dense clusters are dealt again, down to the last level
+        stars = {r.node: r.component for r in simhash.components(simhash.links(df, hot=hot)).collect()}
+        assert {i: stars.get(i, i) for i, _ in nodes} == want
+
+
+def test_masks_of_dealt_buckets_miss_no_pair():
+    """Whatever four bits differ, one mask of every level is free of them; the last leaves as many free as a task holds."""
+    rng = np.random.default_rng(3)
+    masks = [0]
+    for _ in range(3):
+        masks = [m for mask in masks for m in simhash.tables_in(mask, 4, 6)]
+        for _ in range(50):
+            differ = sum({1 << int(b) for b in rng.choice(64, 4, replace=False)})
+            assert any(not m & differ for m in masks)
+    assert len(masks) == 3375 and max(64 - m.bit_count() for m in masks) == 20 and 1 << 20 == simhash.HOT
 
 
 def test_gray_rank_orders_neighbours():
