@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinoframe.operators.scan import STREAM, ordered, upto
+from kinoframe.operators.scan import STREAM, from_first_key, ordered, upto
 
 
-def with_gop(packets: DataFrame) -> DataFrame:
-    """Packets with ``gop_id`` from 0: a key packet opens a new group unless it is the first packet of its stream."""
-    w = ordered()
-    opens = F.when(F.col("is_key") & (F.row_number().over(w) > 1), 1).otherwise(0)
-    return packets.withColumn("_opens", opens).withColumn("gop_id", F.sum("_opens").over(upto(w))).drop("_opens")
+def with_gop(packets: DataFrame, cell: int = 1 << 20) -> DataFrame:
+    """Packets with ``gop_id`` from 0: a key packet opens a new group unless it is the first packet of its stream.
+
+    A stream is counted in cells of ``cell`` sequence numbers, after the key packets of the cells before, so that a long
+    stream is not one task.
+    """
+    rows = packets.withColumn("_cell", F.call_function("div", "seq", F.lit(cell)))
+    w = Window.partitionBy(STREAM).orderBy("_cell")
+    cells = rows.groupBy(STREAM, "_cell").agg(F.count_if("is_key").alias("_keys"), F.min(F.struct("seq", "is_key")).alias("_first"))
+    before = F.coalesce(F.sum("_keys").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(STREAM, "_cell", (before - F.first("_first.is_key").over(upto(w)).cast("long")).alias("_before"))
+    own = F.sum(F.col("is_key").cast("long")).over(upto(Window.partitionBy(STREAM, "_cell").orderBy("seq")))
+    return rows.join(cells, [STREAM, "_cell"]).withColumn("gop_id", F.col("_before") + own).drop("_cell", "_before")
 
 
 def gop_stats(packets: DataFrame) -> DataFrame:
@@ -37,8 +45,7 @@ def replay_suffix(packets: DataFrame, budget: int) -> DataFrame:
 
 def gated(packets: DataFrame) -> DataFrame:
     """What a watcher gets that joins at the start: nothing of a stream before its first key packet."""
-    seen = F.max(F.col("is_key").cast("int")).over(upto(ordered()))
-    return packets.withColumn("_seen", seen).where("_seen = 1").drop("_seen")
+    return from_first_key(packets)
 
 
 def bounded(packets: DataFrame, most_frames: int) -> DataFrame:

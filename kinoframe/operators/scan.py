@@ -98,8 +98,13 @@ def error_runs(packets: DataFrame, limit: int) -> DataFrame:
 def copy_window(packets: DataFrame, start_us: int, duration_us: int) -> DataFrame:
     """Stream copy: from the first key packet at or after the start, to the end of the time range, re-zeroed."""
     inside = packets.where((F.col("pts_us") >= start_us) & (F.col("pts_us") < start_us + duration_us))
-    keyed = F.max(F.col("is_key").cast("int")).over(upto(ordered()))
-    return inside.withColumn("_keyed", keyed).where("_keyed = 1").drop("_keyed").withColumn("out_us", F.col("pts_us") - start_us)
+    return from_first_key(inside).withColumn("out_us", F.col("pts_us") - start_us)
+
+
+def from_first_key(packets: DataFrame) -> DataFrame:
+    """Each stream from its first key packet on: an aggregate and a join, so that a stream's packets need not meet."""
+    first = packets.where("is_key").groupBy(STREAM).agg(F.min("seq").alias("_from"))
+    return packets.join(first, STREAM).where("seq >= _from").drop("_from")
 
 
 def keep_media(streams: DataFrame, *, video: bool = True, audio: bool = True, subtitle: bool = True, data: bool = True) -> DataFrame:

@@ -17,19 +17,24 @@ from kinoframe.operators.folds import folded
 from kinoframe.operators.scan import STREAM, ordered, upto
 
 
-def monotone_dts(packets: DataFrame, strict: bool = True) -> DataFrame:
+def monotone_dts(packets: DataFrame, strict: bool = True, cell: int = 1 << 20) -> DataFrame:
     """``dts`` made increasing (or non-decreasing) in packet order, pts lifted to it.
 
     Strict: each is at least its predecessor plus one, which is the running maximum of dts less its rank, plus the rank.
+    Ranks and maxima are taken in cells of ``cell`` sequence numbers and carried on from cell to cell, so that a long stream
+    is not one task.
     """
-    w = ordered()
-    if strict:
-        rank = F.row_number().over(w)
-        rows = packets.withColumn("_r", rank)
-        fixed = F.max(F.col("dts") - F.col("_r")).over(upto(w)) + F.col("_r")
-    else:
-        rows, fixed = packets.withColumn("_r", F.lit(0)), F.max("dts").over(upto(w))
-    return rows.withColumn("out_dts", fixed.cast("long")).withColumn("out_pts", F.greatest("pts", "out_dts").cast("long")).drop("_r")
+    rows = packets.withColumn("_cell", F.call_function("div", "seq", F.lit(cell)))
+    own = Window.partitionBy(STREAM, "_cell").orderBy("seq")
+    rows = rows.withColumn("_rank", F.row_number().over(own) if strict else F.lit(0)).withColumn("_top", F.max(F.col("dts") - F.col("_rank")).over(upto(own)))
+    w = Window.partitionBy(STREAM).orderBy("_cell")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(STREAM, "_cell").agg(F.max("_rank").alias("_n"), F.max("_top").alias("_most"))
+    cells = cells.withColumn("_base", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    cells = cells.withColumn("_past", F.max(F.col("_most") - F.col("_base")).over(past)).select(STREAM, "_cell", "_base", "_past")
+    fixed = F.greatest("_past", F.col("_top") - F.col("_base")) + F.col("_base") + F.col("_rank")
+    out = rows.join(cells, [STREAM, "_cell"]).withColumn("out_dts", fixed.cast("long")).withColumn("out_pts", F.greatest("pts", "out_dts").cast("long"))
+    return out.drop("_cell", "_rank", "_top", "_base", "_past")
 
 
 def guessed_dts(packets: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinoframe.functions import rational
-from kinoframe.operators import analysis, sampling, timeline
+from kinoframe.operators import analysis, frame_timing, gop, samples, sampling, timeline
 
 
 def packets(spark, rows, schema="stream_index long, seq long, pts_us long"):
@@ -51,11 +51,53 @@ def test_strict_dts_equals_the_loop(spark):
     pick = random.Random(3)
     rows = [(s, i, pick.randrange(40), pick.randrange(40)) for s in range(20) for i in range(25)]
     df = packets(spark, rows, "stream_index long, seq long, pts long, dts long")
-    got = {(r.stream_index, r.seq): (r.out_dts, r.out_pts) for r in timeline.monotone_dts(df).collect()}
-    for s in range(20):
-        mine = [r for r in rows if r[0] == s]
-        for r, want in zip(mine, strict_loop([r[3] for r in mine])):
-            assert got[s, r[1]] == (want, max(r[2], want))
+    for cell in (1 << 20, 4):
+        got = {(r.stream_index, r.seq): (r.out_dts, r.out_pts) for r in timeline.monotone_dts(df, cell=cell).collect()}
+        for s in range(20):
+            mine = [r for r in rows if r[0] == s]
+            for r, want in zip(mine, strict_loop([r[3] for r in mine])):
+                assert got[s, r[1]] == (want, max(r[2], want))
+
+
+def test_groups_are_numbered_alike_in_cells_of_any_size(spark):
+    pick = random.Random(5)
+    rows = [(s, i, pick.random() < 0.2) for s in range(6) for i in range(40)]
+    df = packets(spark, rows, "stream_index long, seq long, is_key boolean")
+    want, gop_id = {}, 0
+    for s, i, key in rows:
+        gop_id = 0 if i == 0 else gop_id + key
+        want[s, i] = gop_id
+    for cell in (1 << 20, 7, 1):
+        assert {(r.stream_index, r.seq): r.gop_id for r in gop.with_gop(df, cell).collect()} == want
+    first = {s: min(i for t, i, key in rows if t == s and key) for s in range(6)}
+    assert {(r.stream_index, r.seq) for r in gop.gated(df).collect()} == {(s, i) for s, i, _ in rows if i >= first[s]}
+
+
+def test_resampling_goes_on_from_chunk_to_chunk(spark):
+    pick = np.random.default_rng(2)
+    whole = pick.normal(size=61)
+    cuts = [0, 1, 9, 9, 30, 61]
+    rows = [(4, i, 100, 1, whole[a:b].tolist()) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    df = spark.createDataFrame(rows, "asset_id long, index long, sample_rate int, channels int, data array<double>")
+    for rate in (7, 50, 100, 130, 441):
+        got = [x for r in samples.resampled(df, rate).orderBy("first").collect() for x in r.data]
+        n = len(whole) * rate // 100
+        assert got == pytest.approx(np.interp(np.arange(n) * 100 / rate, np.arange(len(whole)), whole).tolist())
+
+
+def test_sound_follows_its_clock_and_gaps_set_it_anew(spark):
+    rows = [(0, 0, 0), (0, 1, 23), (0, 2, 46), (0, 3, None), (0, 4, 1_000), (0, 5, 1_023)]
+    df = packets(spark, rows, "stream_index long, seq long, pts long")
+    frames = df.select("*", F.lit(1).alias("num"), F.lit(1_000).alias("den"), F.lit(44_100).alias("sample_rate"), F.lit(1_024).alias("samples"))
+    assert [r.out_pts for r in frame_timing.sound_stamps(frames).orderBy("seq").collect()] == [0, 1024, 2048, 3072, 44_100, 45_124]
+
+
+def test_a_jump_is_taken_out_of_all_streams(spark):
+    second = 1_000_000
+    rows = [(1, i, i % 2, True, (i + (3_600 if i >= 6 else 0)) * second, None, second * 2) for i in range(10)]
+    df = packets(spark, rows, "asset_id long, seq long, stream_index long, timed boolean, dts_us long, pts_us long, duration_us long")
+    got = frame_timing.rejoined(df).orderBy("seq").collect()
+    assert [r.out_dts for r in got] == [i * second for i in range(10)] and got[-1].offset_us == -3_600 * second
 
 
 def test_strict_sink_sees_duplicate_stamps(spark):
