@@ -19,6 +19,7 @@ MODULES = {
     "op8_token_files": "token_files",
     "op9_token_counts": "token_counts",
     "op10_language": "language",
+    "op11_whitening": "whitening",
 }
 
 
