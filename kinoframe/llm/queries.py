@@ -20,6 +20,7 @@ MODULES = {
     "op9_token_counts": "token_counts",
     "op10_language": "language",
     "op11_whitening": "whitening",
+    "op12_sanitise": "sanitise",
 }
 
 
