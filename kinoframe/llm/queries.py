@@ -21,6 +21,7 @@ MODULES = {
     "op10_language": "language",
     "op11_whitening": "whitening",
     "op12_sanitise": "sanitise",
+    "op13_alignment": "alignment",
 }
 
 
