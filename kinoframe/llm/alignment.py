@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kinoframe.llm.base import only, slices, stored
 
 #: Bytes of text whose stretches are numbered together.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 MARK = "▁"
 #: A stretch begins at a blank or line end with nothing white beside it; any other white space is inside.
 STRETCH = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
