@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, which goes when the session ends: under spark.checkpoint.dir, or where that is
-    unset under the warehouse, if that is no machine's own disk or the session is a single machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        if not spark.sparkContext.master.startswith("local[") and warehouse.startswith(("/", "file:")):
-            raise ValueError(f"executors do not share {warehouse}: set spark.checkpoint.dir to a folder that they share")
-        base = f"{warehouse}/_shared"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return f"{where}/data"
+from kinoframe.scratch import shared_path
 
 
 def drained(stream: DataFrame, mode: str, name: str, schema: str, per_batch: bool = True) -> DataFrame:
