@@ -1,12 +1,13 @@
 """Timing of packets and decoded frames: predicted stamps, durations, time bases.
 
-A prediction that builds on the one before it is a sum since the last stamp that was there. The clock of sound and the jumps
-of several streams have no such form; they carry a state along the packets (``folds.folded``).
+A prediction that builds on the one before it is a sum since the last stamp that was there. Stamps and durations of frames, which
+build on each other, are a fold over cells (``scans.scanned``); the clock of sound, whose remainder never ends, carries its
+state along a stream (``folds.folded``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from kinoframe.functions.rational import MICROS, rescale_q
 from kinoframe.operators.folds import folded
 from kinoframe.operators.scan import STREAM, ordered, upto
+from kinoframe.operators.scans import CELL, scanned
 
 #: A time base that holds all common sample rates, for when their common multiple is too large.
 COMMON_RATE = 28_224_000
@@ -50,21 +52,36 @@ def predicted_dts(packets: DataFrame, delay_us: int = 0, rate: tuple[int, int] |
     return rows.withColumn("out_us", out.cast("long")).drop("_island", "_known")
 
 
-def estimated_durations(frames: DataFrame, rate_ticks: int = 0, stream_ticks: int = 0, forced: bool = False) -> DataFrame:
-    """Duration of each decoded frame, in ticks, as ``estimate``.
+@dataclass
+class Shown:
+    """The stamp of the last frame, and how long it is taken to last."""
+
+    pts: int | None = None
+    lasts: int = 0
+
+    def take(self, pts: int | None, duration: int | None, steady: int, forced: bool) -> tuple[int, int]:
+        """A frame's stamp and duration. A missing stamp is where the frame before it ends; forced frames all have none, and last 1.
+
+        The duration is, in order: the frame's own (unless it is 1 and the step from the frame before is over 2), that step, the
+        frame's own after all, ``steady``, the last estimate, 1.
+        """
+        pts, duration = (None, 1) if forced else (pts, duration or 0)
+        pts = pts if pts is not None else 0 if self.pts is None else self.pts + self.lasts
+        moved = -1 if self.pts is None else pts - self.pts
+        sure = forced or duration > 0 and not (duration == 1 and moved > 2)
+        self.lasts = duration if sure else next((x for x in (moved, duration, steady, self.lasts) if x > 0), 1)
+        self.pts = pts
+        return pts, self.lasts
 
-    In order: the frame's own (unless it is 1 and the step from the frame before is over 2), that step, the codec's duration
-    ``rate_ticks``, that of the stream's mean rate ``stream_ticks``, the last estimate, 1.
+
+def timed_frames(frames: DataFrame, rate_ticks: int = 0, stream_ticks: int = 0, forced: bool = False, cell: int = CELL) -> DataFrame:
+    """Decoded frames (pts and duration in ticks, either may be missing) with ``out_pts`` and ``estimate``, their duration.
+
+    One recurrence: a missing stamp builds on the last estimate, and the next estimate on that stamp. ``rate_ticks`` is the
+    codec's duration of a frame, ``stream_ticks`` that of the stream's mean rate.
     """
-    w = ordered()
-    step = F.coalesce(F.col("pts") - F.lag("pts").over(w), F.lit(-1))
-    rows = frames.withColumn("_step", step)
-    own, moved = F.col("duration"), F.when(F.col("_step") > 0, F.col("_step"))
-    sure = (own > 0) & ~((own == 1) & (F.col("_step") > 2))
-    steady = [F.lit(n) for n in (rate_ticks, stream_ticks) if n > 0]
-    found = own if forced else F.coalesce(F.when(sure, own), moved, F.when(own > 0, own), *steady)
-    rows = rows.withColumn("_found", found)
-    return rows.withColumn("estimate", F.coalesce("_found", F.greatest(F.last("_found", ignorenulls=True).over(upto(w)), F.lit(1)), F.lit(1)).cast("long")).drop("_step", "_found")
+    steady = rate_ticks if rate_ticks > 0 else stream_ticks
+    return scanned(frames, [STREAM], ["pts", "duration"], Shown, lambda s, pts, duration: s.take(pts, duration, steady, forced), "out_pts long, estimate long", cell=cell)
 
 
 def output_base(kind: Column, sample_rate: Column, num: Column, den: Column, most_num: Column, most_den: Column, mode: Column, tb_num: Column, tb_den: Column) -> Column:
@@ -160,64 +177,6 @@ def sound_stamps(frames: DataFrame) -> DataFrame:
     return folded(frames, [STREAM], ["seq"], inputs, Clock, lambda clock, *frame: (clock.stamp(*frame),), "out_pts long")
 
 
-@dataclass
-class Joint:
-    """What is known of an asset whose stamps may jump: the offset that takes all jumps so far out again, the last stamp of
-    any stream, and each stream's last stamp and the next one it is due."""
-
-    offset: int = 0
-    last: int | None = None
-    streams: dict[int, tuple[int, int]] = field(default_factory=dict)
-
-    def jump(self, stream: int, dts: int, far_us: int, back_us: int) -> int:
-        """How far a stamp lies off: from what its stream is due, or for a stream's first from the asset's last stamp."""
-        seen, due = self.streams.get(stream, (dts, self.last))
-        if due is None:
-            return 0
-        off = dts - due
-        return off if abs(off) > far_us or dts + back_us < seen else 0
-
-    def pass_on(self, stream: int, dts: int | None, pts: int | None, duration: int) -> None:
-        at = dts if dts is not None else self.streams[stream][1] if stream in self.streams else pts or 0
-        self.streams[stream] = (at, at + duration)
-
-
-def rejoined(packets: DataFrame, far_us: int = 10 * MICROS, back_us: int = MICROS // 10) -> DataFrame:
-    """Packets of containers whose stamps may jump, with ``out_dts``, ``out_pts`` and the asset's running ``offset_us``.
-
-    A jump is taken out of every stream of the asset, whichever shows it first; only packets with a dts and ``timed`` true
-    (sound and pictures) show one. Columns: asset_id, seq, stream_index, timed, dts_us, pts_us, duration_us.
-    """
-
-    def step(joint: Joint, stream, timed, dts, pts, duration):
-        dts, pts = (x if x is None else x + joint.offset for x in (dts, pts))
-        if dts is not None and timed:
-            off = joint.jump(stream, dts, far_us, back_us)
-            joint.offset -= off
-            dts, pts = dts - off, pts if pts is None else pts - off
-            joint.last = dts
-        joint.pass_on(stream, dts, pts, duration or 0)
-        return dts, pts, joint.offset
-
-    inputs = [STREAM, "timed", "dts_us", "pts_us", "duration_us"]
-    return folded(packets, ["asset_id"], ["seq"], inputs, Joint, step, "out_dts long, out_pts long, offset_us long")
-
-
-def without_strays(packets: DataFrame, far_us: int = 108_000 * MICROS) -> DataFrame:
-    """Packets of all other containers, with ``out_dts`` and ``out_pts``: null what lies further than ``far_us`` from what
-    its stream is due."""
-
-    def step(joint: Joint, stream, timed, dts, pts, duration):
-        if dts is not None and timed and stream in joint.streams:
-            due = joint.streams[stream][1]
-            dts, pts = (None if x is None or abs(x - due) > far_us else x for x in (dts, pts))
-        joint.pass_on(stream, dts, pts, duration or 0)
-        return dts, pts
-
-    inputs = [STREAM, "timed", "dts_us", "pts_us", "duration_us"]
-    return folded(packets, ["asset_id"], ["seq"], inputs, Joint, step, "out_dts long, out_pts long")
-
-
 def wrap_corrected(packets: DataFrame, start: Column, bits: int) -> DataFrame:
     """Stamps of a counter of ``bits`` bits that began at ``start``: what lies over half the range after it lay before it.
 

@@ -6,15 +6,13 @@ stand. Both are small functions of a state; ``scans.scanned`` composes them a ce
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinoframe.functions.rational import rescale
 from kinoframe.operators.scan import STREAM
-from kinoframe.operators.scans import CELL, scanned
+from kinoframe.operators.scans import CELL, Rising, scanned
 
 #: No dts: less than any, and it stays so when something is added.
 NONE = -(1 << 63)
@@ -55,28 +53,16 @@ def repaired(last: Written, pts: int | None, dts: int | None, timed: bool, stric
     return pts, dts
 
 
-class Steps:
+class Steps(Rising):
     """Repairs of a row of packets as one function of the dts written before them.
 
-    x becomes min(high, max(low, x + shift + the number of ``places`` above x)): a strict packet adds one for all x, a guess of a
-    lenient one only for those that come out below its dts, which is one more place.
+    A strict packet adds one for all, a guess of a lenient one only for those that come out below its dts. ``high`` bounds a
+    stream that is not timed, and one that begins anew.
     """
 
     def __init__(self):
-        self.shift, self.low, self.high, self.places = 0, NONE, None, []
-
-    def reach(self, value: int) -> int:
-        """The least x that comes to ``value`` or more, bounds aside."""
-        places, n = self.places, len(self.places)
-        a, b = 0, n
-        while a < b:
-            mid = (a + b) // 2
-            if places[mid] - 1 + self.shift + n - mid >= value:
-                b = mid
-            else:
-                a = mid + 1
-        least = value - self.shift - (n - a)
-        return max(places[a - 1], least) if a else least
+        super().__init__(NONE)
+        self.high: int | None = None
 
     def then(self, pts: int | None, dts: int | None, timed: bool, strict: bool) -> None:
         if dts is None:
@@ -91,7 +77,7 @@ class Steps:
         elif timed:
             if guess and self.low < dts:
                 if self.high is None:
-                    insort(self.places, self.reach(dts))
+                    self.one_more_below(dts)
                 self.low = up(self.low)
             self.low = max(self.low, pts if guess else dts)
             self.high = None if self.high is None else self.low  # a lenient stream is bounded above after a gap alone
@@ -103,14 +89,11 @@ class Steps:
             self.low = self.high = dts
         if self.high == self.low:
             self.places = []
-        elif self.places and self.low != NONE:
-            del self.places[: bisect_right(self.places, self.reach(self.low))]  # these x come out at ``low`` as it is
+        elif self.low != NONE:
+            self.pruned()
 
     def after(self, state: Written) -> Written:
-        x = state.dts
-        if x != NONE:
-            x += self.shift + len(self.places) - bisect_right(self.places, x)
-        x = max(x, self.low)
+        x = self.low if state.dts == NONE else self.of(state.dts)
         return Written(x if self.high is None else min(x, self.high))
 
 

@@ -16,6 +16,7 @@ A composed function may say that it does not know a state (``None``); such a cel
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from typing import Any, Protocol
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from kinoframe.scratch import cut
 
@@ -41,6 +42,39 @@ class Carry(Protocol):
         """The state after all rows; None if that is not known for this one."""
 
 
+class Rising:
+    """x becomes max(low, x + shift + the number of ``places`` above x): what a row of functions comes to that raise a number to
+    a bound, or by one if it lies below another."""
+
+    def __init__(self, low: int):
+        self.low, self.shift, self.places = low, 0, []
+
+    def reach(self, value: int) -> int:
+        """The least x that comes to ``value`` or more, the bound aside."""
+        places, n = self.places, len(self.places)
+        a, b = 0, n
+        while a < b:
+            mid = (a + b) // 2
+            if places[mid] - 1 + self.shift + n - mid >= value:
+                b = mid
+            else:
+                a = mid + 1
+        least = value - self.shift - (n - a)
+        return max(places[a - 1], least) if a else least
+
+    def one_more_below(self, value: int) -> None:
+        """What comes to less than ``value`` comes to one more."""
+        insort(self.places, self.reach(value))
+
+    def pruned(self) -> None:
+        """Forgets places of numbers that come out at the bound."""
+        if self.places:
+            del self.places[: bisect_right(self.places, self.reach(self.low))]
+
+    def of(self, x: int) -> int:
+        return max(self.low, x + self.shift + len(self.places) - bisect_right(self.places, x))
+
+
 def columns(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names))
 
@@ -68,12 +102,15 @@ def scanned(
     seq: str = "seq",
     cell: int = CELL,
     carry: Callable[[], Carry] | None = None,
+    moved: Callable[[Any, Any, Any], Any | None] | None = None,
     finish: Callable[[Any], list[tuple]] | None = None,
 ) -> DataFrame:
     """``rows`` with the columns of ``schema``, which ``step(state, *inputs)`` gives for each row of a group in order of ``seq``.
 
-    ``start`` makes a group's state, which ``step`` changes; states are pickled and compared. ``finish`` gives rows that are
-    put out after the last one of a group, as values of ``schema``; their other columns but the group's are null.
+    ``start`` makes a group's state, which ``step`` changes; states are pickled and compared. Where equal states may differ in
+    what a fold only hands on (an offset, say), ``moved(entry, left, state)`` is what a cell that leaves ``left`` from ``entry``
+    leaves from ``state``, or None. ``finish`` gives rows that are put out after the last one of a group, as values of
+    ``schema``; their other columns but the group's are null.
     """
     extra = _parse_datatype_string(schema)
     keys = [*by, "_cell"]
@@ -135,8 +172,12 @@ def scanned(
                         if function is not None:
                             after = after if after is not None else pickle.loads(function).after(state)
                         else:
-                            guess = pickle.loads(left)
-                            after = guess if after is None and pickle.loads(entry) == state else after
+                            before, guess = pickle.loads(entry), pickle.loads(left)
+                            if moved and (told := moved(before, guess, state)) is not None:
+                                guess = told
+                            elif moved:
+                                before = None
+                            after = guess if after is None and before == state else after
                     waiting = (*key, pickle.dumps(state), after is not None)
                     state = guess if after is None else after
                 yield as_batch([(*waiting, True)], walk_arrow)
@@ -154,7 +195,8 @@ def scanned(
         again = placed.join(missed, same(placed, missed, keys), "left_semi")
         known = cut(known.unionByName(summed(headed(again, missed), number)))
 
-    full = StructType([*rows.schema, *extra])
+    own = [StructField(f.name, f.dataType, f.nullable or bool(finish)) for f in rows.schema]
+    full = StructType([*own, *extra])
     arrow, names = to_arrow_schema(full), rows.columns
     placing = [names.index(c) for c in by]
 

@@ -1,48 +1,57 @@
 """Timestamps over time: repair, discontinuities, shared origins, cuts and progress.
 
-Folds that have a closed form are windows; those that have none carry a state along a stream in order (``folds.folded``).
+Folds that have a closed form are windows; those that have none are folds over cells of a stream (``scans.scanned``).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinoframe.functions.rational import MICROS, median3, rescale
-from kinoframe.operators.folds import folded
+from kinoframe.functions.rational import rescale
+from kinoframe.operators.mux import Steps, Written, repaired
 from kinoframe.operators.scan import STREAM, ordered, upto
+from kinoframe.operators.scans import CELL, same, scanned
+from kinoframe.scratch import cut
 
 
 def monotone_dts(packets: DataFrame, strict: bool = True, cell: int = 1 << 20) -> DataFrame:
-    """``dts`` made increasing (or non-decreasing) in packet order, pts lifted to it.
+    """``dts`` made increasing (or non-decreasing) in packet order, pts lifted to it; a missing dts stays missing, and what
+    follows it begins anew.
 
     Strict: each is at least its predecessor plus one, which is the running maximum of dts less its rank, plus the rank.
     Ranks and maxima are taken in cells of ``cell`` sequence numbers and carried on from cell to cell, so that a long stream
     is not one task.
     """
+    lost = F.col("dts").isNull().cast("int")
     rows = packets.withColumn("_cell", F.call_function("div", "seq", F.lit(cell)))
     own = Window.partitionBy(STREAM, "_cell").orderBy("seq")
-    rows = rows.withColumn("_rank", F.row_number().over(own) if strict else F.lit(0)).withColumn("_top", F.max(F.col("dts") - F.col("_rank")).over(upto(own)))
+    rows = rows.withColumn("_run", F.sum(lost).over(upto(own)))
+    run = Window.partitionBy(STREAM, "_cell", "_run").orderBy("seq")
+    rows = rows.withColumn("_rank", F.row_number().over(run) if strict else F.lit(0)).withColumn("_top", F.max(F.col("dts") - F.col("_rank")).over(upto(run)))
+    ends = rows.groupBy(STREAM, "_cell").agg(F.max("_run").alias("_runs"), F.max_by(F.struct(F.col("_rank").alias("n"), F.col("_top").alias("most")), "seq").alias("_end"))
+    # what a cell leaves lasts as far as the next cell with a packet without dts
     w = Window.partitionBy(STREAM).orderBy("_cell")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(STREAM, "_cell").agg(F.max("_rank").alias("_n"), F.max("_top").alias("_most"))
-    cells = cells.withColumn("_base", F.coalesce(F.sum("_n").over(past), F.lit(0)))
-    cells = cells.withColumn("_past", F.max(F.col("_most") - F.col("_base")).over(past)).select(STREAM, "_cell", "_base", "_past")
-    fixed = F.greatest("_past", F.col("_top") - F.col("_base")) + F.col("_base") + F.col("_rank")
-    out = rows.join(cells, [STREAM, "_cell"]).withColumn("out_dts", fixed.cast("long")).withColumn("out_pts", F.greatest("pts", "out_dts").cast("long"))
-    return out.drop("_cell", "_rank", "_top", "_base", "_past")
+    ends = ends.withColumn("_stretch", F.sum((F.col("_runs") > 0).cast("int")).over(upto(w)))
+    each = Window.partitionBy(STREAM, "_stretch").orderBy("_cell")
+    ends = ends.withColumn("_total", F.sum("_end.n").over(upto(each)))
+    ends = ends.withColumn("_left", F.max(F.col("_end.most") - F.col("_total") + F.col("_end.n")).over(upto(each)) + F.col("_total"))
+    ends = ends.select(F.col(STREAM).alias("_stream"), F.col("_cell").alias("_at"), F.lag("_left").over(w).alias("_past"))
+    out = rows.join(ends, rows[STREAM].eqNullSafe(ends["_stream"]) & rows["_cell"].eqNullSafe(ends["_at"]))
+    fixed = F.greatest(F.when(F.col("_run") == 0, F.col("_past")), F.col("_top")) + F.col("_rank")
+    out = out.withColumn("out_dts", F.when(F.col("dts").isNotNull(), fixed).cast("long")).withColumn("out_pts", F.when(F.col("pts").isNotNull(), F.greatest("pts", "out_dts")).cast("long"))
+    return out.drop("_cell", "_run", "_rank", "_top", "_stream", "_at", "_past")
 
 
-def guessed_dts(packets: DataFrame) -> DataFrame:
-    """Where dts lies after pts, both become the median of pts, dts and the last dts plus one."""
-    last = F.coalesce(F.lag("dts").over(ordered()) + 1, F.least("pts", "dts"))
-    guess = median3(F.col("pts"), F.col("dts"), last)
-    late = F.col("dts") > F.col("pts")
-    return packets.withColumn("out_pts", F.when(late, guess).otherwise(F.col("pts")).cast("long")).withColumn("out_dts", F.when(late, guess).otherwise(F.col("dts")).cast("long"))
+def guessed_dts(packets: DataFrame, cell: int = CELL) -> DataFrame:
+    """Where dts lies after pts, both become the median of pts, dts and the place after the dts written last; nothing else is
+    repaired."""
+    rows = packets.withColumn("_timed", F.lit(False)).withColumn("_strict", F.lit(False))
+    return scanned(rows, [STREAM], ["pts", "dts", "_timed", "_strict"], Written, repaired, "out_pts long, out_dts long", cell=cell, carry=Steps).drop("_timed", "_strict")
 
 
 def violations(packets: DataFrame) -> DataFrame:
@@ -98,25 +107,143 @@ def shared_origin(packets: DataFrame, bases: DataFrame) -> DataFrame:
     return rows.withColumn("out_dts", F.col("dts") - origin).drop("o_dts", "o_num", "o_den")
 
 
-def interleaved(packets: DataFrame, cells: int = 4096) -> DataFrame:
-    """Mux order within an asset: by dts, then stream, then arrival.
+def spread(rows: DataFrame, value: str, cells: int = 1024) -> Column:
+    """The cell of a value: ranges with about as many rows each, so that outliers do not gather the rest in one; null is cell -1.
 
-    The range of dts is cut into ``cells``; packets are numbered in their cell, after the counts of the cells before it, so
-    that an asset is not one task.
+    Bounds are quantiles within a hundredth of a cell's rows, found in two levels of 32.
     """
-    span = packets.agg(F.min("dts").alias("low"), F.max("dts").alias("high")).first()
-    width = max(1, ((span.high or 0) - (span.low or 0)) // cells + 1)
-    rows = packets.withColumn("_cell", F.call_function("div", F.col("dts") - F.lit(span.low or 0), F.lit(width)))
-    before = F.sum("_n").over(Window.partitionBy("asset_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy("asset_id", "_cell").agg(F.count(F.lit(1)).alias("_n")).select("asset_id", "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("asset_id", "_cell").orderBy("dts", STREAM, "seq"))
-    return rows.withColumn("_own", own).join(counts, ["asset_id", "_cell"]).withColumn("position", F.col("_before") + F.col("_own")).drop("_own", "_before", "_cell")
+    side = int(cells**0.5)
+    bounds = sorted(set(rows.approxQuantile(value, [i / (side * side) for i in range(1, side * side)], 0.01 / (side * side)))) if not rows.isEmpty() else []
+    groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    if not groups:
+        return F.when(F.col(value).isNull(), -1).otherwise(0)
+    above = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(value)))
+    coarse = above(F.array(*[F.lit(g[0]) for g in groups]))
+    fine = above(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.greatest(coarse, F.lit(1))))
+    return F.when(F.col(value).isNull(), -1).when(coarse == 0, 0).otherwise((coarse - 1) * side + fine)
+
+
+def positions(rows: DataFrame, group: str, cell: str, order: list) -> DataFrame:
+    """``rows`` with ``position``, their number from 1 in a group by cell, then ``order``: counted in their cell, after the
+    counts of the cells before it."""
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(F.col(group).alias("_group"), F.col(cell).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).select("_group", "_at", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(group, cell).orderBy(*order)))
+    out = own.join(counts, own[group].eqNullSafe(counts["_group"]) & own[cell].eqNullSafe(counts["_at"]))
+    return out.withColumn("position", F.col("_before") + F.col("_own")).drop("_group", "_at", "_before", "_own")
+
+
+@dataclass
+class Last:
+    value: int | None = None
+
+    def then(self, value: int | None) -> tuple[int | None]:
+        self.value = self.value if value is None else value
+        return (self.value,)
+
+    def after(self, state: Last) -> Last:
+        return Last(state.value if self.value is None else self.value)
+
+
+def interleaved(packets: DataFrame, cells: int = 1024, cell: int = CELL) -> DataFrame:
+    """Mux order within an asset: by dts, then stream, then arrival. A packet without dts goes with the one that came before it
+    in its stream; those in front of a stream's first dts go first."""
+    placed = scanned(packets, ["asset_id", STREAM], ["dts"], Last, Last.then, "_place long", cell=cell, carry=Last)
+    rows = cut(placed)  # bounds and counts are of the same rows
+    rows = rows.withColumn("_cell", spread(rows, "_place", cells))
+    return positions(rows, "asset_id", "_cell", ["_place", STREAM, "seq"]).drop("_place", "_cell")
+
+
+# --- the queue that holds streams back for the shortest ---
+
+
+def ends(frames: DataFrame) -> DataFrame:
+    """``end`` of frames in ticks of num/den: of sound its pts and the time of its samples, else pts and duration; null without pts."""
+    samples = rescale(F.col("samples").cast("long"), F.col("den").cast("long"), F.col("sample_rate").cast("long") * F.col("num")).cast("long")
+    sound = (F.col("samples") > 0) & (F.col("sample_rate") > 0)
+    return frames.withColumn("end", F.col("pts") + F.when(sound, samples).otherwise(F.col("duration")))
+
+
+def comparable(packets: DataFrame) -> Column:
+    """``end`` ticks of num/den as whole numbers of one unit, the least in which all bases of the table are whole."""
+    bases = packets.select("num", "den").distinct().limit(1025).collect()
+    if len(bases) > 1024:
+        raise ValueError("over 1024 time bases: bring streams to fewer first")
+    unit = math.lcm(*[b.den for b in bases if b.den])
+    return F.col("end").cast("decimal(20,0)") * F.col("num").cast("decimal(10,0)") * F.call_function("div", F.lit(unit).cast("decimal(38,0)"), F.col("den"))
+
+
+@dataclass
+class Heads:
+    """How far each stream has come, of those that limit an asset and of the one a packet belongs to."""
+
+    at: dict[int, int] = field(default_factory=dict)
+
+    def then(self, stream: int, end: Decimal | None, limits: list[int]) -> None:
+        if end is not None and (stream not in self.at or self.at[stream] < end):
+            self.at[stream] = int(end)
+
+    def after(self, state: Heads) -> Heads:
+        keys = {**state.at, **self.at}
+        return Heads({k: max(h.at[k] for h in (state, self) if k in h.at) for k in keys})
+
+
+def released(packets: DataFrame, limiting: list[int], cell: int = CELL) -> DataFrame:
+    """What a queue lets go of that keeps all streams of an asset to the shortest of the limiting ones, with ``position``, the
+    order in which it does. Packets: asset_id, stream_index, seq (arrival), end (null: not known) in ticks of num/den.
+
+    A packet may go when its end is not past the head, the least of how far the limiting streams have come, once each has
+    come anywhere. Streams are queues: what is held back holds back all behind it, also packets without an end, and what never
+    may go is lost with them. With each arrival streams are let go in their order. A limiting stream without any end limits
+    nothing; if none has one, only what lies in front of a stream's first end goes. An asset without a limiting stream passes as
+    it is. The queue has no bound on what it holds.
+    """
+    rows = cut(packets.withColumn("_end", comparable(packets)))
+    named = F.col(STREAM).isin(limiting)
+    known = rows.groupBy("asset_id").agg(F.collect_set(F.when(named & F.col("_end").isNotNull(), F.col(STREAM))).alias("_limits"), F.coalesce(F.bool_or(named), F.lit(False)).alias("_held"))
+    rows = rows.join(known, same(rows, known, ["asset_id"])).drop(known["asset_id"])
+
+    def step(heads: Heads, stream: int, end: Decimal | None, limits: list[int]) -> tuple[Decimal | None, Decimal | None]:
+        heads.then(stream, end, limits)
+        head = min(heads.at[s] for s in limits) if limits and all(s in heads.at for s in limits) else None
+        need = heads.at.get(stream)
+        return (None if need is None else Decimal(need)), (None if head is None else Decimal(head))
+
+    rows = cut(scanned(rows, ["asset_id"], [STREAM, "_end", "_limits"], Heads, step, "_need decimal(38,0), _head decimal(38,0)", cell=cell, carry=Heads))
+    # the first arrival at which the head has come as far as a packet needs it
+    rows = rows.withColumn("_key", F.col("_need").cast("double"))
+    heads = rows.where("_head is not null").groupBy("asset_id", "_head").agg(F.min("seq").alias("_since"))
+    marks = heads.select("asset_id", F.col("_head").alias("_need"), F.col("_head").cast("double").alias("_key"), F.col("_since"))
+    needs = rows.where("_need is not null").select("asset_id", "_need", "_key").distinct().withColumn("_since", F.lit(None).cast("long"))
+    both = marks.unionByName(needs)
+    both = both.withColumn("_cell", spread(rows, "_key"))
+    later = Window.partitionBy("asset_id", "_cell").orderBy(F.col("_need").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    cells = both.groupBy("asset_id", "_cell").agg(F.min("_since").alias("_first"))
+    cells = cells.withColumn("_next", F.min("_first").over(Window.partitionBy("asset_id").orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1))).select(F.col("asset_id").alias("_asset"), F.col("_cell").alias("_at"), "_next")
+    both = both.withColumn("_own", F.min("_since").over(later))
+    both = both.join(cells, both["asset_id"].eqNullSafe(cells["_asset"]) & both["_cell"].eqNullSafe(cells["_at"]))
+    when = both.groupBy(F.col("asset_id").alias("_asset"), F.col("_need").alias("_value")).agg(F.min(F.coalesce("_own", "_next")).alias("_goes"))
+    rows = rows.join(when, rows["asset_id"].eqNullSafe(when["_asset"]) & rows["_need"].eqNullSafe(when["_value"]), "left")
+    free = ~F.col("_held") | F.col("_need").isNull()
+    rows = rows.withColumn("_goes", F.when(free, F.col("seq")).when(F.col("_goes").isNotNull(), F.greatest("seq", "_goes"))).where(F.col("_goes").isNotNull())
+    rows = rows.withColumn("_cell", F.call_function("div", "_goes", F.lit(cell)))
+    extra = ["_end", "_limits", "_held", "_need", "_head", "_key", "_asset", "_value", "_goes", "_cell"]
+    return positions(rows, "asset_id", "_cell", ["_goes", STREAM, "seq"]).drop(*extra)
 
 
 def shortest(packets: DataFrame, limiting: list[int]) -> DataFrame:
-    """All streams cut at the earliest end among the limiting ones: packets that end by then stay."""
-    cut = packets.where(F.col(STREAM).isin(limiting)).groupBy("asset_id", STREAM).agg(F.max("end_us").alias("last")).groupBy("asset_id").agg(F.min("last").alias("cut_us"))
-    return packets.join(cut, "asset_id").where("end_us <= cut_us").drop("cut_us")
+    """All streams cut at the earliest end among the limiting ones: what ``released`` lets go, without its order.
+
+    Of each stream that is what lies in front of its first packet that ends later; ``end_us`` may be missing.
+    """
+    named = F.col(STREAM).isin(limiting)
+    last = packets.groupBy("asset_id", STREAM).agg(F.max("end_us").alias("_last"))
+    cut_us = last.groupBy("asset_id").agg(F.min(F.when(named, F.col("_last"))).alias("_cut"), F.coalesce(F.bool_or(named), F.lit(False)).alias("_held"))
+    rows = packets.join(cut_us, same(packets, cut_us, ["asset_id"])).drop(cut_us["asset_id"])
+    over = F.col("_held") & F.col("end_us").isNotNull() & F.coalesce(F.col("end_us") > F.col("_cut"), F.lit(True))
+    stop = rows.groupBy("asset_id", STREAM).agg(F.min(F.when(over, F.col("seq"))).alias("_stop"))
+    out = rows.join(stop, same(rows, stop, ["asset_id", STREAM])).drop(stop["asset_id"], stop[STREAM])
+    return out.where("_stop is null or seq < _stop").drop("_cut", "_held", "_stop")
 
 
 def progress(packets: DataFrame, active: list[int]) -> DataFrame:
@@ -151,86 +278,6 @@ def forced_keys(frames: DataFrame, times_us: list[int]) -> DataFrame:
     return rows.withColumn("forced", F.col("_taken") > F.coalesce(F.lag("_taken").over(w), F.lit(0))).drop("_rank", "_taken")
 
 
-def half_away(x: float) -> int:
-    return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
-
-
-@dataclass
-class Output:
-    """Where the output of a rate conversion stands: its next tick, and the frames put out so far."""
-
-    nxt: int = 0
-    frames: int = 0
-    origin_us: int | None = None
-
-    def take(self, ipts: float, duration: float, mode: str, most: int = 3_240_000) -> tuple[int, int]:
-        """Copies of a frame (in output ticks) and, of these, those of the frame before it, by the mode's drift thresholds.
-
-        A frame's drift is where it falls less where the output stands. Constant rates drop a frame that ends more than 1.1
-        ticks early and repeat one that ends more than 1.1 late, first the frame before it if it also begins late; variable
-        rates drop what ends 0.6 early and move the output on to what ends 0.6 late; pass-through keeps every stamp.
-        """
-        start = ipts - self.nxt
-        end = start + duration
-        if start < 0 < end and mode != "passthrough":
-            ipts, duration, start = float(self.nxt), duration + start, 0.0
-        copies, before = 1, 0
-        if mode in ("cfr", "vscfr"):
-            if mode == "vscfr" and self.frames == 0 and start >= 0.5:
-                end, start, self.nxt = duration, 0.0, half_away(ipts)
-            if end < -1.1:
-                copies = 0
-            elif end > 1.1:
-                copies = half_away(end)
-                if start > 1.1:
-                    before = half_away(start - 0.6)
-        elif mode == "vfr":
-            if end <= -0.6:
-                copies = 0
-            elif end > 0.6:
-                self.nxt = half_away(ipts)
-        else:
-            self.nxt = half_away(ipts)
-        if copies > most:
-            copies = 0
-        self.nxt += copies
-        self.frames += copies
-        return copies, min(before, copies)
-
-
-def sync_fold(pts: Iterable[float], durations: Iterable[float], mode: str) -> tuple[list[int], list[int]]:
-    """The copies of all frames of a stream, and those of the frames before them."""
-    out = Output()
-    taken = [out.take(float(t), float(d), mode) for t, d in zip(pts, durations)]
-    return [c for c, _ in taken], [b for _, b in taken]
-
-
-def synced(frames: DataFrame, mode: str, fps: int) -> DataFrame:
-    """Frames with ``copies`` and ``before`` (copies that show the frame before) at an output rate of ``fps``."""
-
-    def step(out: Output, pts_us: int, duration_us: int) -> tuple[int, int]:
-        if out.origin_us is None:
-            out.origin_us = pts_us
-        return out.take((pts_us - out.origin_us) * fps / MICROS, duration_us * fps / MICROS, mode)
-
-    return folded(frames, [STREAM], ["seq"], ["pts_us", "duration_us"], Output, step, "copies long, before long")
-
-
-def emitted(frames: DataFrame) -> DataFrame:
-    """Frames of ``synced`` as they are put out: (stream_index, tick, seq), ``seq`` the frame shown; the first ``before`` of
-    a frame's copies show the frame before it."""
-    w = ordered()
-    rows = frames.withColumn("_prev", F.coalesce(F.lag("seq").over(w), F.col("seq"))).withColumn("_first", F.sum("copies").over(upto(w)) - F.col("copies")).where("copies > 0")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return rows.select(STREAM, (F.col("_first") + F.col("_k")).alias("tick"), F.when(F.col("_k") < F.col("before"), F.col("_prev")).otherwise(F.col("seq")).alias("seq"))
-
-
-def sync_mode(asked: Column, variable_rate: Column, stamps: Column) -> Column:
-    """The mode that ``auto`` stands for, by what the container can hold: frames at any time, or no stamps at all."""
-    own = F.when(~variable_rate, "cfr").when(stamps, "vfr").otherwise("passthrough")
-    return F.when(asked == "auto", own).otherwise(asked)
-
-
 def limited(packets: DataFrame, stream: int, most: int) -> DataFrame:
     """At most ``most`` packets of a stream, which then ends: the others are cut at its end, as with ``shortest``."""
     n = F.row_number().over(Window.partitionBy("asset_id", STREAM).orderBy("seq"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinoframe.operators import analysis, timeline
+from kinoframe.operators import analysis, mux, timeline
 from kinoframe.plans.scan_queries import AT, BEFORE, DAY, UPTO, W
 from kinoframe.sources.tables import CHUNKS, PACKETS, STREAMS, TYPED, chunks, packets, streams, typed_packets
 
@@ -22,31 +23,96 @@ def query(name: str, sql: str | None):
 
 
 def stamped(spark, d):
-    """Packets with decoding stamps out of order."""
-    base = packets(spark, d)
-    return base.withColumn("pts", F.call_function("div", F.col("pts_us"), F.lit(1_000_000))).withColumn("dts", F.col("pts") + F.pmod(F.col("seq") * 7919, F.lit(40_000)) - 20_000)
+    """Packets with decoding stamps out of order, a seventh of them without a dts and an eleventh without a pts."""
+    base, seq = packets(spark, d), F.col("seq")
+    base = base.withColumn("pts", F.when(seq % 11 != 5, F.call_function("div", F.col("pts_us"), F.lit(1_000_000))))
+    dts = F.call_function("div", F.col("pts_us"), F.lit(1_000_000)) + F.pmod(seq * 7919, F.lit(40_000)) - 20_000
+    return base.withColumn("dts", F.when(seq % 7 != 3, dts))
 
 
-STAMPED = f"SELECT *, pts + (seq * 7919) % 40000 - 20000 AS dts FROM (SELECT *, pts_us // 1000000 AS pts FROM ({PACKETS}))"
+STAMPED = f"""SELECT *, CASE WHEN seq % 11 <> 5 THEN pts_us // 1000000 END AS pts,
+        CASE WHEN seq % 7 <> 3 THEN pts_us // 1000000 + (seq * 7919) % 40000 - 20000 END AS dts FROM ({PACKETS})"""
+#: Runs between packets without dts.
+RUNS = f"SELECT *, count(*) FILTER (dts IS NULL) OVER {UPTO} AS run FROM ({STAMPED})"
+RUN = "PARTITION BY stream_index, run ORDER BY seq"
 
 
-@query("dts_strict", f"SELECT stream_index, seq, out_dts, greatest(pts, out_dts) AS out_pts FROM (SELECT *, max(dts - r) OVER {UPTO} + r AS out_dts FROM (SELECT *, row_number() OVER ({W}) AS r FROM ({STAMPED})))")
+def monotone_sql(top: str) -> str:
+    """The greatest so far of a run, of dts less rank or of dts."""
+    return f"""SELECT stream_index, seq, out_dts, CASE WHEN pts IS NOT NULL THEN greatest(pts, out_dts) END AS out_pts FROM (
+        SELECT *, CASE WHEN dts IS NOT NULL THEN {top} END AS out_dts FROM (SELECT *, row_number() OVER ({RUN}) AS r FROM ({RUNS})))"""
+
+
+@query("dts_strict", monotone_sql(f"max(dts - r) OVER ({RUN} ROWS UNBOUNDED PRECEDING) + r"))
 def _(spark, d):
     return timeline.monotone_dts(stamped(spark, d)).select("stream_index", "seq", "out_dts", "out_pts")
 
 
-@query("dts_non_strict", f"SELECT stream_index, seq, out_dts, greatest(pts, out_dts) AS out_pts FROM (SELECT *, max(dts) OVER {UPTO} AS out_dts FROM ({STAMPED}))")
+@query("dts_non_strict", monotone_sql(f"max(dts) OVER ({RUN} ROWS UNBOUNDED PRECEDING)"))
 def _(spark, d):
     return timeline.monotone_dts(stamped(spark, d), strict=False).select("stream_index", "seq", "out_dts", "out_pts")
 
 
+def written_sql(least: str | None) -> str:
+    """The writer's loop: a dts after its pts is guessed, then one that lies before ``least`` is moved there; ``last`` is what was
+    written before."""
+    late = f"last IS NOT NULL AND g < {least}" if least else "false"
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT stream_index, seq, pts, dts, row_number() OVER ({W}) AS r FROM ({STAMPED})), f AS (
+        SELECT stream_index, 0::BIGINT AS r, 0::BIGINT AS seq, NULL::BIGINT AS out_pts, NULL::BIGINT AS last FROM (SELECT DISTINCT stream_index FROM p)
+        UNION ALL SELECT stream_index, r, seq, CASE WHEN {late} AND q >= g THEN greatest(q, {least or 'q'}) ELSE q END, CASE WHEN {late} THEN {least or 'g'} ELSE g END FROM (
+            SELECT stream_index, r, seq, last, CASE WHEN wrong THEN guess ELSE dts END AS g, CASE WHEN wrong THEN guess ELSE pts END AS q FROM (
+                SELECT p.*, f.last, coalesce(p.dts > p.pts, false) AS wrong, CASE WHEN f.last IS NULL THEN p.pts ELSE greatest(p.pts, least(p.dts, f.last + 1)) END AS guess
+                FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1)))
+        SELECT stream_index, seq, out_pts, last AS out_dts FROM f WHERE r > 0"""
+
+
+@query("dts_guess", written_sql(None))
+def _(spark, d):
+    return timeline.guessed_dts(stamped(spark, d), cell=2_500).select("stream_index", "seq", "out_pts", "out_dts")
+
+
+def written(spark, d, kind, strict):
+    one = lambda n: F.lit(n).cast("int")
+    rows = stamped(spark, d).withColumn("kind", F.lit(kind)).withColumn("copied", F.lit(False)).withColumn("duration", F.col("size"))
+    rows = rows.withColumns({"num": one(1), "den": one(1), "sample_rate": one(None), "samples": one(None), "out_num": one(1), "out_den": one(1)})
+    return mux.muxed(rows, strict, cell=2_500).select("stream_index", "seq", "out_pts", "out_dts")
+
+
+@query("mux_strict", written_sql("last + 1"))
+def _(spark, d):
+    return written(spark, d, "video", True)
+
+
+@query("mux_lenient", written_sql("last"))
+def _(spark, d):
+    return written(spark, d, "audio", False)
+
+
+@query("mux_data", written_sql(None))
+def _(spark, d):
+    return written(spark, d, "data", True)
+
+
+# sound of 1024 samples a packet at 44100 Hz, stamped in milliseconds with what a size adds, written in samples: the place that
+# is due is taken where the stamp allows it
 @query(
-    "dts_guess",
-    f"""WITH g AS (SELECT *, greatest(least(pts, dts), least(greatest(pts, dts), coalesce(lag(dts) OVER ({W}) + 1, least(pts, dts)))) AS guess FROM ({STAMPED}))
-        SELECT stream_index, seq, CASE WHEN dts > pts THEN guess ELSE pts END AS out_pts, CASE WHEN dts > pts THEN guess ELSE dts END AS out_dts FROM g""",
+    "mux_sound",
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT stream_index, seq, r, ms, floor(floor(((2 * ms - 1) * 44100)::DOUBLE / 1000) / 2)::BIGINT AS low,
+            floor((ceil(((2 * ms + 1) * 44100)::DOUBLE / 1000) + 1) / 2)::BIGINT AS high, round((ms * 44100)::DOUBLE / 1000)::BIGINT AS sure FROM (
+            SELECT stream_index, seq, r, round((r * 1024000)::DOUBLE / 44100)::BIGINT + size % 3 AS ms FROM (SELECT *, row_number() OVER ({W}) AS r FROM ({PACKETS})))),
+        f AS (SELECT stream_index, 0::BIGINT AS r, 0::BIGINT AS seq, NULL::BIGINT AS due, 0::BIGINT AS place FROM (SELECT DISTINCT stream_index FROM p)
+        UNION ALL SELECT stream_index, r, seq, place + 1024, place FROM (SELECT p.stream_index, p.r, p.seq, CASE WHEN f.due BETWEEN 2 * low - high AND 2 * high - low THEN least(greatest(f.due, low), high) ELSE sure END AS place
+            FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1)),
+        s AS (SELECT *, lag(out_dts) OVER ({W}) AS before FROM (SELECT stream_index, seq, place AS out_dts FROM f WHERE r > 0))
+        SELECT stream_index, seq, CAST(max(out_dts - n) OVER (PARTITION BY stream_index ORDER BY seq ROWS UNBOUNDED PRECEDING) + n AS BIGINT) AS out_dts FROM (SELECT *, row_number() OVER ({W}) AS n FROM s)""",
 )
 def _(spark, d):
-    return timeline.guessed_dts(stamped(spark, d)).select("stream_index", "seq", "out_pts", "out_dts")
+    r = F.row_number().over(Window.partitionBy("stream_index").orderBy("seq"))
+    ms = F.round((r * 1_024_000) / F.lit(44_100.0)).cast("long") + F.col("size") % 3
+    one = lambda n: F.lit(n).cast("int")
+    rows = packets(spark, d).select("stream_index", "seq", F.lit("audio").alias("kind"), F.lit(True).alias("copied"), ms.alias("pts"), ms.alias("dts"), F.lit(23).cast("long").alias("duration"))
+    rows = rows.withColumns({"num": one(1), "den": one(1_000), "sample_rate": one(44_100), "samples": one(1_024), "out_num": one(1), "out_den": one(44_100)})
+    return mux.muxed(rows, cell=2_500).select("stream_index", "seq", "out_dts")
 
 
 @query(
@@ -106,20 +172,63 @@ def _(spark, d):
     return timeline.shared_origin(rows, bases).select("stream_index", "seq", "out_dts")
 
 
-@query("interleaved", f"SELECT stream_index, seq, row_number() OVER (PARTITION BY asset_id ORDER BY dts, stream_index, seq) AS position FROM (SELECT *, pts_us // 60000000 AS dts FROM ({TYPED}))")
+# an asset a tenth of the users, a stream an event type; a seventh of the packets has no stamp, and one lies a century off
+QUEUED = f"""SELECT user_id % 10 AS asset_id, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS BIGINT) AS stream_index,
+        event_id AS seq, CASE WHEN event_id % 7 <> 2 THEN epoch_us(ts) // 60000000 + length(props) + CASE WHEN event_id = 100 THEN 52560000 ELSE 0 END END AS dts FROM events"""
+
+
+def queued(spark, d):
+    kind = F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END").cast("long")
+    far = F.when(F.col("seq") == 100, 52_560_000).otherwise(0)
+    dts = F.call_function("div", F.col("pts_us"), F.lit(60_000_000)) + F.col("size") + far
+    return packets(spark, d).select((F.col("stream_index") % 10).alias("asset_id"), kind.alias("stream_index"), "seq", F.when(F.col("seq") % 7 != 2, dts).alias("dts"))
+
+
+@query(
+    "interleaved",
+    f"""SELECT asset_id, stream_index, seq, row_number() OVER (PARTITION BY asset_id ORDER BY place NULLS FIRST, stream_index, seq) AS position FROM (
+        SELECT *, last_value(dts IGNORE NULLS) OVER (PARTITION BY asset_id, stream_index ORDER BY seq ROWS UNBOUNDED PRECEDING) AS place FROM ({QUEUED}))""",
+)
 def _(spark, d):
-    return timeline.interleaved(typed_packets(spark, d).withColumn("dts", F.call_function("div", F.col("pts_us"), F.lit(60_000_000)))).select("stream_index", "seq", "position")
+    return timeline.interleaved(queued(spark, d), cell=2_500).select("asset_id", "stream_index", "seq", "position")
+
+
+# a packet needs the head to come as far as its stream has; the head is the least of the limiting streams
+@query(
+    "released",
+    f"""WITH q AS (SELECT *, (dts * 1000 * den // 1000) AS e FROM (SELECT *, 1000::BIGINT AS den FROM ({QUEUED}))),
+        n AS (SELECT *, max(e) OVER (PARTITION BY asset_id, stream_index ORDER BY seq ROWS UNBOUNDED PRECEDING) AS need,
+            max(e) FILTER (stream_index = 1) OVER a AS h1, max(e) FILTER (stream_index = 3) OVER a AS h3 FROM q WINDOW a AS (PARTITION BY asset_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+        h AS (SELECT asset_id, least(h1, h3) AS head, min(seq) AS since FROM n WHERE h1 IS NOT NULL AND h3 IS NOT NULL GROUP BY ALL),
+        g AS (SELECT n.asset_id, n.stream_index, n.seq, CASE WHEN n.need IS NULL THEN n.seq ELSE greatest(n.seq, (SELECT min(since) FROM h WHERE h.asset_id = n.asset_id AND h.head >= n.need)) END AS goes, n.need FROM n)
+        SELECT asset_id, stream_index, seq, row_number() OVER (PARTITION BY asset_id ORDER BY goes, stream_index, seq) AS position
+        FROM g JOIN (SELECT asset_id AS a, max(head) AS most FROM h GROUP BY 1) ON a = asset_id WHERE need IS NULL OR need <= most""",
+)
+def _(spark, d):
+    # the same length of time in ticks of different bases
+    rows = queued(spark, d).withColumn("den", F.when(F.col("stream_index") % 2 == 0, 500).otherwise(1_000)).withColumn("num", F.lit(1))
+    rows = rows.withColumn("end", F.when(F.col("stream_index") % 2 == 0, F.col("dts") * 500).otherwise(F.col("dts") * 1_000))
+    return timeline.released(rows, [1, 3], cell=2_500).select("asset_id", "stream_index", "seq", "position")
+
+
+@query("frame_ends", f"""SELECT stream_index, seq, pts + CASE WHEN seq % 3 <> 0 THEN (2 * (size * 100) * 90000 + 44100) // (2 * 44100) ELSE size END AS "end" FROM ({STAMPED})""")
+def _(spark, d):
+    seq, size = F.col("seq"), F.col("size")
+    rows = stamped(spark, d).withColumns({"num": F.lit(1), "den": F.lit(90_000), "sample_rate": F.lit(44_100), "samples": F.when(seq % 3 != 0, size * 100), "duration": size})
+    return timeline.ends(rows).select("stream_index", "seq", "end")
+
+
+ENDED = f"SELECT *, (dts * 60000000 + 40000) AS end_us FROM ({QUEUED})"
 
 
 @query(
     "shortest_cut",
-    f"""WITH p AS (SELECT *, pts_us + 40000 AS end_us FROM ({TYPED}) WHERE NOT (stream_index = 1 AND pts_us > {AT + 5 * DAY})),
-        c AS (SELECT min(last) AS cut FROM (SELECT max(end_us) AS last FROM p WHERE stream_index IN (1, 3) GROUP BY stream_index))
-        SELECT stream_index, seq FROM p, c WHERE end_us <= cut""",
+    f"""WITH p AS ({ENDED}), c AS (SELECT asset_id, min(last) AS cut FROM (SELECT asset_id, stream_index, max(end_us) AS last FROM p WHERE stream_index IN (1, 3) GROUP BY ALL) GROUP BY 1),
+        s AS (SELECT p.asset_id, p.stream_index, min(seq) AS stop FROM p JOIN c USING (asset_id) WHERE end_us > cut GROUP BY ALL)
+        SELECT p.asset_id, p.stream_index, p.seq FROM p LEFT JOIN s ON p.asset_id = s.asset_id AND p.stream_index = s.stream_index WHERE stop IS NULL OR seq < stop""",
 )
 def _(spark, d):
-    rows = typed_packets(spark, d).where(~((F.col("stream_index") == 1) & (F.col("pts_us") > AT + 5 * DAY))).withColumn("end_us", F.col("pts_us") + 40_000)
-    return timeline.shortest(rows, [1, 3]).select("stream_index", "seq")
+    return timeline.shortest(queued(spark, d).withColumn("end_us", F.col("dts") * 60_000_000 + 40_000), [1, 3]).select("asset_id", "stream_index", "seq")
 
 
 PROGRESS = f"""SELECT 0 AS asset_id, coalesce(min(mark) FILTER (stream_index IN (0, 2)), max(mark)) AS out_us, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS packets

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinoframe.operators import analysis, frame_timing, timeline
+from kinoframe.operators import analysis, frame_timing, intake, rate, timeline
 from kinoframe.plans.scan_queries import AT, DAY, UPTO, W
 from kinoframe.plans.vectors import vectors
 from kinoframe.sources.tables import PACKETS, TYPED, packets, typed_packets
@@ -65,25 +65,30 @@ def _(spark, d):
 GUESSED = f"SELECT stream_index, seq, r, CASE WHEN seq % 3 <> 0 THEN pts_us // 1000000 END AS pts, CASE WHEN seq % 4 = 0 THEN 1 WHEN seq % 4 = 1 THEN 0 ELSE size END AS duration FROM (SELECT *, row_number() OVER ({W}) AS r FROM ({PACKETS}))"
 
 
-@query(
-    "estimated_durations",
-    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, coalesce(pts - lag(pts) OVER (PARTITION BY stream_index ORDER BY seq), -1) AS step FROM ({GUESSED})), f AS (
-        SELECT stream_index, r, seq, CASE WHEN duration > 0 THEN duration ELSE 1 END AS e FROM p WHERE r = 1
-        UNION ALL SELECT p.stream_index, p.r, p.seq, CASE WHEN p.duration > 0 AND NOT (p.duration = 1 AND p.step > 2) THEN p.duration WHEN p.step > 0 THEN p.step WHEN p.duration > 0 THEN p.duration ELSE greatest(f.e, 1) END
-        FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1)
-        SELECT stream_index, seq, e AS estimate FROM f""",
-)
-def _(spark, d):
+def shown_sql(steady: str) -> str:
+    """A frame after the other: a missing stamp builds on the last estimate, and the next estimate on that stamp."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({GUESSED}), f AS (
+        SELECT stream_index, 0::BIGINT AS r, 0::BIGINT AS seq, NULL::BIGINT AS t, 0::BIGINT AS e FROM (SELECT DISTINCT stream_index FROM p)
+        UNION ALL SELECT stream_index, r, seq, t, CASE WHEN duration > 0 AND NOT (duration = 1 AND step > 2) THEN duration WHEN step > 0 THEN step WHEN duration > 0 THEN duration ELSE {steady} END FROM (
+            SELECT *, coalesce(t - t0, -1) AS step FROM (SELECT p.stream_index, p.r, p.seq, p.duration, f.t AS t0, f.e AS last, coalesce(p.pts, f.t + f.e, 0) AS t
+                FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1)))
+        SELECT stream_index, seq, t AS out_pts, e AS estimate FROM f WHERE r > 0"""
+
+
+def shown(spark, d):
     s = F.col("seq")
-    rows = packets(spark, d).select("stream_index", "seq", F.when(s % 3 != 0, F.call_function("div", F.col("pts_us"), F.lit(1_000_000))).alias("pts"), F.when(s % 4 == 0, 1).when(s % 4 == 1, 0).otherwise(F.col("size")).alias("duration"))
-    return frame_timing.estimated_durations(rows).select("stream_index", "seq", "estimate")
+    pts = F.when(s % 3 != 0, F.call_function("div", F.col("pts_us"), F.lit(1_000_000)))
+    return packets(spark, d).select("stream_index", "seq", pts.alias("pts"), F.when(s % 4 == 0, 1).when(s % 4 == 1, 0).otherwise(F.col("size")).alias("duration"))
 
 
-@query("estimated_durations_at_rate", f"SELECT stream_index, seq, CASE WHEN duration > 0 AND NOT (duration = 1 AND step > 2) THEN duration WHEN step > 0 THEN step WHEN duration > 0 THEN duration ELSE 40 END AS estimate FROM (SELECT *, coalesce(pts - lag(pts) OVER (PARTITION BY stream_index ORDER BY seq), -1) AS step FROM ({GUESSED}))")
+@query("estimated_durations", shown_sql("greatest(last, 1)"))
 def _(spark, d):
-    s = F.col("seq")
-    rows = packets(spark, d).select("stream_index", "seq", F.when(s % 3 != 0, F.call_function("div", F.col("pts_us"), F.lit(1_000_000))).alias("pts"), F.when(s % 4 == 0, 1).when(s % 4 == 1, 0).otherwise(F.col("size")).alias("duration"))
-    return frame_timing.estimated_durations(rows, rate_ticks=40, stream_ticks=50).select("stream_index", "seq", "estimate")
+    return frame_timing.timed_frames(shown(spark, d), cell=2_500).select("stream_index", "seq", "out_pts", "estimate")
+
+
+@query("estimated_durations_at_rate", shown_sql("40"))
+def _(spark, d):
+    return frame_timing.timed_frames(shown(spark, d), rate_ticks=40, stream_ticks=50, cell=2_500).select("stream_index", "seq", "out_pts", "estimate")
 
 
 RATES = [44_100, 48_000, 22_050, 96_000, 11_025, 7_919, 32_000]
@@ -149,24 +154,30 @@ def _(spark, d):
     return timeline.forced_keys(packets(spark, d).select("stream_index", "seq", "pts_us"), TIMES)
 
 
-def sync_sql(mode: str, fps: int, duration_us: int, source: str = PACKETS) -> str:
-    """The drift rules of a mode, a frame after the other."""
-    rules = {
-        "cfr": ("e", "s", "nxt", "CASE WHEN e < -1.1 THEN 0 WHEN e > 1.1 THEN round(e) ELSE 1 END", "CASE WHEN e > 1.1 AND s > 1.1 THEN round(s - 0.6) ELSE 0 END"),
-        "vscfr": ("CASE WHEN n = 0 AND s >= 0.5 THEN du ELSE e END", "CASE WHEN n = 0 AND s >= 0.5 THEN 0 ELSE s END", "CASE WHEN n = 0 AND s >= 0.5 THEN round(i) ELSE nxt END", "CASE WHEN e < -1.1 THEN 0 WHEN e > 1.1 THEN round(e) ELSE 1 END", "CASE WHEN e > 1.1 AND s > 1.1 THEN round(s - 0.6) ELSE 0 END"),
-        "vfr": ("e", "s", "CASE WHEN e > 0.6 THEN round(i) ELSE nxt END", "CASE WHEN e <= -0.6 THEN 0 ELSE 1 END", "0"),
-        "passthrough": ("e", "s", "round(i)", "1", "0"),
-    }
-    e, s, nxt, copies, before = rules[mode]
-    clip = "false" if mode == "passthrough" else "t - nxt < 0 AND t - nxt + dur > 0"
-    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT stream_index, seq, pts_us, row_number() OVER ({W}) AS r, (pts_us - first_value(pts_us) OVER ({W})) * {fps} / 1000000.0::DOUBLE AS t, {duration_us} * {fps} / 1000000.0::DOUBLE AS dur FROM ({source})),
-        f AS (SELECT stream_index, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS pts_us, 0::DOUBLE AS nxt, 0::DOUBLE AS n, 0::DOUBLE AS copies, 0::DOUBLE AS before FROM (SELECT DISTINCT stream_index FROM p)
-        UNION ALL SELECT stream_index, r, seq, pts_us, nxt + c, n + c, c, least(b, c) FROM (
-            SELECT stream_index, r, seq, pts_us, nxt, n, ({copies})::DOUBLE AS c, ({before})::DOUBLE AS b FROM (
-                SELECT stream_index, r, seq, pts_us, n, {e} AS e, {s} AS s, ({nxt})::DOUBLE AS nxt FROM (
-                    SELECT p.stream_index, p.r, p.seq, p.pts_us, f.nxt, f.n, p.t - f.nxt + p.dur AS e, CASE WHEN {clip} THEN 0 ELSE p.t - f.nxt END AS s, CASE WHEN {clip} THEN f.nxt ELSE p.t END AS i, CASE WHEN {clip} THEN p.dur + p.t - f.nxt ELSE p.dur END AS du
-                    FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1))))
-        SELECT stream_index, seq, pts_us, {duration_us}::BIGINT AS duration_us, copies::BIGINT AS copies, before::BIGINT AS before FROM f WHERE r > 0"""
+#: Copies of a frame and those of the frame before, by the drift of its begin and end in millionths of a tick; where the output
+#: goes before, and the two drifts after that.
+SYNC = {
+    "cfr": ("CASE WHEN e < -1100000 THEN 0 WHEN e > 1100000 THEN (e + 500000) // 1000000 ELSE 1 END", "CASE WHEN e > 1100000 AND s > 1100000 THEN (s - 100000) // 1000000 ELSE 0 END", "nxt"),
+    "vfr": ("CASE WHEN e <= -600000 THEN 0 ELSE 1 END", "0", "CASE WHEN e > 600000 THEN (i + 500000) // 1000000 ELSE nxt END"),
+    "passthrough": ("1", "0", "(i + 500000) // 1000000"),
+}
+
+
+def sync_sql(mode: str, duration_us: int, source: str = PACKETS) -> str:
+    """The drift rules of a mode at a frame a second, a frame after the other; then the last frame again, by the median of three."""
+    first = "n = 0 AND 2 * s >= 1000000" if mode == "vscfr" else "false"
+    copies, before, nxt = SYNC["cfr" if mode == "vscfr" else mode]
+    clip = "false" if mode == "passthrough" else "t - nxt * 1000000 < 0 AND t - nxt * 1000000 + dur > 0"
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT stream_index, seq, pts_us, row_number() OVER ({W}) AS r, pts_us - first_value(pts_us) OVER ({W}) AS t, {duration_us}::BIGINT AS dur FROM ({source})),
+        f AS (SELECT stream_index, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS pts_us, 0::BIGINT AS nxt, 0::BIGINT AS n, 0::BIGINT AS copies, 0::BIGINT AS before, [0, 0, 0]::BIGINT[] AS h FROM (SELECT DISTINCT stream_index FROM p)
+        UNION ALL SELECT stream_index, r, seq, pts_us, nxt + c, n + c, c, least(b, c), [b, h[1], h[2]] FROM (
+            SELECT stream_index, r, seq, pts_us, n, h, ({nxt})::BIGINT AS nxt, CASE WHEN ({copies}) > 3240000 THEN 0 ELSE ({copies})::BIGINT END AS c, ({before})::BIGINT AS b FROM (
+                SELECT * REPLACE (CASE WHEN {first} THEN du ELSE e END AS e, CASE WHEN {first} THEN 0 ELSE s END AS s, CASE WHEN {first} THEN (i + 500000) // 1000000 ELSE nxt END AS nxt) FROM (
+                    SELECT p.stream_index, p.r, p.seq, p.pts_us, f.nxt, f.n, f.h, p.dur AS du, p.t - f.nxt * 1000000 + p.dur AS e, CASE WHEN {clip} THEN 0 ELSE p.t - f.nxt * 1000000 END AS s, CASE WHEN {clip} THEN f.nxt * 1000000 ELSE p.t END AS i
+                    FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1)))),
+        l AS (SELECT stream_index, list_sort(h)[2] AS again FROM (SELECT *, max(r) OVER (PARTITION BY stream_index) AS last FROM f) WHERE r = last AND r > 0)
+        SELECT stream_index, seq, pts_us, {duration_us}::BIGINT AS duration_us, copies, before FROM f WHERE r > 0
+        UNION ALL SELECT stream_index, NULL, NULL, NULL, again, again FROM l WHERE again > 0"""
 
 
 def clocked(spark, d, duration_us):
@@ -174,9 +185,9 @@ def clocked(spark, d, duration_us):
 
 
 def sync_query(name: str, mode: str, duration_us: int) -> None:
-    @query(name, sync_sql(mode, 1, duration_us))
+    @query(name, sync_sql(mode, duration_us))
     def _(spark, d):
-        return timeline.synced(clocked(spark, d, duration_us), mode, 1)
+        return rate.synced(clocked(spark, d, duration_us), mode, 1, cell=2_500)
 
 
 for _name, _mode, _duration in (("sync_cfr", "cfr", 40_000), ("sync_vfr", "vfr", 40_000), ("sync_vscfr", "vscfr", 3_600_000_000), ("sync_passthrough", "passthrough", 40_000)):
@@ -184,19 +195,20 @@ for _name, _mode, _duration in (("sync_cfr", "cfr", 40_000), ("sync_vfr", "vfr",
 
 
 # four hours a second
-FAST = sync_sql("cfr", 1, 1_000_000, f"SELECT * REPLACE (pts_us // 14400 AS pts_us) FROM ({PACKETS})")
+FAST = sync_sql("cfr", 1_000_000, f"SELECT * REPLACE (pts_us // 14400 AS pts_us) FROM ({PACKETS})")
 
 
 @query(
     "sync_frames",
     f"""SELECT stream_index, first + k AS tick, CASE WHEN k < before THEN prev ELSE seq END AS seq FROM (
-        SELECT *, unnest(range(copies)) AS k FROM (SELECT *, coalesce(lag(seq) OVER ({W}), seq) AS prev, CAST(sum(copies) OVER {UPTO} AS BIGINT) - copies AS first FROM ({FAST})))""",
+        SELECT *, unnest(range(copies)) AS k FROM (SELECT *, coalesce(lag(seq) OVER (PARTITION BY stream_index ORDER BY seq NULLS LAST), seq) AS prev,
+            CAST(sum(copies) OVER (PARTITION BY stream_index ORDER BY seq NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) - copies AS first FROM ({FAST})))""",
 )
 def _(spark, d):
-    return timeline.emitted(timeline.synced(clocked(spark, d, 1_000_000).withColumn("pts_us", F.call_function("div", F.col("pts_us"), F.lit(14_400))), "cfr", 1))
+    return rate.emitted(rate.synced(clocked(spark, d, 1_000_000).withColumn("pts_us", F.call_function("div", F.col("pts_us"), F.lit(14_400))), "cfr", 1, cell=2_500))
 
 
-vectors(query, "sync_modes", "VARCHAR", [(["auto", "true", "true"], "vfr"), (["auto", "true", "false"], "passthrough"), (["auto", "false", "true"], "cfr"), (["auto", "false", "false"], "cfr"), (["vscfr", "true", "true"], "vscfr")], lambda c: timeline.sync_mode(F.element_at(c, 1), F.element_at(c, 2) == "true", F.element_at(c, 3) == "true"))
+vectors(query, "sync_modes", "VARCHAR", [(["auto", "true", "true"], "vfr"), (["auto", "true", "false"], "passthrough"), (["auto", "false", "true"], "cfr"), (["auto", "false", "false"], "cfr"), (["vscfr", "true", "true"], "vscfr")], lambda c: rate.sync_mode(F.element_at(c, 1), F.element_at(c, 2) == "true", F.element_at(c, 3) == "true"))
 
 
 @query(
@@ -218,38 +230,63 @@ def _(spark, d):
 # --- jumps and the clock of sound ---
 
 # an asset a user, a stream a type; a day is 17 seconds, and a type other than the first two shows no jumps
-JUMPY = f"""SELECT stream_index AS asset_id, seq, type AS s, type < 2 AS timed, CASE WHEN seq % 7 <> 3 THEN (pts_us - {AT}) // 5000 END AS dts, (pts_us - {AT}) // 5000 + 80000 AS pts, 40000::BIGINT AS du,
+JUMPY = f"""SELECT stream_index AS asset_id, seq, type AS s, type < 2 AS timed, CASE WHEN seq % 7 <> 3 THEN (pts_us - {AT}) // 5000 END AS dts, (pts_us - {AT}) // 5000 + 80000 AS pts,
+        CASE type WHEN 1 THEN 1000000 * 1024 // 48000 WHEN 0 THEN CASE WHEN seq % 2 = 0 THEN size * 1000 ELSE 40000 END ELSE 0 END AS du,
         row_number() OVER ({W}) AS r FROM (SELECT *, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS type FROM ({PACKETS}))"""
 
 
 def jumpy(spark, d):
+    """Pictures (a duration, or none and 25 a second), sound of 1024 samples, and subtitles."""
     kind = F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END")
     t = F.call_function("div", F.col("pts_us") - AT, F.lit(5_000))
     rows = packets(spark, d).withColumn("asset_id", F.col("stream_index")).withColumn("stream_index", kind.cast("long"))
-    return rows.select("asset_id", "seq", "stream_index", (F.col("stream_index") < 2).alias("timed"), F.when(F.col("seq") % 7 != 3, t).alias("dts_us"), (t + 80_000).alias("pts_us"), F.lit(40_000).cast("long").alias("duration_us"))
+    of = lambda n, v: F.when(F.col("stream_index") == n, F.lit(v).cast("int"))
+    return rows.select(
+        "asset_id", "seq", "stream_index", F.expr("CASE stream_index WHEN 0 THEN 'video' WHEN 1 THEN 'audio' ELSE 'subtitle' END").alias("kind"),
+        F.when(F.col("seq") % 7 != 3, t).alias("dts_us"), (t + 80_000).alias("pts_us"), F.when(F.col("seq") % 2 == 0, F.col("size") * 1_000).alias("duration_us"),
+        of(1, 1_024).alias("frame_size"), of(1, 48_000).alias("sample_rate"), of(0, 25).alias("rate_num"), of(0, 1).alias("rate_den"), F.lit(80_000).cast("long").alias("delay_us"),
+    )
+
+
+def intake_sql(jump: str, stray: str = "false") -> str:
+    """A packet after the other, in output time. ``seen`` and ``due`` hold a number a stream; ``jump`` says of the stamp x of a packet
+    that shows jumps whether it is one, by n (seen), d (due) and l (the asset's last); ``stray`` of a stamp {{}} whether it goes."""
+    gone = lambda c: f"CASE WHEN timed AND x IS NOT NULL AND d IS NOT NULL AND {stray.format(c)} THEN NULL ELSE {c} - j END"
+    lists = lambda new, old: ", ".join(f"CASE WHEN s = {i} THEN {new} ELSE {old}[{i + 1}] END" for i in range(3))
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({JUMPY}), f AS (
+        SELECT asset_id, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS off, 0::BIGINT AS l, [NULL, NULL, NULL]::BIGINT[] AS seen, [NULL, NULL, NULL]::BIGINT[] AS due,
+            NULL::BIGINT AS out_dts, NULL::BIGINT AS out_pts, NULL::BIGINT AS expected FROM (SELECT DISTINCT asset_id FROM p)
+        UNION ALL SELECT asset_id, r, seq, (off - j)::BIGINT, CASE WHEN timed AND o IS NOT NULL THEN o ELSE l END, [{lists("m", "seen")}], [{lists("m + du", "due")}], o, q, m
+        FROM (SELECT *, coalesce(o, d, coalesce(q, 0) - 80000) AS m FROM (SELECT *, ({gone('x')})::BIGINT AS o, ({gone('y')})::BIGINT AS q FROM (
+            SELECT *, CASE WHEN timed AND x IS NOT NULL AND ({jump}) THEN x - coalesce(d, l) ELSE 0 END AS j FROM (
+                SELECT p.asset_id, p.r, p.seq, p.s, p.timed, p.du, f.off, f.l, f.seen, f.due, p.dts + f.off AS x, p.pts + f.off AS y, f.seen[p.s + 1] AS n, f.due[p.s + 1] AS d
+                FROM f JOIN p ON p.asset_id = f.asset_id AND p.r = f.r + 1)))))
+        SELECT asset_id, seq, out_dts, out_pts, expected AS expected_us, off AS offset_us FROM f WHERE r > 0"""
 
 
-def jump_sql(far: int, strays: bool) -> str:
-    """A packet after the other; ``seen`` and ``due`` hold a number a stream."""
-    at, pts = ("dts", "pts") if strays else ("dts + off", "pts + off")
-    jump = "0" if strays else f"CASE WHEN timed AND x IS NOT NULL AND (CASE WHEN d IS NULL THEN l IS NOT NULL AND abs(x - l) > {far} ELSE abs(x - d) > {far} OR x + 100000 < n END) THEN x - coalesce(d, l) ELSE 0 END"
-    stray = lambda c: f"CASE WHEN timed AND x IS NOT NULL AND d IS NOT NULL AND abs({c} - d) > {far} THEN NULL ELSE {c} END" if strays else f"{c} - j"
-    return f"""WITH RECURSIVE p AS MATERIALIZED ({JUMPY}), f AS (
-        SELECT asset_id, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS off, NULL::BIGINT AS l, [NULL, NULL, NULL]::BIGINT[] AS seen, [NULL, NULL, NULL]::BIGINT[] AS due, NULL::BIGINT AS out_dts, NULL::BIGINT AS out_pts FROM (SELECT DISTINCT asset_id FROM p)
-        UNION ALL SELECT asset_id, r, seq, (off - j)::BIGINT, CASE WHEN timed AND x IS NOT NULL THEN o ELSE l END,
-            [CASE WHEN s = 0 THEN m ELSE seen[1] END, CASE WHEN s = 1 THEN m ELSE seen[2] END, CASE WHEN s = 2 THEN m ELSE seen[3] END], [CASE WHEN s = 0 THEN m + du ELSE due[1] END, CASE WHEN s = 1 THEN m + du ELSE due[2] END, CASE WHEN s = 2 THEN m + du ELSE due[3] END], o, q
-        FROM (SELECT *, coalesce(o, d, q, 0) AS m FROM (SELECT *, ({stray('x')})::BIGINT AS o, ({stray('y')})::BIGINT AS q FROM (SELECT *, {jump} AS j FROM (
-            SELECT p.asset_id, p.r, p.seq, p.s, p.timed, p.du, f.off, f.l, f.seen, f.due, p.{at} AS x, p.{pts} AS y, f.seen[p.s + 1] AS n, f.due[p.s + 1] AS d FROM f JOIN p ON p.asset_id = f.asset_id AND p.r = f.r + 1)))))"""
+FAR = "abs(x - coalesce(d, l)) > 10000000 OR coalesce(x + 100000 < n, false)"
+TAKEN = ("asset_id", "seq", "out_dts", "out_pts", "expected_us", "offset_us")
+
+
+@query("rejoined", intake_sql(FAR))
+def _(spark, d):
+    return intake.taken_in(jumpy(spark, d), cell=2_500).select(*TAKEN)
 
 
-@query("rejoined", f"{jump_sql(10_000_000, False)} SELECT asset_id, seq, out_dts, out_pts, off AS offset_us FROM f WHERE r > 0")
+# a turn of ten minutes: a stamp that lies near where it would be a turn later has wrapped
+@query("rejoined_copied", intake_sql(f"d IS NOT NULL AND abs(x + 600000000 - d) < abs(x - d) // 10 AND ({FAR})"))
 def _(spark, d):
-    return frame_timing.rejoined(jumpy(spark, d)).select("asset_id", "seq", "out_dts", "out_pts", "offset_us")
+    return intake.taken_in(jumpy(spark, d), intake.Rules(copyts=True, turn_us=600_000_000), cell=2_500).select(*TAKEN)
 
 
-@query("without_strays", f"{jump_sql(60_000_000, True)} SELECT asset_id, seq, out_dts, out_pts FROM f WHERE r > 0")
+@query("without_strays", intake_sql("false", "abs({} - d) > 108000000000").replace(f"(pts_us - {AT}) // 5000", f"(pts_us - {AT})"))
 def _(spark, d):
-    return frame_timing.without_strays(jumpy(spark, d), 60_000_000).select("asset_id", "seq", "out_dts", "out_pts")
+    rows = jumpy(spark, d)
+    for c in ("dts_us", "pts_us"):
+        late = 80_000 if c == "pts_us" else 0
+        own = packets(spark, d).select(F.col("seq").alias("_seq"), (F.col("pts_us") - AT + late).alias("_us"))
+        rows = rows.join(own, F.col("seq") == F.col("_seq")).withColumn(c, F.when(F.col(c).isNotNull(), F.col("_us"))).drop("_seq", "_us")
+    return intake.taken_in(rows, intake.Rules(jumps=False), cell=2_500).select(*TAKEN)
 
 
 # stamps of a container in milliseconds, a fifth of them missing; every 50 frames the sound goes on at the next full minute

@@ -42,21 +42,21 @@ def test_uniform_n_takes_the_frame_shown_then(spark):
 def strict_loop(stamps):
     last, out = None, []
     for d in stamps:
-        last = d if last is None else max(d, last + 1)
+        last = d if last is None or d is None else max(d, last + 1)
         out.append(last)
     return out
 
 
 def test_strict_dts_equals_the_loop(spark):
     pick = random.Random(3)
-    rows = [(s, i, pick.randrange(40), pick.randrange(40)) for s in range(20) for i in range(25)]
+    rows = [(s, i, pick.randrange(40), pick.randrange(40) if pick.random() < 0.9 else None) for s in range(20) for i in range(25)]
     df = packets(spark, rows, "stream_index long, seq long, pts long, dts long")
     for cell in (1 << 20, 4):
         got = {(r.stream_index, r.seq): (r.out_dts, r.out_pts) for r in timeline.monotone_dts(df, cell=cell).collect()}
         for s in range(20):
             mine = [r for r in rows if r[0] == s]
             for r, want in zip(mine, strict_loop([r[3] for r in mine])):
-                assert got[s, r[1]] == (want, max(r[2], want))
+                assert got[s, r[1]] == (want, r[2] if want is None else max(r[2], want))
 
 
 def test_groups_are_numbered_alike_in_cells_of_any_size(spark):
@@ -92,59 +92,18 @@ def test_sound_follows_its_clock_and_gaps_set_it_anew(spark):
     assert [r.out_pts for r in frame_timing.sound_stamps(frames).orderBy("seq").collect()] == [0, 1024, 2048, 3072, 44_100, 45_124]
 
 
-def test_a_jump_is_taken_out_of_all_streams(spark):
-    second = 1_000_000
-    rows = [(1, i, i % 2, True, (i + (3_600 if i >= 6 else 0)) * second, None, second * 2) for i in range(10)]
-    df = packets(spark, rows, "asset_id long, seq long, stream_index long, timed boolean, dts_us long, pts_us long, duration_us long")
-    got = frame_timing.rejoined(df).orderBy("seq").collect()
-    assert [r.out_dts for r in got] == [i * second for i in range(10)] and got[-1].offset_us == -3_600 * second
-
-
 def test_strict_sink_sees_duplicate_stamps(spark):
     df = packets(spark, [(0, 0, 3, 0), (0, 1, 3, 3), (0, 2, 4, 2)], "stream_index long, seq long, pts long, dts long")
     got = {r.seq: (r.pts_again, r.dts_back) for r in timeline.violations(df).collect()}
     assert got == {1: (True, False), 2: (False, True)}
 
 
-def sync_loop_constant(ticks):
-    """Constant rate for frames that last one tick: what the thresholds say, written for that case alone."""
-    nxt, out = 0, []
-    for t in ticks:
-        start, end = t - nxt, t - nxt + 1
-        if start < 0 < end:
-            start = 0
-        c = 0 if end < -1.1 else round(end + 1e-9) if end > 1.1 else 1
-        out.append(c)
-        nxt += c
-    return out
-
-
-def test_constant_rate_halves_and_doubles():
-    fast = np.arange(12) / 2
-    copies, _ = timeline.sync_fold(fast, np.full(12, 0.5), "cfr")
-    assert sum(copies) == 8  # six ticks, and the two that the output may run ahead by
-    slow = np.arange(6) * 2.0
-    copies, before = timeline.sync_fold(slow, np.full(6, 2.0), "cfr")
-    assert sum(copies) == 12 and all(b <= c for b, c in zip(before, copies))
-    whole = [float(t) for t in (0, 1, 2, 5, 6, 7)]
-    assert timeline.sync_fold(np.array(whole), np.ones(6), "cfr")[0] == sync_loop_constant(whole)
-
-
-def test_pass_through_keeps_every_frame():
-    t = np.array([0.0, 0.2, 5.0, 5.1])
-    assert timeline.sync_fold(t, np.ones(4), "passthrough")[0] == [1, 1, 1, 1]
-
-
 def test_forced_keys_take_one_time_a_frame(spark):
     df = packets(spark, [(0, i, i * 1_000_000) for i in range(5)])
     got = [r.seq for r in timeline.forced_keys(df, [500_000, 600_000, 3_000_000]).where("forced").orderBy("seq").collect()]
     assert got == [1, 2, 3]
 
 
-def entry(i, size, **more):
-    return {"conn_id": 1, "seq": i, "bytes": size, "at_s": 0, "is_video": True, "is_key": False, "is_header": False, "droppable": True, **more}
-
-
 def pair_loop(events, end, least):
     pending, out = {}, []
     for channel, kind, t in events:
@@ -172,3 +131,59 @@ def test_shortest(spark, limiting, want):
     df = spark.createDataFrame(rows, "asset_id long, stream_index long, seq long, end_us long")
     got = {r.stream_index: r["count"] for r in timeline.shortest(df, limiting).groupBy("stream_index").count().collect()}
     assert got == want
+
+
+def queue(arrivals, limiting):
+    """Arrivals (stream, seq, end) of an asset through queues, one after the other: (stream, seq) as they leave."""
+    used = {s for s, _, e in arrivals if s in limiting and e is not None}
+    held = any(s in limiting for s, _, _ in arrivals)
+    waiting, come, out = {}, {}, []
+    for s, i, e in arrivals:
+        waiting.setdefault(s, []).append((i, e))
+        if e is not None:
+            come[s] = max(e, come.get(s, e))
+        head = min(come[x] for x in used) if used and used <= set(come) else None
+        for x in sorted(waiting):
+            while waiting[x] and (not held or waiting[x][0][1] is None or head is not None and waiting[x][0][1] <= head):
+                out.append((x, waiting[x].pop(0)[0]))
+    return out
+
+
+def test_queues_let_go_what_is_not_past_the_shortest(spark):
+    pick = random.Random(4)
+    fixed = [(0, 10), (0, None), (1, 20), (0, 40), (0, None), (1, 15), (1, 30), (0, 12), (2, 30), (2, None)]
+    assets = {7: [(s, i, e) for i, (s, e) in enumerate(fixed)], 8: [(0, 1, 5), (0, 2, None)], 9: [(1, 0, None), (0, 1, 3), (2, 2, None)]}
+    assert queue(assets[7], {1}) == [(0, 0), (0, 1), (1, 2), (1, 5), (1, 6), (2, 8), (2, 9)]
+    for a in range(10, 30):
+        assets[a] = [(pick.randrange(4), i, pick.randrange(i, i + 9) if pick.random() < 0.8 else None) for i in range(30)]
+    rows = [(a, s, i, e if e is None or s % 2 else e * 2, 1, 25 if s % 2 else 50) for a, own in assets.items() for s, i, e in own]
+    df = spark.createDataFrame(rows, "asset_id long, stream_index long, seq long, end long, num int, den int")
+    for limiting in ([1], [1, 3]):
+        want = {a: queue(own, set(limiting)) for a, own in assets.items()}
+        for cell in (1 << 18, 7):
+            got = {}
+            for r in timeline.released(df, limiting, cell).orderBy("asset_id", "position").collect():
+                got.setdefault(r.asset_id, []).append((r.stream_index, r.seq))
+            assert got == {a: o for a, o in want.items() if o}
+        micros = df.withColumn("end_us", F.col("end") * 1_000_000 / F.col("den")).withColumn("end_us", F.col("end_us").cast("long"))
+        assert {(r.asset_id, r.seq) for r in timeline.shortest(micros, limiting).collect()} == {(a, i) for a, o in want.items() for _, i in o}
+
+
+def test_mux_order_keeps_packets_without_dts_and_spreads_outliers(spark):
+    rows = [(1, s, i, None if i % 4 == 1 else (i if i != 6 else 1 << 50)) for i in range(12) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "asset_id long, stream_index long, seq long, dts long")
+    place, want = {}, []
+    for a, s, i, d in rows:
+        place[s] = d if d is not None else place.get(s)
+        want.append((place[s] is not None, place[s] or 0, s, i))
+    got = timeline.interleaved(df, 16, 5).orderBy("position").collect()
+    assert [(r.stream_index, r.seq) for r in got] == [(s, i) for _, _, s, i in sorted(want)] and [r.position for r in got] == list(range(1, 25))
+    spans = df.withColumn("cell", timeline.spread(df, "dts", 16)).groupBy("cell").count().collect()
+    assert max(r["count"] for r in spans) <= 6
+
+
+def test_stamps_and_durations_build_on_each_other(spark):
+    df = spark.createDataFrame([(0, 0, 0, 5), (0, 1, None, 0), (0, 2, 20, 0)], "stream_index long, seq long, pts long, duration long")
+    for cell in (1 << 18, 1):
+        assert [(r.out_pts, r.estimate) for r in frame_timing.timed_frames(df, cell=cell).orderBy("seq").collect()] == [(0, 5), (5, 5), (20, 15)]
+    assert [(r.out_pts, r.estimate) for r in frame_timing.timed_frames(df, forced=True).orderBy("seq").collect()] == [(0, 1), (1, 1), (2, 1)]
