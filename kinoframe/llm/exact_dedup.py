@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm.base import drop_scratch, scratch, stored
+from kinoframe.llm.base import drop_scratch, free_name, scratch, stored
 
 #: Bytes of staged digests that a micro-batch reads at most.
 BATCH_BYTES = 8 << 30
@@ -53,7 +53,14 @@ def scanned(docs: DataFrame, plain_scan: bool, name: str = "dedup-input") -> Dat
 def located(docs: DataFrame) -> DataFrame:
     """A plain scan with the content locator, file and row."""
     mine = [c for c in docs.columns if c.lower() not in ("_file", "_row")]
-    return docs.select(*[F.col(f"`{c}`") for c in mine], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    file, row = place(docs)
+    return docs.select(*[F.col(f"`{c}`") for c in mine], file.alias("_file"), row.alias("_row"))
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row of a plain scan; the hidden column, whatever the names of the others."""
+    hidden = docs.metadataColumn("_metadata")
+    return hidden["file_path"], hidden["row_index"]
 
 
 def keeper() -> Column:
@@ -63,7 +70,7 @@ def keeper() -> Column:
 
 def state_of(spark: SparkSession, staged: str, schema, per_trigger: dict | None) -> DataFrame:
     """Runs the stream over staged digests to the end; (digest, keep, n), stored."""
-    states, place = scratch(spark, "dedup-states"), scratch(spark, "dedup-stream")
+    states, held = scratch(spark, "dedup-states"), scratch(spark, "dedup-stream")
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
@@ -74,7 +81,7 @@ def state_of(spark: SparkSession, staged: str, schema, per_trigger: dict | None)
         grouped = reader.parquet(staged).groupBy("digest").agg(F.min(keeper()).alias("keep"), F.count(F.lit(1)).alias("n"))
         stream = (
             grouped.writeStream.outputMode("update")
-            .option("checkpointLocation", place)
+            .option("checkpointLocation", held)
             .trigger(availableNow=True)
             # a batch that is repeated after a failure replaces its own files
             .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{states}/batch={batch}"))
@@ -87,7 +94,7 @@ def state_of(spark: SparkSession, staged: str, schema, per_trigger: dict | None)
     found = spark.read.schema("digest string, keep struct<no_id: boolean, doc_id: long, _file: string, _row: long>, n long, batch int").parquet(states)
     # later states of a digest only have a smaller row to keep and a greater count
     last = stored(found.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n")), "dedup-state")
-    drop_scratch(spark, states, place)
+    drop_scratch(spark, states, held)
     return last
 
 
@@ -139,8 +146,8 @@ def deduplicate(docs: DataFrame, plain_scan: bool = False, **options) -> DataFra
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """A plain Parquet scan less the rows whose locators (_file, _row) are in ``gone``."""
     gone = gone.select("_file", "_row")
-    file, row = "_dedup_file", "_dedup_row"
-    here = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    file, row = free_name(docs, "_dedup_file"), free_name(docs, "_dedup_row")
+    here = docs.select("*", *[c.alias(n) for c, n in zip(place(docs), (file, row))])
     return here.join(gone, (F.col(file) == gone["_file"]) & (F.col(row) == gone["_row"]), "left_anti").drop(file, row)
 
 

@@ -56,7 +56,7 @@ def shuffle_shards(
 ) -> DataFrame:
     """All rows and columns with ``shard`` and ``slot`` (gapless from 0 in each shard), in shuffled order."""
     columns = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    b, rec, at, copy = (free_name(docs, x) for x in ("bucket", "record", "at", "copy"))
+    b, rec, at, copy, first_key = (free_name(docs, x) for x in ("bucket", "record", "at", "copy", "_key"))
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + row_bytes
     whole = docs.agg(F.sum(size.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     n, buckets = whole["n"], max(1, -(-(whole["bytes"] or 0) // bucket_bytes))
@@ -75,7 +75,7 @@ def shuffle_shards(
         sizes = counts(docs, dealt_by(*key))
     starts = starts_of(sizes, b, "rows_in").drop("rows_in")
 
-    row = F.struct(F.col(id_col).alias("_key"), *[F.col(f"`{c}`") for c in columns if c != id_col])
+    row = F.struct(F.col(id_col).alias(first_key), *[F.col(f"`{c}`") for c in columns if c != id_col])
     dealt = (
         docs.select(dealt_by(*key).alias(b), row.alias(rec))
         .repartition(partition_count(buckets), b)
@@ -89,7 +89,7 @@ def shuffle_shards(
     # shard s holds the places p with p * k div n = s, so it begins at ceil(s * n / k)
     shard = F.expr(f"(start + {at}) * {n_shards} div {max(n, 1)}")
     first = F.expr(f"(shard * {n}L + {n_shards - 1}) div {n_shards}")
-    out = placed.select(*[F.col(f"{rec}._key" if c == id_col else f"{rec}.`{c}`").alias(c) for c in columns], (F.col("start") + F.col(at)).alias("slot"), shard.cast("int").alias("shard"))
+    out = placed.select(*[F.col(f"{rec}.{first_key}" if c == id_col else f"{rec}.`{c}`").alias(c) for c in columns], (F.col("start") + F.col(at)).alias("slot"), shard.cast("int").alias("shard"))
     return out.select(*[F.col(f"`{c}`") for c in columns], "shard", (F.col("slot") - first).alias("slot"))
 
 

@@ -84,7 +84,7 @@ def test_chains_of_copies_go_through_rows_without_id(spark):
     assert {r.kept for r in got} == {1} and len(got) == 3
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, score int, fp long, _keep boolean, _file string, digest string, length int"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score int, fp long, _keep boolean, _file string, digest string, length int, _metadata string, _dedup_file string, _dedup_row int, _key int"
 
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
@@ -93,9 +93,9 @@ def test_stages_on_nothing_and_on_odd_rows(spark, tmp_path, stage):
     spark.createDataFrame([(None, 1), (1, None), (1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     empty = spark.createDataFrame([], ODD)
     assert stage(spark, empty, str(tmp_path)).count() == 0
-    rest = ("s", 1, 2, 3, True, "f", "d", 4)
+    rest = ("s", 1, 2, 3, True, "f", "d", 4, "m", "f", 5, 6)
     long = "some quite ordinary words of a very long text " * 20_000
-    rows = [(1, "some ordinary words", "en", *rest)] * 3 + [(None, long, None, *rest), (2, "", "en", *rest), (3, None, None, *[None] * 8), (None, None, None, *[None] * 8)]
+    rows = [(1, "some ordinary words", "en", *rest)] * 3 + [(None, long, None, *rest), (2, "", "en", *rest), (3, None, None, *[None] * 12), (None, None, None, *[None] * 12)]
     out = stage(spark, spark.createDataFrame(rows, ODD), str(tmp_path))
     got = out.collect()
     name = stage.__name__

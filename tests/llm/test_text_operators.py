@@ -356,3 +356,13 @@ def test_toxicity_threshold_is_the_same_on_a_thinned_sample(spark):
     for most in ({}, {"ordinary_docs": 350}, {"toxic_docs": 30}):
         short, long = toxicity.train(texts, labels, **most, **shape).scorer()([data[1][1], data[0][1]])
         assert short < 0.02 and 0.12 < long < 0.28, most
+
+
+def test_columns_with_the_names_that_operators_use(spark):
+    names = ["_key", "_metadata", "_dedup_file", "_dedup_row", "_file", "_row", "n", "run", "at", "record", "bucket"]
+    rows = [(i, f"text {i % 3} of a few words here", *[f"{c}{i}" for c in names]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(2)
+    dealt = sharding.shuffle_shards(docs, 2)
+    assert sorted(tuple(r)[:-2] for r in dealt.collect()) == rows and dealt.columns[:-2] == docs.columns
+    for kept in (exact_dedup.deduplicate(docs), simhash.deduplicate(docs, shingle=2)):
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[:3]
