@@ -3,10 +3,9 @@
 Pieces of equal length are interchangeable, so the problem is a histogram of at most ``capacity`` lengths, however many
 documents there are. That histogram (never a row a document) is packed by branch and bound: around the largest length
 left, enumerate the undominated fillings of the bin, of any number of members, drop those whose waste cannot beat the
-incumbent, take the tightest first, and apply a filling as often as the counts allow. The first incumbent is best-fit
-decreasing. The search ends at ``lower_bound``, or when the tree is searched (then the result is the
-least for plans of fillings applied as often as they can be), or when its budget is spent: ``nodes`` fillings applied or
-undone, ``tries`` fillings looked at. Where it stopped, the rest is filled by best fit. ``tests`` and README have the gap to
+incumbent, take the tightest first, and apply a filling as often as the counts allow, then once less, down to once. The
+first incumbent is best-fit decreasing. The search ends at ``lower_bound``, or when the tree is searched (then no packing has
+fewer sequences), or when its budget is spent: ``nodes`` fillings applied or undone, ``tries`` fillings looked at. Where it stopped, the rest is filled by best fit. ``tests`` and README have the gap to
 the bound. The plan is a short list of stretches (length, ranks from-to, sequence, offset); pieces find their place by their
 rank among pieces of their length. Ranks come from counts by (length, salt), so a length that holds a third of all pieces is
 numbered in many tasks.
@@ -191,6 +190,9 @@ def fillings(left: np.ndarray, largest: int, capacity: int, slack: int) -> Itera
                     look()
 
 
+END = object()
+
+
 def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_000, tries: int = 100_000) -> list[tuple[tuple[int, ...], int]]:
     """The fewest bins found for a histogram {length: count}: fillings and how often each is used."""
     counts = {n: c for n, c in counts.items() if c > 0}
@@ -203,8 +205,8 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_00
         left[n] = c
 
     used, bins, waste, budget = [], 0, 0, nodes
-    stack: list[tuple[Iterator, tuple | None]] = []  # open choices, the filling applied at this depth
-    options = None
+    stack: list[tuple[Iterator, tuple]] = []  # open choices, the filling applied at this depth and how often
+    options, again = None, None
     while most > least and budget > 0 and tries > 0:
         if options is None:
             here = np.flatnonzero(left)
@@ -216,25 +218,30 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_00
                 big = int(here[-1])
                 options = fillings(left, big, capacity, (most - 1) * capacity - total - waste)
         step = None
-        for s in options:
-            tries -= 1
-            if tries < 0:
-                break
-            if s is None:
-                continue
-            s = (int(np.flatnonzero(left)[-1]), *s)
-            times = min(int(left[n]) // s.count(n) for n in set(s))
-            lost = waste + times * (capacity - sum(s))
+        while step is None:
+            if again is not None:
+                (s, times), again = again, None
+            else:
+                if (s := next(options, END)) is END:
+                    break
+                tries -= 1
+                if tries < 0:
+                    break
+                if s is None:
+                    continue
+                s = (int(np.flatnonzero(left)[-1]), *s)
+                times = min(int(left[n]) // s.count(n) for n in set(s))
             # bins can only be saved while the waste stays below what one bin fewer allows
-            if lost <= (most - 1) * capacity - total:
+            spare, each = (most - 1) * capacity - total - waste, capacity - sum(s)
+            times = times if not each else min(times, spare // each)
+            if times > 0:
                 step = (s, times)
-                break
         if step:
             for n in step[0]:
                 left[n] -= step[1]
             used.append(step)
             bins += step[1]
-            waste = lost
+            waste += step[1] * each
             stack.append((options, step))
             options, budget = None, budget - 1
         elif stack:
@@ -244,6 +251,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_00
                 left[n] += times
             bins -= times
             waste -= times * (capacity - sum(s))
+            again = (s, times - 1) if times > 1 else None
             budget -= 1
         else:
             break

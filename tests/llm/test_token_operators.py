@@ -262,3 +262,38 @@ def test_packing_takes_null_ids_and_clashing_names(spark):
     docs = spark.createDataFrame([(None, "a b c", 1, 2), (None, None, 1, 2), (3, "x " * 3000, 1, 2)], "doc_id long, text string, length int, rank long")
     got = packing.pack_documents(docs.select("doc_id", "text"), BYTES).collect()
     assert sum(r.doc_id is None for r in got) == 2 and max(r.length for r in got) == 1024
+
+
+def least_bins(counts, capacity):
+    """The fewest bins, by trying every set of pieces beside the largest."""
+    from functools import lru_cache
+    from itertools import combinations
+
+    @lru_cache(maxsize=None)
+    def least(left):
+        if not left:
+            return 0
+        big, rest, best = left[0], left[1:], len(left)
+        for k in range(len(rest) + 1):
+            for chosen in set(combinations(rest, k)):
+                if big + sum(chosen) <= capacity:
+                    over = list(rest)
+                    for n in chosen:
+                        over.remove(n)
+                    best = min(best, 1 + least(tuple(over)))
+        return best
+
+    return least(tuple(sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)))
+
+
+def test_searched_trees_give_the_fewest_sequences():
+    assert sum(t for _, t in packing.complete({17: 2, 14: 3, 13: 1, 11: 4, 8: 3}, 40, nodes=10**6, tries=10**7)) == 4
+    pick = np.random.default_rng(8)
+    for _ in range(2500):
+        capacity = int(pick.integers(6, 41))
+        lengths = pick.integers(1, capacity + 1, size=int(pick.integers(1, 10)))
+        counts = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)]))
+        plan = packing.complete(counts, capacity, nodes=10**6, tries=10**7)
+        assert sum(t for _, t in plan) == least_bins(counts, capacity), (counts, capacity)
+        used = {n: sum(s.count(n) * t for s, t in plan) for n in counts}
+        assert used == counts and all(sum(s) <= capacity for s, _ in plan)
