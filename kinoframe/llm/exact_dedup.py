@@ -46,8 +46,9 @@ def sha256(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame, plain_scan: bool, name: str = "dedup-input") -> DataFrame:
-    """``docs`` as a plain Parquet scan, whose rows Spark can name."""
-    return docs if plain_scan else stored(docs, name)
+    """``docs`` as a plain Parquet scan, whose rows Spark can name: what is a table just read stays as it is."""
+    table = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return docs if plain_scan or table else stored(docs, name)
 
 
 def located(docs: DataFrame) -> DataFrame:

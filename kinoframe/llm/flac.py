@@ -552,7 +552,10 @@ def digests(blocks: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: every document as FLAC, decoded into PCM blocks in the shared folder, which are read back."""
+    """op5: every document as FLAC, decoded into PCM blocks in the shared folder, which are read back.
+
+    ``media_bytes`` and ``media_sha256`` are those of the FLAC stream, which is not what is stored: the blocks are.
+    """
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     path = scratch(spark, "pcm")
     write_blocks(encode(docs), path)

@@ -9,7 +9,8 @@ become bytes. Pieces that merging never makes are left out of the automaton.
 White space: each blank becomes U+2581 and one is put in front. No piece holds that mark after another character, nor a
 line end, so stretches between them are encoded once and remembered.
 
-Defined results: a null or empty text has no ids; repeated rows encode alike; other columns are ignored.
+Defined results: a null or empty text has no ids; a very long text is encoded whole, stretch by stretch; repeated rows encode
+alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ The dictionary is trained on the id arrays of a bounded sample (``sample_docs``
 Spark's writer, so lost executors and repeated tasks leave no half files.
 
 Defined results: a null or empty text is the end id alone; null document ids come first; repeated ids are all kept,
-in the order of their texts; an empty table writes a dictionary and no blocks; other columns are ignored.
+in the order of their texts; a very long text is one frame of its block, however long; an empty table writes a dictionary and no blocks; other columns are ignored.
 """
 
 from __future__ import annotations

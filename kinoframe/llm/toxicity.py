@@ -8,7 +8,7 @@ drown that difference, so the training samples of the toxic side are toxic texts
 distances of a text (greatest, second, mean, share above 2, number of windows) are calibrated to a probability by
 logistic regression on labelled texts that neither dictionary has seen (by folds).
 
-Fitting uses a bounded sample of labelled rows: ``toxic_docs`` and ``ordinary_docs`` in expectation, picked by a hash of
+Fitting uses a bounded sample of labelled rows: two thirds to one and a half times ``toxic_docs`` and ``ordinary_docs`` in expectation (every so-manieth, rounded), picked by a hash of
 the id. Each class is thinned at its own rate, so the calibration weights a row by its class's sampling interval: a
 probability, and with it the threshold, means the same whatever the sample. Scoring reads every whole text.
 
