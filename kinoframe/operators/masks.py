@@ -1,6 +1,6 @@
 """Coverage masks as pixels (mask, x, y, v 0 to 255): union, clips and blurs.
 
-A blur is a window along rows, then one along columns; what lies outside a mask counts as zero. Pixels of a mask are dense:
+A blur is a window along rows, then one along columns. Pixels of a mask are dense:
 every cell of its rectangle is there.
 """
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from kinoframe.functions.pixels import alpha_fixed
 
 
-
 def along(across: bool):
     """A window along rows, or down columns."""
     return Window.partitionBy("mask", "y").orderBy("x") if across else Window.partitionBy("mask", "x").orderBy("y")
@@ -40,23 +39,34 @@ def padded(pixels: DataFrame, across: int, down: int) -> DataFrame:
 
 
 def weighted(v: str, w) -> Column:
-    """Weights 1 2 1 along a window."""
-    return F.coalesce(F.lag(v).over(w), F.lit(0)) + F.col(v) * 2 + F.coalesce(F.lead(v).over(w), F.lit(0))
+    """Weights 1 2 1 along a window, whose ends repeat."""
+    return F.coalesce(F.lag(v).over(w), F.col(v)) + F.col(v) * 2 + F.coalesce(F.lead(v).over(w), F.col(v))
+
+
+def edge_room(passes: int) -> int:
+    """Empty pixels that an edge blur gets on each side to spread into."""
+    return passes if passes <= 3 else 4 if passes <= 7 else 5
 
 
 def edge_blurred(pixels: DataFrame, passes: int) -> DataFrame:
-    """The 3 x 3 blur with weights 1 2 1, ``passes`` times (at most 127): all but the last at a quarter of the depth."""
+    """The 3 x 3 blur with weights 1 2 1, ``passes`` times (at most 127): all but the last at a quarter of the depth.
+
+    A mask is given room once, by the number of passes; what would spread further stops at the edge, which repeats.
+    """
     passes = max(0, min(127, passes))
+    if not passes:
+        return pixels
 
     def once(rows: DataFrame) -> DataFrame:
         return rows.withColumn("v", weighted("v", along(True))).withColumn("v", F.shiftright(weighted("v", along(False)), 4).cast("int"))
 
+    pixels = padded(pixels, edge_room(passes), edge_room(passes))
     if passes > 1:
         pixels = pixels.withColumn("v", F.shiftright(F.shiftright("v", 1) + 1, 1))
         for _ in range(passes - 1):
             pixels = once(pixels)
         pixels = pixels.withColumn("v", (F.col("v") * 4 - (F.col("v") > 32).cast("int")).bitwiseAND(F.lit(255)))
-    return once(pixels) if passes else pixels
+    return once(pixels)
 
 
 def box_radii(sigma: float) -> list[int]:

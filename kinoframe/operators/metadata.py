@@ -211,8 +211,9 @@ def processed(
         s = Scope(scope)
         to = s.places(source, streams)
         out = out.unionByName(to.select("asset_id", F.lit(s.kind).alias("scope"), "place", F.lit(key).alias("key"), F.lit(value).alias("value"), F.lit(-1 - n).alias("_rank")))
-    first = out.groupBy("asset_id", "scope", "place", "key").agg(F.min_by("value", "_rank").alias("value"))
-    return first.where("value <> ''")
+    first = out.groupBy("asset_id", "scope", "place", "key").agg(F.min_by(F.struct("value", "_rank"), "_rank").alias("_first"))
+    # an empty value that a user gives deletes; one of the source is a value
+    return first.where("_first._rank >= 0 or _first.value <> ''").select("asset_id", "scope", "place", "key", "_first.value")
 
 
 def sorted_codecs(codecs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinoframe.functions import layout, rules
 from kinoframe.operators import masks
 from kinoframe.plans.vectors import literal, vectors
-from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams
+from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -21,20 +21,25 @@ def query(name: str, sql: str):
     return add
 
 
-# --- masks of 8 x 8 pixels ---
+# --- masks of 8 x 8 pixels: the bytes of what users say, 64 a mask ---
 
-MASK = f"SELECT seq // 64 AS mask, CAST(seq % 8 AS INTEGER) AS x, CAST((seq // 8) % 8 AS INTEGER) AS y, CAST((seq * 37) % 256 AS INTEGER) AS v FROM ({PACKETS})"
+BYTES = """SELECT conv_id * 64 + turn AS talk, i // 64 AS part, CAST(i % 8 AS INTEGER) AS x, CAST((i // 8) % 8 AS INTEGER) AS y, CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS v
+        FROM (SELECT *, unnest(range(length(h) // 128 * 64)) AS i FROM (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations WHERE role = 'user'))"""
+MASK = f"SELECT talk * 4096 + part AS mask, x, y, v FROM ({BYTES})"
 ACROSS, DOWN = "PARTITION BY mask, y ORDER BY x", "PARTITION BY mask, x ORDER BY y"
 
 
-def mask(spark, d, step=37):
-    s = F.col("seq")
-    return packets(spark, d).select(F.call_function("div", s, F.lit(64)).alias("mask"), (s % 8).cast("int").alias("x"), (F.call_function("div", s, F.lit(8)) % 8).cast("int").alias("y"), (s * step % 256).cast("int").alias("v"))
+def mask(spark, d):
+    """A mask for each 64 bytes of a text; the bytes come from pieces of a fixed size, so that nothing counts up to a text."""
+    rows = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 64 + F.col("turn")).alias("talk"), F.hex(F.col("text").cast("binary")).alias("h"))
+    parts = rows.select("talk", F.posexplode(F.regexp_extract_all("h", F.lit("[0-9A-F]{128}"), 0)).alias("part", "piece"))
+    pixels = parts.select((F.col("talk") * 4096 + F.col("part")).alias("mask"), F.posexplode(F.regexp_extract_all("piece", F.lit(".."), 0)).alias("i", "b"))
+    return pixels.select("mask", (F.col("i") % 8).alias("x"), F.call_function("div", F.col("i"), F.lit(8)).cast("int").alias("y"), F.conv("b", 16, 10).cast("int").alias("v"))
 
 
-@query("mask_union", f"SELECT mask, x, y, max(v) AS v FROM ({MASK} UNION ALL SELECT seq // 64 + 1, CAST(seq % 8 AS INTEGER), CAST((seq // 8) % 8 AS INTEGER), CAST((seq * 11) % 256 AS INTEGER) FROM ({PACKETS})) GROUP BY 1, 2, 3")
+@query("mask_union", f"SELECT mask, x, y, max(v) AS v FROM (SELECT * FROM ({MASK}) UNION ALL SELECT mask + 1, x, y, 255 - v FROM ({MASK})) GROUP BY 1, 2, 3")
 def _(spark, d):
-    return masks.united(mask(spark, d), mask(spark, d, 11).withColumn("mask", F.col("mask") + 1))
+    return masks.united(mask(spark, d), mask(spark, d).withColumn("mask", F.col("mask") + 1).withColumn("v", 255 - F.col("v")))
 
 
 @query("mask_clip", f"SELECT mask, x, y, CASE WHEN x >= 2 AND x < 6 AND y >= -3 AND y < 5 THEN v ELSE 0 END AS v, CASE WHEN x >= 2 AND x < 6 AND y >= -3 AND y < 5 THEN 0 ELSE v END AS rest FROM ({MASK})")
@@ -44,18 +49,25 @@ def _(spark, d):
     return outside.select("mask", "x", "y", F.col("kept").alias("v"), F.col("v").alias("rest"))
 
 
+def roomy(across: int, down: int) -> str:
+    """Masks with empty pixels around them."""
+    return f"""SELECT g.mask, g.x, g.y, coalesce(m.v, 0) AS v FROM (SELECT mask, x, CAST(unnest(range(y0 - {down}, y1 + {down} + 1)) AS INTEGER) AS y FROM (
+        SELECT mask, y0, y1, CAST(unnest(range(x0 - {across}, x1 + {across} + 1)) AS INTEGER) AS x FROM (SELECT mask, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ({MASK}) GROUP BY 1))) g
+        LEFT JOIN ({MASK}) m ON g.mask = m.mask AND g.x = m.x AND g.y = m.y"""
+
+
 def blurred(rows: str) -> str:
     for w in (ACROSS, DOWN):
-        rows = f"SELECT mask, x, y, coalesce(lag(v) OVER ({w}), 0) + 2 * v + coalesce(lead(v) OVER ({w}), 0) AS v FROM ({rows})"
+        rows = f"SELECT mask, x, y, coalesce(lag(v) OVER ({w}), v) + 2 * v + coalesce(lead(v) OVER ({w}), v) AS v FROM ({rows})"
     return f"SELECT mask, x, y, v >> 4 AS v FROM ({rows})"
 
 
-@query("edge_blur", blurred(MASK))
+@query("edge_blur", blurred(roomy(1, 1)))
 def _(spark, d):
     return masks.edge_blurred(mask(spark, d), 1)
 
 
-DEEP = f"SELECT mask, x, y, ((v >> 1) + 1) >> 1 AS v FROM ({MASK})"
+DEEP = f"SELECT mask, x, y, ((v >> 1) + 1) >> 1 AS v FROM ({roomy(3, 3)})"
 
 
 @query("edge_blur_thrice", blurred(f"SELECT mask, x, y, (v * 4 - CASE WHEN v > 32 THEN 1 ELSE 0 END) & 255 AS v FROM ({blurred(blurred(DEEP))})"))
@@ -71,13 +83,8 @@ def boxed(rows: str, radii: list[tuple[int, int]]) -> str:
     return f"SELECT mask, x, y, CAST(v AS INTEGER) AS v FROM ({rows})"
 
 
-BOX = f"SELECT mask, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ({MASK}) GROUP BY 1"
-WIDE = f"""SELECT g.mask, g.x, g.y, coalesce(m.v, 0) AS v FROM (SELECT mask, x, unnest(range(y0 - 6, y1 + 7)) AS y FROM (SELECT mask, y0, y1, unnest(range(x0 - 8, x1 + 9)) AS x FROM ({BOX}))) g
-        LEFT JOIN ({MASK}) m ON g.mask = m.mask AND g.x = m.x AND g.y = m.y"""
-
-
 # by hand: boxes of 3, 5 and 5 pixels for a spread of 2.3, and of 3, 3 and 3 for one of 1.5
-@query("gaussian_blur", boxed(WIDE, [(1, 1), (2, 1), (2, 1)]))
+@query("gaussian_blur", boxed(roomy(8, 6), [(1, 1), (2, 1), (2, 1)]))
 def _(spark, d):
     return masks.gaussian_blurred(mask(spark, d), 2.3, 1.5)
 

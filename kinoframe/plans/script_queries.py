@@ -126,6 +126,19 @@ def _(spark, d):
     return metadata.processed(entries(spark, d), tagged(spark, d), maps=[("s:v", "c:2")])
 
 
+# a source's empty value is a value; one that a user gives deletes
+@query(
+    "metadata_emptied",
+    f"""SELECT asset_id, 's' AS scope, stream_index AS place, 'title' AS key, CASE WHEN stream_index % 3 = 0 THEN '' ELSE title END AS value FROM ({STREAMS})
+        UNION ALL SELECT asset_id, 's', stream_index, 'language', {LANG} FROM ({STREAMS}) WHERE kind <> 'video'
+        UNION ALL SELECT asset_id, 'g', NULL, 'title', 'film' FROM {ASSETS} UNION ALL SELECT asset_id, 'g', NULL, 'duration', '9' FROM {ASSETS}""",
+)
+def _(spark, d):
+    empty = (F.col("scope") == "s") & (F.col("key") == "title") & (F.col("place") % 3 == 0)
+    rows = entries(spark, d)
+    return metadata.processed(rows.withColumn("value", F.when(empty, "").otherwise(F.col("value"))), tagged(spark, d), user=[("s:v", "language", "")], encoded=True)
+
+
 @query("metadata_without_copy", f"SELECT asset_id, 'g' AS scope, NULL::BIGINT AS place, 'a' AS key, 'b' AS value FROM {ASSETS}")
 def _(spark, d):
     return metadata.processed(entries(spark, d), tagged(spark, d), user=[("", "a", "b")], auto=False)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinoframe.functions import text
-from kinoframe.operators import bitstream, fanout, recipes, subtitles
+from kinoframe.operators import bitstream, fanout, masks, overrides, recipes, subtitles
 
 MEDIA = "channel long, seq long, kind string, is_key boolean, is_header boolean, size long, digest string"
 
@@ -113,3 +113,18 @@ def test_nearest_option_equals_comparing_all(spark):
         if d <= 2:
             want[w] = (options[place], d)
     assert {r.word: (r.option, r.distance) for r in got.collect()} == want
+
+
+def test_one_pixel_spreads_into_its_room(spark):
+    one = spark.createDataFrame([(1, 5, 7, 200)], "mask long, x int, y int, v int")
+    got = {(r.x, r.y): r.v for r in masks.edge_blurred(one, 1).collect()}
+    assert got == {(x, y): 50 // (1 << abs(x - 5) + abs(y - 7)) for x in (4, 5, 6) for y in (6, 7, 8)}
+    assert masks.edge_blurred(one, 0).count() == 1 and masks.edge_blurred(one, 9).count() == 11 * 11
+
+
+def test_drawings_close_splines_and_leave_odd_numbers():
+    line = ["M 0 0", "L 640 0", "L 640 640", "Z"]
+    assert overrides.drawing_of("m 0 0 l 10 0 10 10 5") == (line, [0, 0, 640, 640])
+    closed, box = overrides.drawing_of("m 0 0 s 10 0 10 10 0 10 c")
+    assert [c.split()[0] for c in closed] == ["M", *"CCCC", "Z"] and box == [0, 0, 640, 640]
+    assert overrides.drawing_of("1 2 l") == ([], None) and overrides.drawing_of("") == ([], None)
