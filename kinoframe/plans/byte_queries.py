@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kinoframe.operators import bitstream, samples
 from kinoframe.plans.scan_queries import UPTO, W
+from kinoframe.scratch import shared_path
+from kinoframe.sources import media
 from kinoframe.sources.tables import CHUNKS, PACKETS, chunks, micros, packets, table
 from kinoframe.streaming import live
 
@@ -159,3 +161,48 @@ def _(spark, d):
 def _(spark, d):
     events = table(spark, d, "events").select(F.col("user_id").alias("stream_index"), F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)))").alias("ts"))
     return live.idle_sessions(events, "stream_index", "12 hours").select("stream_index", "n", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+# --- files written from a table and read in ranges ---
+
+SAID = "FROM conversations WHERE text IS NOT NULL"
+
+
+@query("flv_ranges", f"SELECT CASE WHEN role = 'user' THEN 9 ELSE 8 END AS tag_type, conv_id % 100000 * 100 + turn AS timestamp_ms, octet_length(encode(text)) AS size, md5(text) AS data {SAID}")
+def _(spark, d):
+    media.register(spark)
+    path = shared_path(spark, "flv")
+    rows = table(spark, d, "conversations").where("text is not null")
+    tags = rows.select(F.when(F.col("role") == "user", 9).otherwise(8).alias("tag_type"), (F.col("conv_id") % 100_000 * 100 + F.col("turn")).alias("timestamp_ms"), F.col("text").cast("binary").alias("data"))
+    tags.repartitionByRange(4, "timestamp_ms").sortWithinPartitions("timestamp_ms").write.format("flv").mode("append").save(path)
+    back = spark.read.format("flv").option("rangeBytes", 1 << 14).load(path)
+    return back.select("tag_type", "timestamp_ms", "size", F.md5("data").alias("data"))
+
+
+@query("flv_stamps", f"SELECT CASE WHEN role = 'user' THEN 9 ELSE 8 END AS tag_type, count(*) AS tags, max(conv_id % 100000 * 100 + turn) AS last_ms {SAID} GROUP BY 1")
+def _(spark, d):
+    """Headers alone: bodies are not read."""
+    media.register(spark)
+    path = shared_path(spark, "flv")
+    rows = table(spark, d, "conversations").where("text is not null")
+    tags = rows.select(F.when(F.col("role") == "user", 9).otherwise(8).alias("tag_type"), (F.col("conv_id") % 100_000 * 100 + F.col("turn")).alias("timestamp_ms"), F.col("text").cast("binary").alias("data"))
+    tags.repartition(3).write.format("flv").mode("append").save(path)
+    back = spark.read.format("flv").option("rangeBytes", 1 << 16).schema("tag_type int, timestamp_ms long").load(path)
+    return back.groupBy("tag_type").agg(F.count(F.lit(1)).alias("tags"), F.max("timestamp_ms").alias("last_ms"))
+
+
+# vectors of 64 numbers as 16-bit sound, a piece each: what is read is what was written, wherever a file is cut
+@query(
+    "wav_ranges",
+    """SELECT 16000 AS sample_rate, md5(h) AS pcm, count(*) AS n FROM (SELECT vec_id, string_agg(printf('%02X%02X', v & 255, (v >> 8) & 255), '' ORDER BY i) AS h FROM (
+        SELECT vec_id, i, CAST(trunc(embedding[i]::DOUBLE * 30000) AS INTEGER) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)) GROUP BY 1) GROUP BY 2""",
+)
+def _(spark, d):
+    media.register(spark)
+    path = shared_path(spark, "wav")
+    number = lambda c: F.lpad(F.hex((c.cast("double") * 30_000).cast("int").cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0")
+    piece = lambda c: F.concat(F.substring(number(c), 3, 2), F.substring(number(c), 1, 2))
+    rows = table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(F.transform("embedding", piece), "")).alias("pcm"))
+    rows.repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id").select("pcm").write.format("wav").mode("append").save(path)
+    back = spark.read.format("wav").option("rangeBytes", 5_000).option("frames", 64).load(path)
+    return back.groupBy("sample_rate", F.md5(F.hex("pcm").cast("binary")).alias("pcm")).agg(F.count(F.lit(1)).alias("n"))
