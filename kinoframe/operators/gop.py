@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinoframe.operators.scan import STREAM, from_first_key, ordered, upto
+from kinoframe.operators.scans import CELL, scanned
+from kinoframe.scratch import cut
 
 
 def with_gop(packets: DataFrame, cell: int = 1 << 20) -> DataFrame:
@@ -58,6 +62,39 @@ def bounded(packets: DataFrame, most_frames: int) -> DataFrame:
     return rows.where(F.col("_at") >= F.col("_n") - F.col("_n") % run).drop("_at", "_n")
 
 
+@dataclass
+class Open:
+    """The open group: its number, its run (a cleared group goes on as another), and what it holds."""
+
+    group: int = 0
+    run: int = 0
+    count: int = 0
+    size: int = 0
+
+    def take(self, is_key: bool, size: int, frames: int, most: int) -> tuple[int, int, int]:
+        """A packet's group and run, and the run that goes on after it."""
+        if is_key and self.count:
+            self.group, self.count, self.size = self.group + 1, 0, 0
+        self.count, self.size, run = self.count + 1, self.size + size, self.run
+        if self.count > frames or self.size > most:
+            self.run, self.count, self.size = run + 1, 0, 0
+        return self.group, run, self.run
+
+
+def cached(packets: DataFrame, groups: int, frames: int = 4096, size: int = 64 << 20, cell: int = CELL) -> DataFrame:
+    """Packets that a cache of ``groups`` closed groups and the open one holds at the end of each stream, with ``group``.
+
+    A key packet closes the open group unless that is empty; a packet that takes it past ``frames`` packets or ``size`` bytes
+    clears it, itself with it.
+    """
+    rows = scanned(packets, [STREAM], ["is_key", "size"], Open, lambda o, key, n: o.take(bool(key), n or 0, frames, size), "group long, _run long, _after long", cell=cell)
+    rows = cut(rows)
+    last = rows.groupBy(STREAM, "group").agg(F.max("_after").alias("_stays")).select(F.col(STREAM).alias("_stream"), F.col("group").alias("_group"), "_stays")
+    last = last.withColumn("_last", F.max("_group").over(Window.partitionBy("_stream")))
+    out = rows.join(last, rows[STREAM].eqNullSafe(last["_stream"]) & (rows["group"] == last["_group"]))
+    return out.where((F.col("_run") == F.col("_stays")) & (F.col("group") >= F.col("_last") - groups) & F.lit(groups > 0)).drop("_run", "_after", "_stream", "_group", "_stays", "_last")
+
+
 def serving_prefix(packets: DataFrame) -> DataFrame:
     """Bytes queued to each stream's connection ahead of every packet."""
     ahead = F.sum("size").over(ordered().rowsBetween(Window.unboundedPreceding, -1))

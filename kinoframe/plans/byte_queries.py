@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinoframe.operators import bitstream, samples
+from kinoframe.operators import bitstream, gop, samples
 from kinoframe.plans.scan_queries import UPTO, W
 from kinoframe.scratch import shared_path
 from kinoframe.sources import media
@@ -135,15 +135,36 @@ def _(spark, d):
     return live.drained(live.gated(packet_stream(spark, d)), "append", "live-gated", "stream_index long, seq long")
 
 
+# packet after packet: a key packet closes what is open; the sixth packet or the 50th byte and more clear it
+CACHE = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT stream_index, seq, is_key, size, row_number() OVER ({W}) AS r FROM ({PACKETS})),
+        f AS (SELECT stream_index, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS size, 0::BIGINT AS grp, 0::BIGINT AS run, 0::BIGINT AS nxt, 0::BIGINT AS n, 0::BIGINT AS b FROM (SELECT DISTINCT stream_index FROM p)
+        UNION ALL SELECT stream_index, r, seq, size, grp, run, run + over, CASE WHEN over = 1 THEN 0 ELSE n END, CASE WHEN over = 1 THEN 0 ELSE b END FROM (
+            SELECT *, CASE WHEN n > 5 OR b > 49 THEN 1 ELSE 0 END AS over FROM (
+                SELECT p.stream_index, p.r, p.seq, p.size, f.grp + CASE WHEN closes THEN 1 ELSE 0 END AS grp, f.nxt AS run, CASE WHEN closes THEN 1 ELSE f.n + 1 END AS n, CASE WHEN closes THEN p.size ELSE f.b + p.size END AS b
+                FROM f JOIN p ON p.stream_index = f.stream_index AND p.r = f.r + 1, LATERAL (SELECT p.is_key AND f.n > 0 AS closes)))),
+        g AS (SELECT *, max(nxt) OVER (PARTITION BY stream_index, grp) AS stays, max(grp) OVER (PARTITION BY stream_index) AS last FROM f WHERE r > 0),
+        k AS (SELECT * FROM g WHERE run = stays AND grp >= last - 3)"""
+
+
+@query("gop_cached", f"{CACHE} SELECT stream_index, seq, grp AS \"group\" FROM k")
+def _(spark, d):
+    return gop.cached(packets(spark, d), 3, 5, 49, cell=2_500).select("stream_index", "seq", "group")
+
+
 @query(
     "live_gop_cache",
-    f"""WITH g AS (SELECT *, sum(CASE WHEN is_key AND r > 1 THEN 1 ELSE 0 END) OVER {UPTO} AS gop FROM (SELECT *, row_number() OVER ({W}) AS r FROM ({PACKETS}))),
-        k AS (SELECT *, max(gop) OVER (PARTITION BY stream_index) AS last FROM g)
-        SELECT stream_index, CAST(count(DISTINCT gop) AS BIGINT) AS groups, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, min(seq) AS first_seq FROM k WHERE gop >= last - 3 GROUP BY 1""",
+    f"""{CACHE} SELECT s.stream_index, count(DISTINCT grp) AS groups, count(grp) AS packets, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, min(seq) AS first_seq
+        FROM (SELECT DISTINCT stream_index FROM p) s LEFT JOIN k USING (stream_index) GROUP BY 1""",
 )
 def _(spark, d):
-    last = live.drained(live.gop_cache(packet_stream(spark, d), 3), "update", "live-gop", "stream_index long, groups long, packets long, bytes long, first_seq long")
-    return last
+    """Three batches or more, of which the last of a stream counts."""
+    parts = packets(spark, d).select("stream_index", "seq", "size", "is_key", F.call_function("div", F.col("seq") * 4, F.greatest(F.lit(1), F.lit(table(spark, d, "events").count()))).alias("part"))
+    path = shared_path(spark, "live-packets")
+    for k in range(4):  # files in order of arrival, one a batch
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("stream_index long, seq long, size long, is_key boolean").option("maxFilesPerTrigger", 1).parquet(path)
+    states = live.drained(live.gop_cache(stream, 3, 5, 49).withColumn("at", F.current_timestamp()), "update", "live-gop", f"{live.CACHED}, at timestamp", store=live.STORE)
+    return states.groupBy("stream_index").agg(F.max_by(F.struct("groups", "packets", "bytes", "first_seq"), "at").alias("s")).select("stream_index", "s.*")
 
 
 @query("live_windows", "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
