@@ -2,39 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinoframe.functions.text import srt_ms, timecode_ms
-from kinoframe.functions.values import colour
+from kinoframe.functions.values import colour, whole
+from kinoframe.operators.bitstream import by_rows
+
+
+#: Headers that begin a section, in any case and whatever follows them; other headers are lines of the section they are in.
+SECTIONS = ("script info", "v4 styles", "v4+ styles", "events", "fonts")
+# The columns of events in scripts without a format line.
+EVENT_COLUMNS = ["layer", "start", "end", "style", "name", "marginl", "marginr", "marginv", "effect", "text"]
+BLANK = " \t"
 
 
 def script_lines(scripts: DataFrame) -> DataFrame:
-    """Lines of (script_id, script) with their section: the last header above them, within their script."""
-    lines = scripts.select("script_id", F.posexplode(F.split("script", "\r?\n")).alias("line_no", "line"))
-    header = F.when(F.col("line").rlike(r"^\[.*\]\s*$"), F.lower(F.regexp_extract("line", r"^\[(.*)\]", 1)))
+    """Lines of (script_id, script) without blanks in front, with their section: the last header above them, within their
+    script; ``old``: whether the last styles header is that of the older format."""
+    lines = scripts.select("script_id", F.posexplode(F.split("script", "\r?\n")).alias("line_no", "line")).withColumn("line", F.ltrim("line", F.lit(BLANK)))
+    header = F.lower(F.regexp_extract("line", r"(?i)^\[(" + "|".join(x.replace("+", r"\+") for x in SECTIONS) + r")\]", 1))
+    header = F.when(header != "", header)
     w = Window.partitionBy("script_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.last(header, ignorenulls=True).over(w))
+    old = F.last(F.when(header.startswith("v4"), header == "v4 styles"), ignorenulls=True).over(w)
+    return lines.withColumn("section", F.last(header, ignorenulls=True).over(w)).withColumn("old", F.coalesce(old, F.lit(False)))
 
 
 def events(scripts: DataFrame) -> DataFrame:
-    """``Dialogue:`` lines of the events section as (script_id, read_order, layer, start_ms, duration_ms, style, name, text)."""
-    rows = script_lines(scripts).where("section = 'events'").where(F.col("line").startswith("Dialogue:"))
-    f = F.split(F.ltrim(F.substring("line", 10, 1 << 30)), ",", 10)
-    start, end = timecode_ms(f[1]), timecode_ms(f[2])
+    """``Dialogue:`` lines of the events section as (script_id, read_order, layer, start_ms, duration_ms, style, name, effect, margins,
+    text), by the columns of the last ``Format:`` line above them.
+
+    Names are in any case; the last column of a name counts; unknown columns are passed over. The text is all that is left
+    where its column comes, so what the format has behind it is not there. A line with fewer values than that is no event.
+    """
+    rows = script_lines(scripts).where("section = 'events'")
+    own = F.when(F.col("line").startswith("Format:"), F.transform(F.split(F.substring("line", 8, 1 << 30), ","), lambda x: F.lower(F.trim(x, F.lit(BLANK)))))
+    w = Window.partitionBy("script_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    usual = F.array(*map(F.lit, EVENT_COLUMNS))
+    usual = F.when(F.col("old"), F.concat(F.array(F.lit("marked")), F.slice(usual, 2, len(EVENT_COLUMNS)))).otherwise(usual)
+    rows = rows.withColumn("_names", F.coalesce(F.last(own, ignorenulls=True).over(w), usual)).where(F.col("line").startswith("Dialogue:"))
+    rows = rows.withColumn("_last", F.array_position("_names", F.lit("text")).cast("int")).where("_last > 0")
+    rows = rows.withColumn("_values", F.split(F.ltrim(F.substring("line", 10, 1 << 30), F.lit(BLANK)), F.lit(","), F.col("_last"))).where("size(_values) = _last")
+
+    def value(*names: str) -> Column:
+        place = F.array_max(F.transform(F.slice("_names", F.lit(1), F.col("_last") - 1), lambda n, i: F.when(n.isin(*names), i)))
+        return F.trim(F.get("_values", place), F.lit(BLANK))
+
+    number = lambda name: F.coalesce(whole(value(name)), F.lit(0))
+    start, end = (F.coalesce(timecode_ms(value(*n)), F.lit(0)) for n in (("start",), ("end", "duration")))
     order = F.row_number().over(Window.partitionBy("script_id").orderBy("line_no")) - 1
     return rows.select(
         "script_id",
         order.cast("long").alias("read_order"),
-        F.coalesce(f[0].try_cast("int"), F.lit(0)).alias("layer"),
-        F.coalesce(start, F.lit(0)).alias("start_ms"),
-        (F.coalesce(end, F.lit(0)) - F.coalesce(start, F.lit(0))).alias("duration_ms"),
-        F.trim(f[3]).alias("style"),
-        F.trim(f[4]).alias("name"),
-        f[9].alias("text"),
+        number("layer").alias("layer"),
+        start.alias("start_ms"),
+        (end - start).alias("duration_ms"),
+        value("style").alias("style"),
+        value("name", "actor").alias("name"),
+        value("effect").alias("effect"),
+        *[number(f"margin{c}").alias(f"margin_{c}") for c in "lrv"],
+        F.rtrim(F.get("_values", F.col("_last") - 1), F.lit(" \t\r")).alias("text"),
     )
 
 
+def unpacked(text: bytes) -> tuple[bytes | None]:
+    """Characters of six bits from 33 on as bytes, four for three; a rest of one is a mistake, and nothing is left."""
+    if len(text) % 4 == 1:
+        return (None,)
+    six = (np.frombuffer(text, np.uint8) - 33) & 63
+    bits = np.unpackbits(six.reshape(-1, 1), axis=1)[:, 2:].ravel()
+    return (np.packbits(bits[: len(bits) // 8 * 8]).tobytes(),)
+
+
+def fonts(scripts: DataFrame) -> DataFrame:
+    """Files attached to scripts: (script_id, place, filename, data), without those whose data is broken."""
+    rows = script_lines(scripts).where("section = 'fonts'").where(~F.lower("line").startswith("[fonts]"))
+    named = F.col("line").startswith("fontname:")
+    w = Window.partitionBy("script_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("place", F.sum(named.cast("int")).over(w)).where("place > 0")
+    name = F.max(F.when(named, F.ltrim(F.substring("line", 10, 1 << 30), F.lit(BLANK))))
+    parts = F.array_sort(F.collect_list(F.when(~named, F.struct("line_no", "line"))))
+    files = rows.groupBy("script_id", "place").agg(name.alias("filename"), F.array_join(F.transform(parts, lambda p: p["line"]), "").cast("binary").alias("coded"))
+    return by_rows(files, "coded", unpacked, "data binary").where("data is not null")
+
+
 def styles(scripts: DataFrame) -> DataFrame:
     """``Style:`` lines, by the section's ``Format:`` line, as (script_id, place, name, fields, colour)."""
     rows = script_lines(scripts).where(F.col("section").isin("v4+ styles", "v4 styles"))

@@ -202,6 +202,52 @@ def _(spark, d):
     return subtitles.events(scripts(spark, d)).select("script_id", "read_order", "layer", "start_ms", "duration_ms", "style", subtitles.plain_text(F.col("text")).alias("text"))
 
 
+FORMATS = [
+    "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text",
+    "Format: start,  END , Marked,Layer, Effect, Style, Actor, Text, Name",
+    "Format: Style, Layer, Layer, Duration, Start, Text",
+]
+
+
+def reordered(spark, d):
+    """A script a conversation, whose columns stand in an order of their own or, in a quarter of them, in the usual one."""
+    c, k = cues(spark, d), F.col("script_id") % 4
+    code = lambda ms: F.concat(F.lit("0:00:"), F.call_function("div", ms, F.lit(1000)), F.lit("."), F.lpad((F.call_function("div", ms, F.lit(10)) % 100).cast("string"), 2, "0"))
+    start, end, layer, text = code(F.col("start_ms")), code(F.col("start_ms") + F.col("duration_ms")), F.col("layer").cast("string"), F.translate("text", "\n\r", "  ")
+    usual = F.concat_ws(",", layer, start, end, "style", F.lit("n"), F.lit("1"), F.lit("2"), F.lit("3"), F.lit("e"), text)
+    line = F.when(k == 1, F.concat_ws(",", start, end, F.lit("x"), layer, F.lit(" e "), "style", F.lit("n"), text)).when(k == 2, F.concat_ws(",", "style", F.lit("9"), layer, end, start, text)).otherwise(usual)
+    lines = c.select("script_id", "read_order", F.concat(F.lit("Dialogue: "), line).alias("line")).groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("read_order", "line"))).alias("l"))
+    head = F.element_at(F.array(*map(F.lit, [*FORMATS, "Comment: none"])), (k + 1).cast("int"))
+    return lines.select("script_id", F.concat(F.lit("[V4+ Styles]\n[other]\n [EVENTS]\n"), head, F.lit("\n"), F.array_join("l.line", "\n"), F.lit("\nDialogue: 1,2")).alias("script"))
+
+
+@query(
+    "script_formats",
+    f"""SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY read_order) - 1 AS read_order, CAST(layer AS INTEGER) AS layer, start_ms, duration_ms, style,
+        CASE WHEN script_id % 4 <> 2 THEN 'n' END AS name, CASE WHEN script_id % 4 <> 2 THEN 'e' END AS effect, CASE WHEN script_id % 4 IN (0, 3) THEN 2 ELSE 0 END AS margin_r,
+        rtrim(replace(replace(text, chr(10), ' '), chr(13), ' '), ' ' || chr(9)) AS text FROM ({CUES})""",
+)
+def _(spark, d):
+    return subtitles.events(reordered(spark, d)).select("script_id", "read_order", "layer", "start_ms", "duration_ms", "style", "name", "effect", "margin_r", "text")
+
+
+# what a conversation's first turn says, attached in characters of six bits and lines of 80
+@query("script_fonts", "SELECT conv_id AS script_id, 1::BIGINT AS place, 'said ' || conv_id || '.ttf' AS filename, md5(text) AS data FROM conversations WHERE turn = 0 AND text <> ''")
+def _(spark, d):
+    rows = table(spark, d, "conversations").where("turn = 0 and text <> ''").select("conv_id", F.hex(F.col("text").cast("binary")).alias("h"))
+    six = lambda v, k: F.chr(F.shiftright(v, 6 * (3 - k)).bitwiseAND(F.lit(63)) + 33)
+
+    def coded(group):
+        v = F.conv(F.rpad(group, 6, "0"), 16, 10).cast("long")
+        return F.substring(F.concat(*[six(v, k) for k in range(4)]), F.lit(1), F.call_function("div", F.length(group), F.lit(2)).cast("int") + 1)
+
+    text = F.array_join(F.transform(F.regexp_extract_all("h", F.lit("[0-9A-F]{1,6}"), 0), coded), "")
+    lines = F.array_join(F.regexp_extract_all(text, F.lit(".{1,80}"), 0), "\n")
+    script = F.concat(F.lit("[Fonts]\nlost\nfontname: said "), F.col("conv_id").cast("string"), F.lit(".ttf\n"), lines, F.lit("\nfontname: broken\n!!!!!\n[Events]\n"))
+    found = subtitles.fonts(rows.select(F.col("conv_id").alias("script_id"), script.alias("script")))
+    return found.select("script_id", F.col("place").cast("long").alias("place"), "filename", F.md5("data").alias("data"))
+
+
 @query("script_styles", f"SELECT DISTINCT s.script_id, v.* FROM ({CUES}) s, (VALUES ('Default', 'Arial', 255, 255, 255), ('user', 'Sans', 255, 0, 0), ('user', 'Serif', 0, 255, 0)) v(name, font, r, g, b)")
 def _(spark, d):
     return subtitles.styles(scripts(spark, d)).select("script_id", "name", F.col("fields")["fontname"].alias("font"), "colour.r", "colour.g", "colour.b")
