@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinoframe.operators import analysis, frame_timing, intake, rate, timeline
+from kinoframe.operators import analysis, chain, frame_timing, intake, rate, timeline
 from kinoframe.plans.scan_queries import AT, DAY, UPTO, W
 from kinoframe.plans.vectors import vectors
 from kinoframe.sources.tables import PACKETS, TYPED, packets, typed_packets
@@ -315,3 +317,44 @@ def _(spark, d):
 @query("trailing_dts", f"SELECT 0 AS asset_id, min(dts) AS dts FROM (SELECT stream_index, arg_max(pts_us - seq % 3 * 1000, seq) AS dts FROM ({TYPED}) WHERE stream_index NOT IN (0, 3) GROUP BY 1)")
 def _(spark, d):
     return timeline.trailing_dts(typed_packets(spark, d).withColumn("dts", F.col("pts_us") - F.col("seq") % 3 * 1000), [0, 3])
+
+
+# --- chains of filters ---
+
+
+@dataclass
+class Louder(chain.Filter):
+    """Tells the filters behind it the greatest size so far; lets only what is over half of it pass."""
+
+    most: int = 0
+
+    def frame(self, shared, frame):
+        self.most = shared["most"] = max(self.most, frame["size"])
+        return frame if 2 * frame["size"] > self.most else None
+
+
+@dataclass
+class Delayed(chain.Filter):
+    """Puts out frames three frames late, with what is the greatest size by then; the last three at the end."""
+
+    held: list = field(default_factory=list)
+
+    def frame(self, shared, frame):
+        self.held.append(frame)
+        return None
+
+    def more(self, shared, ended):
+        if self.held and (ended or len(self.held) > 3):
+            return {**self.held.pop(0), "most": shared["most"]}
+
+
+@query(
+    "filter_chain",
+    f"""WITH m AS (SELECT *, max(size) OVER (PARTITION BY stream_index ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM ({PACKETS})),
+        p AS (SELECT *, row_number() OVER ({W}) AS r, count(*) OVER (PARTITION BY stream_index) AS n FROM m WHERE 2 * size > top),
+        e AS (SELECT stream_index, max(top) AS top FROM m GROUP BY 1)
+        SELECT p.stream_index, q.seq, p.pts_us, coalesce(q.top, e.top) AS most FROM p JOIN e USING (stream_index) LEFT JOIN p q ON q.stream_index = p.stream_index AND q.r = p.r + 3""",
+)
+def _(spark, d):
+    out = chain.filtered(packets(spark, d), lambda: [Louder(), Delayed()], ["pts_us", "size"], "pts_us bigint, most bigint", cell=2_500)
+    return out.select("stream_index", "seq", "pts_us", "most")
