@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinoframe.functions import layout, rules
-from kinoframe.operators import masks
+from kinoframe.operators import masks, palette
 from kinoframe.plans.vectors import literal, vectors
+from kinoframe.scratch import cut
 from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams, table
 
 QUERIES, ORACLE = {}, {}
@@ -95,6 +96,26 @@ def _(spark, d):
     return packets(spark, d).select("seq", masks.is_seen(s % 5, s % 90 - 40, s % 70 - 30, n(10), n(8), n(32), n(24)).alias("seen"))
 
 
+# --- palettes: three bytes of what is said are a pixel, a conversation is a clip ---
+
+
+def coloured(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), "turn", F.explode(F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit("[0-9A-F]{6}"), 0)).alias("p"))
+    return rows.select("clip", *[F.conv(F.substring("p", i, 2), 16, 10).cast("int").alias(c) for i, c in ((1, "r"), (3, "g"), (5, "b"))])
+
+
+def clip_palette(spark, d):
+    """The 16 colours of every conversation, and how many of its pixels are nearest to each; the cut is no SQL, see tests/test_palette.py."""
+    pixels = coloured(spark, d)
+    counted = cut(palette.cells(pixels))
+    entries = cut(palette.palettes(counted, 16))
+    used = palette.mapped(pixels, counted, entries).groupBy("clip", "entry").agg(F.count(F.lit(1)).alias("pixels"))
+    return entries.join(used, ["clip", "entry"], "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)))
+
+
+QUERIES["clip_palette"] = clip_palette
+
+
 # --- formats, colours, fonts ---
 
 
