@@ -175,4 +175,3 @@ def _(spark, d):
     return recipes.chained(packets(spark, d), lambda rows: rows.select("*")).select("stream_index", "seq", "pts_us")
 
 
-vectors(query, "srt_stamps", "BIGINT", [("00:00:01,500", 1500), ("01:02:03.004", 3723004), ("100:00:00,000", 360000000), ("0:00:00", None), ("00:00:01,5", None), ("", None)], text.srt_ms)
