@@ -23,7 +23,7 @@ def is_grid(cols: Column, rows: Column, cell_w: Column, cell_h: Column) -> Colum
 
 
 def gif_clause(fps: Column, width: Column, colours: Column, dither: Column, bayer: Column) -> Column:
-    """The steps of an animated GIF: rate, scale, and a palette of its own."""
+    """The steps of an animated GIF: rate, scale, and a palette of its own. The text and its labels."""
     return F.concat(
         F.lit("[0:v]fps="), fps.cast("string"),
         F.coalesce(F.concat(F.lit(",scale="), width.cast("string"), F.lit(":-1:flags=lanczos")), F.lit("")),
@@ -69,8 +69,8 @@ def turned(degrees: Column, width: Column, height: Column) -> Column:
     return F.struct(step.alias("step"), F.when(side, height).otherwise(width).alias("width"), F.when(side, width).otherwise(height).alias("height"))
 
 
-def container_of(head: Column) -> Column:
-    """Short name of a container by its first bytes; null for one that is not known."""
+def signature_of(head: Column) -> Column:
+    """Short name of a container by its first bytes, for files without an ending; null for one that is not known."""
     begins = lambda *b: F.substring(head, 1, len(b)) == F.lit(bytes(b))
     text = F.decode(F.substring(head, 1, 64), "ISO-8859-1")
     return (

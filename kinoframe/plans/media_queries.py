@@ -159,19 +159,27 @@ def _(spark, d):
     return text.nearest(words, spark.createDataFrame(list(enumerate(OPTIONS)), "place int, option string"))
 
 
+SAID = "SELECT conv_id, turn, length(text) % 1000 AS n FROM conversations WHERE text IS NOT NULL"
+
+
+def said(spark, d):
+    """Turns, and how far a line of as many milliseconds as characters is."""
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", (F.length("text") % 1_000).alias("n"))
+
+
 @query(
     "fade_alpha",
-    f"""SELECT seq, CAST(CASE WHEN n < 100 THEN 255 WHEN n < 400 THEN trunc(255.0::DOUBLE * (1 - (n - 100) / 300.0::DOUBLE) + 32.0::DOUBLE * ((n - 100) / 300.0::DOUBLE)) WHEN n < 700 THEN 32
-        WHEN n < 900 THEN trunc(32.0::DOUBLE * (1 - (n - 700) / 200.0::DOUBLE) + 224.0::DOUBLE * ((n - 700) / 200.0::DOUBLE)) ELSE 224 END AS INTEGER) AS alpha FROM (SELECT seq, (seq % 1000)::DOUBLE AS n FROM ({PACKETS}))""",
+    f"""SELECT conv_id, turn, CAST(CASE WHEN n < 100 THEN 255 WHEN n < 400 THEN trunc(255.0::DOUBLE * (1 - (n - 100) / 300.0::DOUBLE) + 32.0::DOUBLE * ((n - 100) / 300.0::DOUBLE)) WHEN n < 700 THEN 32
+        WHEN n < 900 THEN trunc(32.0::DOUBLE * (1 - (n - 700) / 200.0::DOUBLE) + 224.0::DOUBLE * ((n - 700) / 200.0::DOUBLE)) ELSE 224 END AS INTEGER) AS alpha FROM (SELECT conv_id, turn, n::DOUBLE AS n FROM ({SAID}))""",
 )
 def _(spark, d):
-    return packets(spark, d).select("seq", text.fade(F.col("seq") % 1000, (255, 32, 224), (100, 400, 700, 900)).alias("alpha"))
+    return said(spark, d).select("conv_id", "turn", text.fade(F.col("n"), (255, 32, 224), (100, 400, 700, 900)).alias("alpha"))
 
 
-@query("move_anchor", f"SELECT seq, 10.0::DOUBLE + k * 90.0::DOUBLE AS x, 200.0::DOUBLE + k * -150.0::DOUBLE AS y FROM (SELECT seq, CASE WHEN seq % 1000 <= 0 THEN 0.0::DOUBLE WHEN seq % 1000 >= 800 THEN 1.0::DOUBLE ELSE (seq % 1000)::DOUBLE / 800 END AS k FROM ({PACKETS}))")
+@query("move_anchor", f"SELECT conv_id, turn, 10.0::DOUBLE + k * 90.0::DOUBLE AS x, 200.0::DOUBLE + k * -150.0::DOUBLE AS y FROM (SELECT *, CASE WHEN n <= 0 THEN 0.0::DOUBLE WHEN n >= 800 THEN 1.0::DOUBLE ELSE n::DOUBLE / 800 END AS k FROM ({SAID}))")
 def _(spark, d):
-    x, y = text.moved(F.col("seq") % 1000, F.lit(800), (10, 200), (100, 50))
-    return packets(spark, d).select("seq", x.alias("x"), y.alias("y"))
+    x, y = text.moved(F.col("n"), F.lit(800), (10, 200), (100, 50))
+    return said(spark, d).select("conv_id", "turn", x.alias("x"), y.alias("y"))
 
 
 @query(
@@ -289,11 +297,15 @@ def _(spark, d):
 
 # --- pixels ---
 
-PIXELS = f"SELECT seq, seq % 256 AS dst, (seq * 7) % 256 AS src, (seq * 13) % 256 AS mask, (seq * 31) % 256 AS opacity FROM ({PACKETS})"
+# four bytes of what is said are a pixel: what is there, what is drawn, its mask and its opacity
+PIXELS = """SELECT (conv_id * 64 + turn) * 65536 + i AS seq, CAST(('0x' || substr(h, 8 * i + 1, 2)) AS BIGINT) AS dst, CAST(('0x' || substr(h, 8 * i + 3, 2)) AS BIGINT) AS src,
+        CAST(('0x' || substr(h, 8 * i + 5, 2)) AS BIGINT) AS mask, CAST(('0x' || substr(h, 8 * i + 7, 2)) AS BIGINT) AS opacity
+        FROM (SELECT *, unnest(range(length(h) // 8)) AS i FROM (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations))"""
 
 
 def grid(spark, d):
-    return packets(spark, d).select("seq", (F.col("seq") % 256).alias("dst"), (F.col("seq") * 7 % 256).alias("src"), (F.col("seq") * 13 % 256).alias("mask"), (F.col("seq") * 31 % 256).alias("opacity"))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 64 + F.col("turn")).alias("talk"), F.posexplode(F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit("[0-9A-F]{8}"), 0)).alias("i", "p"))
+    return rows.select((F.col("talk") * 65_536 + F.col("i")).alias("seq"), *[F.conv(F.substring("p", k, 2), 16, 10).cast("long").alias(c) for k, c in ((1, "dst"), (3, "src"), (5, "mask"), (7, "opacity"))])
 
 
 @query("blend", f"SELECT seq, ((16843009 - mask * ((opacity * 66311 + 3) >> 8)) * dst + mask * ((opacity * 66311 + 3) >> 8) * src) >> 24 AS v FROM ({PIXELS})")

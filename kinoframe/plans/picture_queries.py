@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from kinoframe.functions import layout, rules
@@ -90,10 +93,10 @@ def _(spark, d):
     return masks.gaussian_blurred(mask(spark, d), 2.3, 1.5)
 
 
-@query("visible_overlays", f"SELECT seq, seq % 5 <> 0 AND seq % 90 - 40 < 32 AND seq % 70 - 30 < 24 AND seq % 90 - 40 + 10 > 0 AND seq % 70 - 30 + 8 > 0 AS seen FROM ({PACKETS})")
+@query("visible_overlays", f"SELECT asset_id, stream_index, stream_index % 5 <> 0 AND width - 400 < 320 AND height - 300 < 240 AND width - 400 + 100 > 0 AND height - 300 + 80 > 0 AS seen FROM ({STREAMS})")
 def _(spark, d):
-    s, n = F.col("seq"), F.lit
-    return packets(spark, d).select("seq", masks.is_seen(s % 5, s % 90 - 40, s % 70 - 30, n(10), n(8), n(32), n(24)).alias("seen"))
+    n = F.lit
+    return streams(spark, d).select("asset_id", "stream_index", masks.is_seen(F.col("stream_index") % 5, F.col("width") - 400, F.col("height") - 300, n(100), n(80), n(320), n(240)).alias("seen"))
 
 
 # --- palettes: three bytes of what is said are a pixel, a conversation is a clip ---
@@ -119,11 +122,21 @@ QUERIES["clip_palette"] = clip_palette
 # --- formats, colours, fonts ---
 
 
-@query("pixel_formats", """SELECT * FROM (VALUES ('yuv420p', 'yuv', 3, 8, 1, 1), ('yuvj420p', 'yuv', 3, 8, 1, 1), ('yuv422p', 'yuv', 3, 8, 1, 0), ('yuvj422p', 'yuv', 3, 8, 1, 0), ('yuv444p', 'yuv', 3, 8, 0, 0), ('yuvj444p', 'yuv', 3, 8, 0, 0),
+#: Formats with their model, planes, bits, and shifts of chroma.
+LAYOUTS = """('yuv420p', 'yuv', 3, 8, 1, 1), ('yuvj420p', 'yuv', 3, 8, 1, 1), ('yuv422p', 'yuv', 3, 8, 1, 0), ('yuvj422p', 'yuv', 3, 8, 1, 0), ('yuv444p', 'yuv', 3, 8, 0, 0), ('yuvj444p', 'yuv', 3, 8, 0, 0),
         ('nv12', 'yuv', 2, 8, 1, 1), ('nv21', 'yuv', 2, 8, 1, 1), ('rgb24', 'rgb', 1, 8, 0, 0), ('bgr24', 'rgb', 1, 8, 0, 0), ('rgba', 'rgb', 1, 8, 0, 0), ('bgra', 'rgb', 1, 8, 0, 0), ('argb', 'rgb', 1, 8, 0, 0), ('abgr', 'rgb', 1, 8, 0, 0),
-        ('gray8', 'yuv', 1, 8, 0, 0), ('yuv420p10le', 'yuv', 3, 10, 1, 1), ('yuv422p10le', 'yuv', 3, 10, 1, 0), ('yuv444p10le', 'yuv', 3, 10, 0, 0), ('yuv420p12le', 'yuv', 3, 12, 1, 1), ('p010le', 'yuv', 2, 16, 1, 1)) v(format, model, planes, bits, shift_x, shift_y)""")
+        ('gray8', 'yuv', 1, 8, 0, 0), ('yuv420p10le', 'yuv', 3, 10, 1, 1), ('yuv422p10le', 'yuv', 3, 10, 1, 0), ('yuv444p10le', 'yuv', 3, 10, 0, 0), ('yuv420p12le', 'yuv', 3, 12, 1, 1), ('p010le', 'yuv', 2, 16, 1, 1)"""
+
+
+@query(
+    "pixel_formats",
+    f"""WITH v(format, model, planes, bits, shift_x, shift_y) AS (VALUES {LAYOUTS}), f AS (SELECT *, row_number() OVER (ORDER BY format) - 1 AS place FROM v)
+        SELECT stream_index, format, model, planes, bits, shift_x, shift_y FROM ({STREAMS}) s JOIN f ON f.place = s.stream_index % 20""",
+)
 def _(spark, d):
-    return layout.formats(spark).groupBy("format", "model").agg((F.max("plane") + 1).alias("planes"), F.max("scale_bits").alias("bits"), F.max("shift_x").alias("shift_x"), F.max("shift_y").alias("shift_y"))
+    every = layout.formats(spark).groupBy("format", "model").agg((F.max("plane") + 1).alias("planes"), F.max("scale_bits").alias("bits"), F.max("shift_x").alias("shift_x"), F.max("shift_y").alias("shift_y"))
+    every = every.withColumn("place", F.row_number().over(Window.orderBy("format")) - 1)  # some twenty rows
+    return streams(spark, d).withColumn("place", F.col("stream_index") % 20).join(every, "place").select("stream_index", "format", "model", "planes", "bits", "shift_x", "shift_y")
 
 
 KINDS = ["yuv420p", "nv12", "rgb24", "yuv422p10le", "p010le", "other"]
@@ -184,23 +197,45 @@ def _(spark, d):
 
 # --- rules of recipes ---
 
-B, S = "BOOLEAN", "VARCHAR"
-item = F.element_at
-
-vectors(query, "scale_clauses", S, [([320, None], "scale=320:-2"), ([None, 240], "scale=-2:240"), ([320, 240], "scale=320:240"), ([None, None], None), ([0, 240], None), ([320, 0], None)], lambda c: rules.scale_clause(item(c, 1), item(c, 2)))
-vectors(query, "sprite_grids", B, [([5, 4, 160, 90], True), ([0, 4, 160, 90], False), ([5, 4, 0, 90], False), ([65535, 1, 1, 1], True), ([65536, 1, 1, 1], False), ([4, 300, 100, 300], False), ([100_000, 1, 100_000, 1], False)], lambda c: rules.is_grid(*[item(c, i) for i in range(1, 5)]))
-vectors(query, "gif_clauses", S, [
-    (["12", "320", "64", "bayer", "3"], "[0:v]fps=12,scale=320:-1:flags=lanczos,split[a][b];[a]palettegen=max_colors=64[p];[b][p]paletteuse=dither=bayer:bayer_scale=3[v]"),
-    (["10", None, None, "sierra2_4a", None], "[0:v]fps=10,split[a][b];[a]palettegen[p];[b][p]paletteuse=dither=sierra2_4a[v]"),
-    (["15", "480", None, "none", None], "[0:v]fps=15,scale=480:-1:flags=lanczos,split[a][b];[a]palettegen[p];[b][p]paletteuse=dither=none[v]"),
-], lambda c: rules.gif_clause(*[item(c, i) for i in range(1, 6)]))
-vectors(query, "gif_loops", S, [(["infinite", "9"], "0"), (["once", "9"], "-1"), (["count", "3"], "3")], lambda c: rules.loop_value(item(c, 1), item(c, 2)))
-vectors(query, "ladder_rates", S, [([30000, 1001, 25, 1], "30000/1001"), ([None, None, 25, 1], "25/1"), ([0, 1, 25, 1], None), ([None, None, 0, 1], None), ([None, None, 25, 0], None), ([25, -1, 25, 1], None)], lambda c: F.concat(rules.resolved_rate(*[item(c, i) for i in range(1, 5)])["num"].cast("string"), F.lit("/"), rules.resolved_rate(*[item(c, i) for i in range(1, 5)])["den"].cast("string")))
-vectors(query, "black_detectors", B, [([2.0, 0.1, 0.98], True), ([0.0, 0.0, 1.0], True), ([-0.1, 0.1, 0.9], False), ([2.0, 1.1, 0.9], False), ([2.0, 0.1, -0.1], False)], lambda c: rules.is_black_detector(*[item(c, i) for i in range(1, 4)]))
-vectors(query, "scene_detectors", B, [(10.0, True), (0.0, True), (100.0, True), (100.5, False), (-1.0, False)], rules.is_scene_detector)
-vectors(query, "crop_detectors", B, [([24, 16, 0], True), ([0, 0, 2147483647], True), ([2147483648, 16, 0], False), ([24, -1, 0], False)], lambda c: rules.is_crop_detector(*[item(c, i) for i in range(1, 4)]))
-vectors(query, "autorotation", S, [([0, 64, 48], ":64x48"), ([90, 64, 48], "transpose=clock:48x64"), ([-90, 64, 48], "transpose=cclock:48x64"), ([180, 64, 48], "hflip,vflip:64x48"), ([450, 64, 48], "transpose=clock:48x64"), ([45, 64, 48], "rotate=45*PI/180:64x48")], lambda c: F.concat(*[f(rules.turned(item(c, 1), item(c, 2), item(c, 3))) for f in (lambda t: t["step"], lambda t: F.lit(":"), lambda t: t["width"].cast("string"), lambda t: F.lit("x"), lambda t: t["height"].cast("string"))]))
-vectors(query, "containers", S, [
+LINE = "SELECT *, CAST(l_quantity AS INTEGER) AS q, CAST(l_linenumber AS INTEGER) AS n, CAST(l_partkey AS BIGINT) AS k FROM lineitem"
+
+
+def ruled(name: str, sql: str, rule: Callable[[Column, Column, Column], Column]) -> None:
+    """A query ``name``: a rule over the quantity, number and part of every line of an order."""
+
+    @query(name, f"SELECT l_orderkey, l_linenumber, {sql} AS v FROM ({LINE})")
+    def _(spark, d):
+        rows = table(spark, d, "lineitem").withColumns({"q": F.col("l_quantity").cast("int"), "n": F.col("l_linenumber").cast("int"), "k": F.col("l_partkey")})
+        return rows.select("l_orderkey", "l_linenumber", rule(F.col("q"), F.col("n"), F.col("k")).alias("v"))
+
+
+ruled(
+    "scale_clauses",
+    "CASE WHEN (q % 3 = 0 AND q % 4 = 0) OR (q % 4 <> 0 AND n = 1) THEN NULL ELSE 'scale=' || CASE WHEN q % 3 = 0 THEN '-2' ELSE (q * 16)::VARCHAR END || ':' || CASE WHEN q % 4 = 0 THEN '-2' ELSE ((n - 1) * 90)::VARCHAR END END",
+    lambda q, n, k: rules.scale_clause(F.when(q % 3 != 0, q * 16), F.when(q % 4 != 0, (n - 1) * 90)),
+)
+ruled("sprite_grids", "n > 1 AND k > 0 AND q * k <= 65535 AND (n - 1) * (k * 7) <= 65535", lambda q, n, k: rules.is_grid(q, n - 1, k, k * 7))
+ruled(
+    "gif_clauses",
+    """'[0:v]fps=' || q || CASE WHEN q % 2 = 0 THEN ',scale=' || k || ':-1:flags=lanczos' ELSE '' END || ',split[a][b];[a]palettegen' || CASE WHEN q % 3 = 0 THEN '=max_colors=' || n * 32 ELSE '' END
+        || '[p];[b][p]paletteuse=dither=' || CASE l_returnflag WHEN 'A' THEN 'bayer:bayer_scale=' || (n - 1) WHEN 'N' THEN 'sierra2_4a' ELSE 'none' END || '[v]'""",
+    lambda q, n, k: rules.gif_clause(q, F.when(q % 2 == 0, k), F.when(q % 3 == 0, n * 32), F.when(F.col("l_returnflag") == "A", "bayer").when(F.col("l_returnflag") == "N", "sierra2_4a").otherwise("none"), n - 1),
+)
+ruled("gif_loops", "CASE l_returnflag WHEN 'A' THEN '0' WHEN 'N' THEN '-1' ELSE q::VARCHAR END", lambda q, n, k: rules.loop_value(F.when(F.col("l_returnflag") == "A", "infinite").when(F.col("l_returnflag") == "N", "once").otherwise("count"), q))
+ruled(
+    "ladder_rates",
+    "CASE WHEN q % 3 = 0 THEN CASE WHEN n > 2 AND k % 5 > 0 THEN (n - 2) || '/' || (k % 5) END WHEN q > 5 AND n > 1 THEN (q - 5) * 1000 || '/' || (n - 1) END",
+    lambda q, n, k: (lambda r: F.concat(r["num"].cast("string"), F.lit("/"), r["den"].cast("string")))(rules.resolved_rate(F.when(q % 3 != 0, (q - 5) * 1_000), n - 1, n - 2, k % 5)),
+)
+ruled("black_detectors", "l_tax - 0.02::DOUBLE >= 0 AND l_discount * 11 <= 1 AND l_tax * 14 <= 1", lambda q, n, k: rules.is_black_detector(F.col("l_tax") - 0.02, F.col("l_discount") * 11, F.col("l_tax") * 14))
+ruled("scene_detectors", "q * 3 - 20 >= 0 AND q * 3 - 20 <= 100", lambda q, n, k: rules.is_scene_detector((q * 3 - 20).cast("double")))
+ruled("crop_detectors", "k * 4000000 <= 2147483647 AND n > 1 AND q::BIGINT * 60000000 <= 2147483647", lambda q, n, k: rules.is_crop_detector(k * 4_000_000, (n - 2).cast("long"), q.cast("long") * 60_000_000))
+ruled(
+    "autorotation",
+    """CASE t WHEN 0 THEN '' WHEN 90 THEN 'transpose=clock' WHEN 180 THEN 'hflip,vflip' WHEN 270 THEN 'transpose=cclock' ELSE 'rotate=' || t || '*PI/180' END || ':' || CASE WHEN t IN (90, 270) THEN k || 'x' || q ELSE q || 'x' || k END""".replace("CASE t", "CASE ((n * 45 - 180 + 360) % 360)").replace("WHEN t IN", "WHEN ((n * 45 - 180 + 360) % 360) IN").replace("|| t ||", "|| ((n * 45 - 180 + 360) % 360) ||"),
+    lambda q, n, k: (lambda t: F.concat(t["step"], F.lit(":"), t["width"].cast("string"), F.lit("x"), t["height"].cast("string")))(rules.turned((n * 45 - 180).cast("double"), q.cast("long"), k)),
+)
+vectors(query, "containers", "VARCHAR", [
     ("464c5601", "flv"), ("52494646000000005741564566", "wav"), ("664c6143", "flac"), ("494433", "mp3"), ("4f676753", "ogg"), ("1a45dfa3", "matroska,webm"), ("000000186674797069736f6d", "mov,mp4,m4a,3gp,3g2,mj2"),
     ("fff150", "aac"), ("efbbbf5b53637269707420496e666f5d", "ass"), ("310a30303a30303a30312c303030", "srt"), ("52494646000000004156492c", None), ("00", None), ("", None),
-], lambda c: rules.container_of(F.unhex(c)))
+], lambda c: rules.signature_of(F.unhex(c)))
