@@ -67,11 +67,15 @@ def _(spark, d):
     return found.select("stream_index", "tag_no", "tag_type", "timestamp_ms", F.octet_length("body").alias("size"), bitstream.is_video_key(F.col("body")).alias("key_picture"), bitstream.is_video_header(F.col("body")).alias("header"))
 
 
-@query("aac_config", f"SELECT seq, 2 AS object_type, CASE seq % 3 WHEN 0 THEN 44100 WHEN 1 THEN 48000 ELSE 16000 END AS sample_rate, CAST(1 + seq % 2 AS INTEGER) AS channels, 'mp4a.40.2' AS codec FROM ({PACKETS})")
+@query(
+    "aac_config",
+    """SELECT l_orderkey, l_linenumber, CAST(1 + l_linenumber % 4 AS INTEGER) AS object_type, CAST(([96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350])[l_partkey % 13 + 1] AS INTEGER) AS sample_rate,
+        CAST(l_quantity AS INTEGER) % 8 AS channels, 'mp4a.40.' || (1 + l_linenumber % 4) AS codec FROM lineitem""",
+)
 def _(spark, d):
-    k = F.col("seq") % 3
-    v = F.lit(2 << 11) + F.when(k == 0, 4).when(k == 1, 3).otherwise(8) * 128 + (F.col("seq") % 2 + 1) * 8
-    return packets(spark, d).select("seq", bitstream.aac_config(bitstream.big_endian(v, 2)).alias("c")).select("seq", "c.*")
+    rows = table(spark, d, "lineitem")
+    v = (1 + F.col("l_linenumber") % 4) * 2048 + F.col("l_partkey") % 13 * 128 + F.col("l_quantity").cast("int") % 8 * 8
+    return rows.select("l_orderkey", "l_linenumber", bitstream.aac_config(bitstream.big_endian(v.cast("long"), 2)).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
 
 
 @query("audio_collected", f"SELECT asset_id, CAST(sum(len(data)) AS INTEGER) AS samples, arg_min(data[1], \"index\")::DOUBLE AS first, arg_max(data[len(data)], \"index\")::DOUBLE AS last, 1::BIGINT AS layouts FROM ({CHUNKS}) GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinoframe.operators import codecs
 from kinoframe.operators.codecs import exp_golomb, field, packed_bits
 from kinoframe.plans.vectors import row_vectors
-from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams
+from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -136,11 +136,18 @@ row_vectors(query, "rbsp_bytes", "VARCHAR", [
     ("67000003010000030000", "670000010000000" + "0"), ("000003", "0000"), ("00000303", "000003"), ("0000000003", "00000000"), ("000003000003", "00000000"), ("0102", "0102"), ("", ""),
 ], lambda rows: codecs.by_rows(rows, "data", lambda b: (codecs.unescaped(b).hex(),), "v string"))
 
-row_vectors(query, "exp_golomb", "VARCHAR", [
-    # 1, 010, 011, 00100, then closing
-    (whole("1", "010", "011", "00100", "00111", "1"), "0 1 2 3 6"), (whole("0" * 31 + "1" * 32, "1", "1", "1", "1"), "4294967294 0 0 0 0"), (whole("0" * 32 + "1" * 33, "1", "1", "1", "1"), None),
-    (whole("0001000", "0001111", "1", "1", "1"), "7 14 0 0 0"),
-], lambda rows: codecs.by_rows(rows, "data", lambda b: (codes(b),), "v string"))
+# the numbers of a line of an order, each as zeros, as many as it has bits less one, and its bits
+@query("exp_golomb", "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) || ' ' || CAST(l_quantity AS BIGINT) || ' ' || l_linenumber || ' 0 ' || CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem")
+def _(spark, d):
+    def bits(n):
+        text = F.bin(n.cast("long") + 1)
+        return F.concat(F.repeat(F.lit("0"), F.length(text) - 1), text)
+
+    whole_ = F.concat(bits(F.col("l_partkey")), bits(F.col("l_quantity")), bits(F.col("l_linenumber")), F.lit("1"), bits(F.round(F.col("l_extendedprice") * 100)))
+    padded = F.rpad(whole_, F.call_function("div", F.length(whole_) + 7, F.lit(8)).cast("int") * 8, F.lit("0"))
+    data = F.unhex(F.array_join(F.transform(F.regexp_extract_all(padded, F.lit("[01]{8}"), 0), lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", data.alias("data"))
+    return codecs.by_rows(rows, "data", lambda b: (codes(b),), "v string").select("l_orderkey", "l_linenumber", "v")
 
 
 def codes(data: bytes) -> str | None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinoframe.operators import fanout, recipes
 from kinoframe.plans.scan_queries import AT, DAY, UPTO, W
-from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams
+from kinoframe.sources.tables import PACKETS, STREAMS, packets, streams, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -145,11 +145,13 @@ def _(spark, d):
     return streams(spark, d).where("height is not null").select("stream_index", *[recipes.colour_tags(space, h, p, "bt709").alias(n) for n, p in (("guess", "guess"), ("tagged", "tagged"), ("forced", "force"))])
 
 
-@query("rotations", f"SELECT seq, CAST(seq % 4 * 90 AS INTEGER) AS degrees FROM ({PACKETS})")
+@query("rotations", "SELECT l_orderkey, l_linenumber, CAST(l_partkey % 4 * 90 AS INTEGER) AS degrees FROM lineitem")
 def _(spark, d):
-    k = F.col("seq") % 4
-    one = lambda a, b, c, e: F.when(k == 0, a).when(k == 1, b).when(k == 2, c).otherwise(e) * 65536
-    return packets(spark, d).select("seq", recipes.rotation_degrees(one(1, 0, -1, 0), one(0, 1, 0, -1), one(0, -1, 0, 1), one(1, 0, -1, 0)).alias("degrees"))
+    """Quarter turns by the part, at a scale by the quantity, which changes no angle."""
+    k, scale = F.col("l_partkey") % 4, F.col("l_quantity").cast("int") * 1_000
+    one = lambda a, b, c, e: F.when(k == 0, a).when(k == 1, b).when(k == 2, c).otherwise(e) * scale
+    angle = recipes.rotation_degrees(one(1, 0, -1, 0), one(0, 1, 0, -1), one(0, -1, 0, 1), one(1, 0, -1, 0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", angle.alias("degrees"))
 
 
 @query(

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from kinoframe.operators import analysis, chain, frame_timing, intake, rate, timeline
 from kinoframe.plans.scan_queries import AT, DAY, UPTO, W
-from kinoframe.plans.vectors import vectors
-from kinoframe.sources.tables import PACKETS, TYPED, packets, typed_packets
+from kinoframe.sources.tables import PACKETS, TYPED, packets, table, typed_packets
 
 QUERIES, ORACLE = {}, {}
 
@@ -109,17 +108,21 @@ def _(spark, d):
     return frame_timing.common_rates(packets(spark, d).select("stream_index", "seq", rate.alias("sample_rate")))
 
 
-vectors(query, "output_bases", "VARCHAR", [
-    (["audio", "44100", "25", "1", "0", "1", "cfr", "1", "90000"], "1/44100"), (["video", "0", "25", "1", "0", "1", "vfr", "1", "90000"], "1/25"), (["video", "0", "30000", "1001", "0", "1", "cfr", "1", "90000"], "1001/30000"),
-    (["video", "0", "0", "1", "0", "1", "cfr", "1", "90000"], "1/25"), (["video", "0", "0", "1", "0", "1", "vfr", "1", "90000"], "1/90000"), (["video", "0", "60", "1", "30", "1", "cfr", "1", "90000"], "1/30"),
-    (["video", "0", "24", "1", "30", "1", "vscfr", "1", "90000"], "1/24"), (["video", "0", "60", "1", "30", "1", "vfr", "1", "90000"], "1/60"), (["video", "0", "0", "0", "30", "1", "cfr", "1", "90000"], "1/30"), (["video", "0", "60", "0", "0", "1", "passthrough", "1", "1000"], "1/1000"),
-], lambda c: based(*[F.element_at(c, i) for i in range(1, 10)]))
-
-
-def based(kind, *numbers):
-    n = [x.try_cast("int") for x in numbers]
-    b = frame_timing.output_base(kind, *n[:5], numbers[5], *n[6:])
-    return F.concat(b["num"].cast("string"), F.lit("/"), b["den"].cast("string"))
+# a line of an order as a stream: its flag says the mode, its number the kind, quantity and part the rates
+@query(
+    "output_bases",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'audio' ELSE 'video' END AS kind, CAST(l_partkey AS BIGINT) * 100 + 8000 AS rate, CAST(l_quantity AS INTEGER) % 40 AS num, CAST(l_linenumber AS INTEGER) - 1 AS den,
+            CAST(l_partkey AS INTEGER) % 3 * 10 AS most, CASE l_returnflag WHEN 'A' THEN 'cfr' WHEN 'N' THEN 'vfr' ELSE 'vscfr' END AS mode FROM lineitem),
+        r AS (SELECT *, CASE WHEN mode <> 'vfr' AND num = 0 AND most = 0 THEN 25 ELSE num END AS n, CASE WHEN mode <> 'vfr' AND num = 0 AND most = 0 THEN 1 ELSE den END AS d FROM s),
+        h AS (SELECT *, mode <> 'vfr' AND most <> 0 AND (d = 0 OR n > most * d) AS held FROM r)
+        SELECT l_orderkey, l_linenumber, CASE WHEN kind = 'audio' THEN '1/' || rate WHEN held THEN '1/' || most WHEN n > 0 AND d > 0 THEN d || '/' || n ELSE '1/90000' END AS v FROM h""",
+)
+def _(spark, d):
+    k, q, n = F.col("l_partkey"), F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    mode = F.when(F.col("l_returnflag") == "A", "cfr").when(F.col("l_returnflag") == "N", "vfr").otherwise("vscfr")
+    one = lambda x: F.lit(x).cast("int")
+    base = frame_timing.output_base(F.when(n == 7, "audio").otherwise("video"), (k * 100 + 8_000).cast("int"), q % 40, (n - 1).cast("int"), (k % 3 * 10).cast("int"), one(1), mode, one(1), one(90_000))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(base["num"].cast("string"), F.lit("/"), base["den"].cast("string")).alias("v"))
 
 
 # a base of 25 has room for all 16 bits
@@ -210,7 +213,10 @@ def _(spark, d):
     return rate.emitted(rate.synced(clocked(spark, d, 1_000_000).withColumn("pts_us", F.call_function("div", F.col("pts_us"), F.lit(14_400))), "cfr", 1, cell=2_500))
 
 
-vectors(query, "sync_modes", "VARCHAR", [(["auto", "true", "true"], "vfr"), (["auto", "true", "false"], "passthrough"), (["auto", "false", "true"], "cfr"), (["auto", "false", "false"], "cfr"), (["vscfr", "true", "true"], "vscfr")], lambda c: rate.sync_mode(F.element_at(c, 1), F.element_at(c, 2) == "true", F.element_at(c, 3) == "true"))
+@query("sync_modes", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'vscfr' WHEN l_quantity < 20 THEN 'cfr' WHEN l_linestatus = 'O' THEN 'vfr' ELSE 'passthrough' END AS v FROM lineitem")
+def _(spark, d):
+    asked = F.when(F.col("l_returnflag") == "A", "vscfr").otherwise("auto")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rate.sync_mode(asked, F.col("l_quantity") >= 20, F.col("l_linestatus") == "O").alias("v"))
 
 
 @query(

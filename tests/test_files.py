@@ -5,6 +5,8 @@ import wave
 from pyspark.sql import functions as F
 
 from kinoframe.operators import bitstream, recipes
+from kinoframe.plans import codec_queries
+from kinoframe.plans.codec_queries import whole
 from kinoframe.sources import files
 
 
@@ -47,3 +49,12 @@ def test_sinks(spark, tmp_path):
     files.write_playlists(recipes.ladder_playlists(streams, [("low", 640, 360, 800_000)]), str(tmp_path / "m"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "m")).where("asset_id = 1").collect()]
     assert lines == ["#EXTM3U", "#EXT-X-VERSION:3", "#EXT-X-STREAM-INF:BANDWIDTH=1020800,RESOLUTION=640x360", "low/index.m3u8"]
+
+
+def test_codes_with_stated_results():
+    for given, want in [
+    # 1, 010, 011, 00100, then closing
+    (whole("1", "010", "011", "00100", "00111", "1"), "0 1 2 3 6"), (whole("0" * 31 + "1" * 32, "1", "1", "1", "1"), "4294967294 0 0 0 0"), (whole("0" * 32 + "1" * 33, "1", "1", "1", "1"), None),
+    (whole("0001000", "0001111", "1", "1", "1"), "7 14 0 0 0"),
+]:
+        assert codec_queries.codes(bytes.fromhex(given)) == want

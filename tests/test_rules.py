@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinoframe.functions import rules
+from kinoframe.operators import frame_timing, rate
 
 STATED = {}
 item = F.element_at
@@ -28,6 +29,20 @@ stated("crop_detectors", [([24, 16, 0], True), ([0, 0, 2147483647], True), ([214
 stated("autorotation", [([0, 64, 48], ":64x48"), ([90, 64, 48], "transpose=clock:48x64"), ([-90, 64, 48], "transpose=cclock:48x64"), ([180, 64, 48], "hflip,vflip:64x48"), ([450, 64, 48], "transpose=clock:48x64"), ([45, 64, 48], "rotate=45*PI/180:64x48")], lambda c: F.concat(*[f(rules.turned(item(c, 1), item(c, 2), item(c, 3))) for f in (lambda t: t["step"], lambda t: F.lit(":"), lambda t: t["width"].cast("string"), lambda t: F.lit("x"), lambda t: t["height"].cast("string"))]))
 
 
+def based(kind, *numbers):
+    n = [x.try_cast("int") for x in numbers]
+    b = frame_timing.output_base(kind, *n[:5], numbers[5], *n[6:])
+    return F.concat(b["num"].cast("string"), F.lit("/"), b["den"].cast("string"))
+
+
+stated("output_bases", [
+    (["audio", "44100", "25", "1", "0", "1", "cfr", "1", "90000"], "1/44100"), (["video", "0", "25", "1", "0", "1", "vfr", "1", "90000"], "1/25"), (["video", "0", "30000", "1001", "0", "1", "cfr", "1", "90000"], "1001/30000"),
+    (["video", "0", "0", "1", "0", "1", "cfr", "1", "90000"], "1/25"), (["video", "0", "0", "1", "0", "1", "vfr", "1", "90000"], "1/90000"), (["video", "0", "60", "1", "30", "1", "cfr", "1", "90000"], "1/30"),
+    (["video", "0", "24", "1", "30", "1", "vscfr", "1", "90000"], "1/24"), (["video", "0", "60", "1", "30", "1", "vfr", "1", "90000"], "1/60"), (["video", "0", "0", "0", "30", "1", "cfr", "1", "90000"], "1/30"), (["video", "0", "60", "0", "0", "1", "passthrough", "1", "1000"], "1/1000"),
+], lambda c: based(*[F.element_at(c, i) for i in range(1, 10)]))
+stated("sync_modes", [(["auto", "true", "true"], "vfr"), (["auto", "true", "false"], "passthrough"), (["auto", "false", "true"], "cfr"), (["auto", "false", "false"], "cfr"), (["vscfr", "true", "true"], "vscfr")], lambda c: rate.sync_mode(F.element_at(c, 1), F.element_at(c, 2) == "true", F.element_at(c, 3) == "true"))
+
+
 @pytest.mark.parametrize("name", sorted(STATED))
 def test_stated_results(spark, name):
     pairs, rule = STATED[name]
