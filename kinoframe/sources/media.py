@@ -47,6 +47,11 @@ def at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def hidden(path: str, home: str) -> bool:
+    """Whether a file, or a folder below ``home`` that it is in, is none of the data: such as what a failed task left."""
+    return any(p.startswith(("_", ".")) for p in path.removeprefix(home.lstrip("/") if not path.startswith("/") else home).split("/"))
+
+
 class Files(DataSourceReader):
     """Ranges of all files with an ending under ``path``."""
 
@@ -62,12 +67,14 @@ class Files(DataSourceReader):
         found = [one] if one.type == fs.FileType.File else files.get_file_info(fs.FileSelector(where, recursive=True))
         step = int(self.options.get("rangebytes", RANGE_BYTES))
         prefix = "" if files.type_name == "local" else self.options["path"].split("://")[0] + "://"
-        return [Range(prefix + f.path, a, min(a + step, f.size), f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(self.ending) and not f.base_name.startswith(("_", ".")) for a in range(0, f.size, step)]
+        return [Range(prefix + f.path, a, min(a + step, f.size), f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(self.ending) and not hidden(f.path, where) for a in range(0, f.size, step)]
 
     def rows(self, part: Range, file) -> Iterator[dict]:
         raise NotImplementedError
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file, no range
+            return
         files, where = at(part.path)
         held, size = [], 0
         with files.open_input_file(where) as file:
@@ -189,7 +196,8 @@ class Written(WriterCommitMessage):
 
 
 class Sink(DataSourceWriter):
-    """A file a task, written beside its place and moved there when all tasks are done; what failed leaves nothing."""
+    """A file a task, written beside its place and moved there when all tasks are done. What failed is never read; a task that still
+    ran when its job failed may leave a hidden file."""
 
     ending = ""
 
