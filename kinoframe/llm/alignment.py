@@ -25,10 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinoframe.llm.base import only, slices, stored
+from kinoframe.llm.base import drop_scratch, only, slices, stored
 
 #: Bytes of text whose stretches are numbered together.
 BLOCK = 4 << 20
@@ -36,7 +36,6 @@ MARK = "▁"
 #: A stretch begins at a blank or line end with nothing white beside it; any other white space is inside.
 STRETCH = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
 BLOCKS = "block long, row int, doc_id long, places array<int>, stretches array<string>"
-RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def stretches(text: str) -> list[str]:
@@ -111,45 +110,43 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def tokens(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Distinct stretches with their tokens: ``a`` and ``b``, and the lengths in bytes of each."""
+    """Distinct stretches, numbered, with their tokens: ``a`` and ``b``, and the lengths in bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(path_a, path_b)
+        from pyspark import TaskContext
+
+        both, number = pair(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b in slices(batch.column(0), 1 << 18):
                 part = batch.column(0).slice(a, b - a)
                 found = both.encode(part.to_pylist())
-                yield pa.RecordBatch.from_arrays([part, *[pa.array(v, pa.list_(pa.int32())) for v in found.values()]], names=["stretch", *found])
+                ids = pa.array(range(number, number := number + b - a), pa.int64())
+                yield pa.RecordBatch.from_arrays([part, ids, *[pa.array(v, pa.list_(pa.int32())) for v in found.values()]], names=["stretch", "id", *found])
 
-    return units.mapInArrow(run, "stretch string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    return units.mapInArrow(run, "stretch string, id long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
 
 def aligned(found: DataFrame) -> DataFrame:
-    """The links of each stretch: (stretch, end, group, a, b, a_ends, b_ends), groups counted from the end of a stretch.
+    """The links of each stretch: (id, end, group, a, b, a_ends, b_ends), groups counted from the end of a stretch.
 
     A null ``a_ends`` or ``b_ends`` says that no token of that side ends there, else it is the token's id.
     """
-    side = lambda s: F.transform(F.arrays_zip(s, f"{s}_bytes"), lambda t, i: F.struct(F.lit(s == "a").alias("is_a"), i.alias("pos"), t[s].alias("id"), t[f"{s}_bytes"].alias("bytes")))
+    side = lambda s: F.transform(F.arrays_zip(s, f"{s}_bytes"), lambda t, i: F.struct(F.lit(s == "a").alias("is_a"), i.alias("pos"), t[s].alias("token"), t[f"{s}_bytes"].alias("bytes")))
     # one exchange of whole stretches: windows and groups by stretch keep its partitioning
-    each = found.repartition("stretch").select("stretch", F.explode(F.concat(side("a"), side("b"))).alias("t")).select("stretch", "t.*")
-    ends = each.withColumn("end", F.sum("bytes").over(Window.partitionBy("stretch", "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    met = ends.groupBy("stretch", "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a_ends"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b_ends"))
-    back = Window.partitionBy("stretch").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    each = found.repartition("id").select("id", F.explode(F.concat(side("a"), side("b"))).alias("t")).select("id", "t.*")
+    ends = each.withColumn("end", F.sum("bytes").over(Window.partitionBy("id", "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    met = ends.groupBy("id", "end").agg(F.max(F.when(F.col("is_a"), F.col("token"))).alias("a_ends"), F.max(F.when(~F.col("is_a"), F.col("token"))).alias("b_ends"))
+    back = Window.partitionBy("id").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cut = (F.col("a_ends").isNotNull() & F.col("b_ends").isNotNull()).cast("long")
-    return met.select("stretch", "end", F.sum(cut).over(back).alias("group"), F.last("a_ends", ignorenulls=True).over(back).alias("a"), F.last("b_ends", ignorenulls=True).over(back).alias("b"), "a_ends", "b_ends")
-
-
-def link(a: Column | str, b: Column | str) -> Column:
-    """A pair of ids as one number."""
-    return F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
+    return met.select("id", "end", F.sum(cut).over(back).alias("group"), F.last("a_ends", ignorenulls=True).over(back).alias("a"), F.last("b_ends", ignorenulls=True).over(back).alias("b"), "a_ends", "b_ends")
 
 
 def summed(links: DataFrame) -> DataFrame:
-    """A row a stretch: how many tokens, groups and links, its ``groups`` in text and the pairs of its ``links``."""
-    listed = lambda s: F.expr(f"listagg(CAST({s} AS STRING), ',') WITHIN GROUP (ORDER BY end)")
-    groups = links.groupBy("stretch", "group").agg(listed("a_ends").alias("a"), listed("b_ends").alias("b"), F.count("a_ends").alias("n_a"), F.count("b_ends").alias("n_b"), F.collect_list(link("a", "b")).alias("links"))
-    text = F.expr("listagg(concat(a, '|', b), ';') WITHIN GROUP (ORDER BY group DESC)")
-    return groups.groupBy("stretch").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"), text.alias("groups"))
+    """A row a stretch: ``n_groups``, and its ``links`` in order, each a number: the id of A from bit 33 on, that of B from bit 2
+    on, and whether A's (2) and B's (1) token ends there."""
+    code = F.shiftleft(F.col("a").cast("long"), 33) + F.shiftleft(F.col("b").cast("long"), 2) + F.col("a_ends").isNotNull().cast("long") * 2 + F.col("b_ends").isNotNull().cast("long")
+    each = links.groupBy("id").agg(F.max("group").alias("n_groups"), F.array_sort(F.collect_list(F.struct("end", code.alias("code")))).alias("links"))
+    return each.select("id", "n_groups", F.col("links.code").alias("links"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -157,74 +154,110 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("stretches").isNotNull()).select(F.col("block").alias("in_block"), F.posexplode("stretches").alias("place", "stretch"))
 
 
-def gathered(lists: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    return np.concatenate([lists[i] for i in at]) if len(at) else np.zeros(0, np.int64)
+def cut_at(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists one after another, and where each list begins and the last ends."""
+    whole = lists.combine_chunks()
+    whole = whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+    return whole.flatten().to_numpy(), np.append(0, np.cumsum(whole.value_lengths().to_numpy()))
+
+
+def groups_of(links: list[int]) -> str:
+    """A stretch's groups in text: ids of A and B that end up to a cut."""
+    out, a, b = [], [], []
+    for x in links:
+        if x & 2:
+            a.append(str(x >> 33))
+        if x & 1:
+            b.append(str(x >> 2 & 0x7FFFFFFF))
+        if x & 3 == 3:
+            out.append(f"{','.join(a)}|{','.join(b)}")
+            a, b = [], []
+    return ";".join(out)
 
 
-def pair_counts(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(link, n): the documents that hold each pair linked. ``words``: (in_block, place, links) of aligned stretches."""
+def assembled(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Documents from their stretches (``words``: in_block, place, n_groups, links): (block, row, doc_id, n_a, n_b, n_groups, n_links,
+    groups_sha256), and for each block and pair a row with ``link`` and ``n``, its documents that hold the pair.
+
+    A document with a stretch that is not among ``words`` has no tokens.
+    """
+    schema = "block long, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, link long, n long"
+    sums, kinds = ["n_a", "n_b", "n_groups", "n_links"], {"row": pa.int32(), "groups_sha256": pa.string()}
+    kinds = {c: kinds.get(c, pa.int64()) for c in ("block", "row", "doc_id", *sums, "groups_sha256", "link", "n")}
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = known["links"].combine_chunks()
-        flat, offsets = pairs.flatten().to_numpy(), np.append(0, np.cumsum(pairs.value_lengths().to_numpy()))
-        names, own = np.unique(flat, return_inverse=True)
-        lists: list = [None] * (1 + int(max(known["place"].to_numpy(), default=-1)))
-        for place, a, b in zip(known["place"].to_pylist(), offsets, offsets[1:]):
-            lists[place] = np.unique(own[a:b])
-        count = np.zeros(len(names), np.int64)
-        for at in docs["places"].to_pylist():
-            at = np.unique(np.array(at, np.int64))
-            if len(at) and at[-1] < len(lists) and all(lists[i] is not None for i in at):
-                count[np.unique(gathered(lists, at))] += 1
+        flat, ends = cut_at(known["links"])
+        names, own = np.unique(flat >> 2, return_inverse=True)
+        place = known["place"].to_numpy()
+        size = 1 + int(max(place, default=-1))  # the last place stands for all that are not known
+        begin, length, table = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), np.zeros((size + 1, 4), np.int64)
+        begin[place], length[place] = ends[:-1], np.diff(ends)
+        upto = np.concatenate([[[0, 0]], np.cumsum(np.stack([flat >> 1 & 1, flat & 1], 1), 0)]) if len(flat) else np.zeros((1, 2), np.int64)
+        table[place, :2] = upto[ends[1:]] - upto[ends[:-1]]
+        table[place, 2], table[place, 3] = known["n_groups"].to_numpy(), length[place]
+        texts = np.full(size + 1, None, object)
+        numbers = flat.tolist()
+        texts[place] = [groups_of(numbers[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        places, cuts = cut_at(docs["places"])
+        found, digests, count = np.zeros((len(docs), 4), np.int64), [""] * len(docs), np.zeros(len(names), np.int64)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            at = np.minimum(places[a:b], size)
+            if len(at) and length[at].all():
+                found[i] = table[at].sum(0)
+                digests[i] = hashlib.sha256(";".join(texts[at].tolist()).encode()).hexdigest()
+                at = np.unique(at)
+                n = length[at]
+                count[np.unique(own[np.arange(n.sum()) + np.repeat(begin[at] - np.cumsum(n) + n, n)])] += 1
         held = count > 0
-        return pa.table({"link": names[held].astype(np.int64), "n": count[held]})
+        none = [None] * int(held.sum())
+        columns = {c: docs[c].to_pylist() + none for c in ("block", "row", "doc_id")}
+        columns |= {s: found[:, k].tolist() + none for k, s in enumerate(sums)} | {"groups_sha256": digests + none}
+        columns |= {"link": [None] * len(docs) + names[held].tolist(), "n": [None] * len(docs) + count[held].tolist()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
-    each = rows.select("block", "places").groupBy("block").cogroup(words.select("in_block", "place", "links").groupBy("in_block"))
-    return each.applyInArrow(run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
+    each = rows.select("block", "row", "doc_id", "places").groupBy("block").cogroup(words.select("in_block", "place", "n_groups", "links").groupBy("in_block"))
+    return each.applyInArrow(run, schema)
 
 
 def weights(infos: DataFrame, counts: DataFrame) -> DataFrame:
-    """(stretch, n_best, count_sum): over the links of a stretch, those of the highest count of their A id, and all counts."""
-    best = F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))
+    """(id, n_best, count_sum): over the links of a stretch, those of the highest count of their A id, and all counts."""
+    best = F.max("n").over(Window.partitionBy(F.shiftright("link", 31)))
     known = counts.withColumn("best", (F.col("n") == best).cast("long"))
-    each = infos.select("stretch", F.explode("links").alias("link")).groupBy("stretch", "link").agg(F.count(F.lit(1)).alias("times"))
-    return each.join(known, "link").groupBy("stretch").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    each = infos.select("id", F.explode("links").alias("code")).select("id", F.shiftright("code", 2).alias("link"))
+    return each.join(known, "link").groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
-def assembled(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Documents from their stretches; one with a stretch that is not among ``words`` has no tokens."""
-    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+def weighed(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(block, row, n_best, count_sum) of all documents; of one with an unknown stretch they mean nothing."""
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        size = 1 + int(max(known["place"].to_numpy(), default=-1))
         place = known["place"].to_numpy()
-        table = np.zeros((size, len(sums)), np.int64)
-        texts: list[str | None] = [None] * size
-        for k, name in enumerate(sums):
-            table[place, k] = known[name].to_numpy()
-        for i, t in zip(place.tolist(), known["groups"].to_pylist()):
-            texts[i] = t
-        found, digests = [], []
-        for at in docs["places"].to_pylist():
-            own = [texts[i] if i < size else None for i in at]
-            good = bool(at) and None not in own
-            found.append(table[at].sum(0) if good else np.zeros(len(sums), np.int64))
-            digests.append(hashlib.sha256(";".join(own).encode()).hexdigest() if good else "")
-        columns = np.array(found, np.int64).reshape(-1, len(sums))
-        return pa.table({"doc_id": docs["doc_id"], **{s: columns[:, k] for k, s in enumerate(sums)}, "groups_sha256": pa.array(digests, pa.string())})
-
-    each = rows.select("block", "doc_id", "places").groupBy("block").cogroup(words.select("in_block", "place", "groups", *sums).groupBy("in_block"))
-    return each.applyInArrow(run, RESULT)
+        table = np.zeros((2 + int(max(place, default=-1)), 2), np.int64)
+        table[place] = np.stack([known[c].to_numpy() for c in ("n_best", "count_sum")], 1)
+        places, cuts = cut_at(docs["places"])
+        upto = np.concatenate([[[0, 0]], np.cumsum(table[np.minimum(places, len(table) - 1)], 0)])
+        found = upto[cuts[1:]] - upto[cuts[:-1]]
+        return pa.table({"block": docs["block"], "row": docs["row"], "n_best": found[:, 0], "count_sum": found[:, 1]})
+
+    each = rows.select("block", "row", "places").groupBy("block").cogroup(words.groupBy("in_block"))
+    return each.applyInArrow(run, "block long, row int, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id and what its alignment holds, a row for each row of ``docs``."""
-    rows = stored(blocks(only(docs, id_col, text_col), block), "alignment-blocks")
+    done: list[str] = []
+    rows = stored(blocks(only(docs, id_col, text_col), block), "alignment-blocks", codec="zstd")
     places = numbered(rows)
-    infos = stored(summed(aligned(tokens(places.select("stretch").distinct(), path_a, path_b))), "alignment-stretches")
-    counts = stored(pair_counts(rows, places.join(infos, "stretch")), "alignment-counts")
-    whole = infos.withColumn("n_links", F.size("links").cast("long")).drop("links").join(weights(infos, counts), "stretch")
-    return assembled(rows, places.join(whole, "stretch"))
+    found = stored(tokens(places.select("stretch").distinct(), path_a, path_b), "alignment-tokens", done, "zstd")
+    words = stored(places.join(found.select("stretch", "id"), "stretch").select("in_block", "place", "id"), "alignment-words", codec="zstd")
+    infos = stored(summed(aligned(found)), "alignment-stretches", codec="zstd")
+    drop_scratch(docs.sparkSession, *done)
+    parts = stored(assembled(rows, words.join(infos, "id")), "alignment-documents", codec="zstd")
+    counts = parts.where("link is not null").groupBy("link").agg(F.sum("n").alias("n"))
+    sums = weighed(rows, words.join(weights(infos, counts), "id").select("in_block", "place", "n_best", "count_sum"))
+    found = parts.where("row is not null").drop("link", "n").join(sums, ["block", "row"])
+    with_tokens = lambda c: F.when(F.col("n_a") > 0, F.col(c)).otherwise(F.lit(0)).alias(c)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", with_tokens("n_best"), with_tokens("count_sum"), "groups_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

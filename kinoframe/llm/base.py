@@ -71,10 +71,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """Written as Parquet to the shared folder and read again; its path goes into ``keep``."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if keep is not None:
         keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
