@@ -91,6 +91,23 @@ def test_odd_texts(spark, docs, libraries, block):
     assert shown(alignment.align(frame, A, B, block=block).collect()) == shown(plain(texts, libraries))
 
 
+@pytest.mark.parametrize(("room", "pairs", "block"), [(0, 0, 40), (0, 1 << 16, 1 << 24), (5, 3, 40), (5, 3, 1 << 24), (1 << 17, 0, 200)])
+def test_tables_at_hand_change_no_result(spark, docs, libraries, room, pairs, block):
+    texts = [(r.doc_id, r.text) for r in docs.collect()] + [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "no id here"), (7, "the the the"), (7, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert shown(alignment.align(frame, A, B, block=block, room=room, pairs=pairs).collect()) == shown(plain(texts, libraries))
+
+
+def test_frequent_stretches_are_not_sent_to_blocks(spark):
+    frame = spark.createDataFrame([(i, f"the cat and the word{i}") for i in range(40)], "doc_id long, text string")
+    known = alignment.frequent(frame, room=4)
+    assert known[0] == " the" and set(known[1:3]) == {" and", " cat"} and len(known) == 4
+    rows = alignment.blocks(frame, 40, known)
+    held = {r.stretch: (r.common, len(r.held)) for r in alignment.holders(rows, known).collect()}
+    assert {k: held[k] for k in known} == {k: (i, 0) for i, k in enumerate(known)}
+    assert all(held[f" word{i}"] == (None, 1) for i in range(40) if f" word{i}" not in known)
+
+
 def test_stretches_give_the_text_back():
     for t in ODD:
         assert "".join(alignment.stretches(t)) == " " + t
