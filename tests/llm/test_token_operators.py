@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kinoframe.llm import packing, sentencepiece_bpe, token_counts, token_files
+from kinoframe.llm import packing, sentencepiece_bpe, token_counts, token_files, tokens
 from kinoframe.llm.base import only
 from kinoframe.llm.tokens import Dropped, Led
 from tests.llm.conftest import TEXTS
@@ -126,9 +126,29 @@ def test_backtracking_is_the_librarys_encoding(docs, nothing):
     assert sentencepiece_bpe.digests(only(nothing, "doc_id", "text"), PIECES).count() == 0
 
 
+def test_a_word_before_a_mark_is_known_from_task_to_task(docs, monkeypatch):
+    encoder = sentencepiece_bpe.encoder_of(PIECES)
+    sp, seen, whole = encoder.words.library, [], type(encoder.words).encode
+    monkeypatch.setattr(type(encoder.words), "encode", lambda self, text: seen.append(text) or whole(self, text))
+    texts = ["qualmish zzyx", "qualmish. zzyx, qualmish, zzyx.\nqualmish. q. é. 1. ². .", "qualmish.. qualmish,. 'qualmish.' ▁. a▁, "]
+    for t in texts:
+        assert encoder.encode([t])[0] == (sp.encode(t), ",".join(map(str, sp.encode(t))))
+    assert seen.count("▁qualmish") == 1 and "▁qualmish." not in seen and "▁zzyx," not in seen
+    seen.clear()
+    assert sentencepiece_bpe.encoder_of(PIECES).encode(texts[:2]) and not seen
+
+
 # --- token files ---
 
 
+def test_tasks_find_what_those_before_them_learned(monkeypatch):
+    first, texts = tokens.dropped(WORDS, 2), ["Gallimaufry, quiddity.", "quiddity gallimaufry"]
+    want = [np.array(x, "<u2").tobytes() for x in library_ids(WORDS, texts)]
+    assert first.encode(texts) == want
+    monkeypatch.setattr(tokens.Dropped, "call", lambda self, joined: 1 / 0)
+    assert tokens.dropped(WORDS, 2).encode(texts) == want
+
+
 def test_token_files_round_trip(spark, docs, nothing, odd_id, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_DOCS", 3)
     out = str(tmp_path / "a")
