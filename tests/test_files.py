@@ -21,6 +21,20 @@ def test_flv_round_trip(spark, tmp_path):
     assert got == [("a.flv", *w) for w in want] + [("b.flv", *w) for w in want[:3]]
 
 
+def test_flv_stamps_past_32_bits(spark):
+    stamps = [0, (1 << 32) - 1, 1 << 32, (1 << 32) + 40, 5, 3_999_960_000, 40_000 * 5_999_999, -40, 1 << 60]
+    rows = [(i, 8 + i % 2, t, b"\xaf\x01\x21") for i, t in enumerate(stamps)]
+    tags = spark.createDataFrame(rows, "seq long, kind long, ms long, body binary").withColumn("tag", bitstream.flv_tag(F.col("kind"), F.col("ms"), F.col("body")))
+    data = bytes(bitstream.flv_stream(tags.withColumn("k", F.lit(1)), "k").first().data)
+    for cut in (0, 1, 20, 60):
+        files = spark.createDataFrame([(1, data[: len(data) - cut])], "k long, data binary")
+        got = [(r.tag_no, r.tag_type, r.timestamp_ms, bytes(r.body)) for r in bitstream.flv_tags(files).orderBy("tag_no").collect()]
+        assert got == (rows[:-1] if cut else rows)
+    own = bitstream.flv_tag(F.lit(18), F.lit(7), F.lit(bitstream.STAMP + b"0" * 15 + b"x"))
+    (row,) = bitstream.flv_tags(spark.range(1).select(F.concat(F.lit(bitstream.FLV_HEADER), own).alias("data"))).collect()
+    assert (row.tag_type, row.timestamp_ms) == (18, 7)
+
+
 def test_wav_chunks(spark, tmp_path):
     pcm = bytes(range(256)) * 40
     with wave.open(str(tmp_path / "x.wav"), "wb") as w:
