@@ -51,6 +51,13 @@ def test_rotation_without_a_direction_is_null(spark):
     assert (row.z, row.q) == (None, 90)
 
 
+def test_ladder_bytes_of_spans_of_years(spark):
+    span = 400 * 86_400_000_000 + 1_234_567
+    rows = spark.createDataFrame([(1, 0, 5, True), (1, 1, 5 + span, False)], "stream_index long, seq long, pts_us long, is_key boolean")
+    (got,) = recipes.ladder(rows, [("high", 1920, 1080, 5_000_001)], 86_400_000_000).collect()
+    assert got.bytes == 5_000_001 * span // 8_000_000
+
+
 def test_ladder_limits():
     with pytest.raises(ValueError):
         recipes.fanned_out(None, [])
