@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 import pytest
 
-from kinoframe.operators import scans
+from kinoframe.operators import gop, scans
 
 
 @dataclass
@@ -68,3 +68,10 @@ def test_ends_of_groups_come_once(spark):
     df = spark.createDataFrame(rows, "g long, seq long, x long")
     got = scans.scanned(df, ["g"], ["x"], Total, add, "total long", cell=5, finish=lambda s: [(s.sum,)]).where("seq is null").collect()
     assert sorted((r.g, r.total) for r in got) == [(g, g * 6 + 1) for g in range(4)]
+
+
+def test_group_numbers_of_a_cache_take_no_rounds(spark, cuts):
+    rows = [(1, i, i % 4 == 0, 1) for i in range(96)]
+    df = spark.createDataFrame(rows, "stream_index long, seq long, is_key boolean, size long")
+    got = {(r.seq, r.group) for r in gop.cached(df, 2, 10, 100, cell=8).collect()}
+    assert got == {(i, i // 4) for i in range(84, 96)} and len(cuts) <= 6
