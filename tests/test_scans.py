@@ -4,8 +4,12 @@ import random
 from dataclasses import dataclass
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinoframe.operators import gop, scans
+from kinoframe.plans import registry
+from tests.compare import differences, duck
+from tests.conftest import SF
 
 
 @dataclass
@@ -75,3 +79,12 @@ def test_group_numbers_of_a_cache_take_no_rounds(spark, cuts):
     df = spark.createDataFrame(rows, "stream_index long, seq long, is_key boolean, size long")
     got = {(r.seq, r.group) for r in gop.cached(df, 2, 10, 100, cell=8).collect()}
     assert got == {(i, i // 4) for i in range(84, 96)} and len(cuts) <= 6
+
+
+def test_copied_sound_of_a_long_stream(spark, tmp_path):
+    """The thousandth of a second of the 2098th packet is past an int before it is divided."""
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.lit(0).cast("long")).crossJoin(spark.range(3)).withColumn("event_id", F.col("id") * 1_000 + F.col("event_id")).drop("id").write.parquet(f"{tmp_path}/parts")
+    con = duck(SF)
+    con.execute(f"COPY (SELECT * FROM read_parquet('{tmp_path}/parts/*.parquet')) TO '{tmp_path}/events.parquet'")
+    assert con.execute(f"SELECT count(*), count(DISTINCT event_id) FROM '{tmp_path}/events.parquet'").fetchone() == (3_000, 3_000)
+    assert differences(registry.QUERIES["mux_sound"](spark, str(tmp_path)), duck(tmp_path), registry.ORACLE["mux_sound"]) == []
