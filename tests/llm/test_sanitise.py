@@ -141,3 +141,18 @@ def test_replaced_spans_may_overlap():
 
 def test_nothing(spark, nothing):
     assert sanitise.sanitise(nothing).collect() == []
+
+
+def test_texts_full_of_personal_data_are_handed_on_in_pieces(spark):
+    """4 MB of mentions are hundreds of MB of context words."""
+    text = " ".join(f"w{chr(97 + i % 26)}x vy{chr(97 + i % 7)} u{i}@x.org 1.2.{i % 256}.3" for i in range(3_000))
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(8)], "doc_id long, text string").coalesce(1)
+    made = []
+    found = sanitise.found(type("Docs", (), {"mapInArrow": lambda self, run, schema: run})())
+    for batch in found(iter(docs.toArrow().to_batches())):
+        made.append(batch.nbytes)
+        assert batch.num_rows == 1
+    assert len(made) == 8 and max(made) < 20_000_000
+    rows = sanitise.found(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(8)) and [len(r.terms) > 0 for r in rows] == [False] * 7 + [True]
+    assert all(t.n == 8 for t in rows[-1].terms) and all(len(r.spans) == 6_000 for r in rows)
