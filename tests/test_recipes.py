@@ -1,5 +1,8 @@
 """Fan-out, recipes and byte formats on small fixtures, nulls and empty tables included."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +61,27 @@ def test_ladder_bytes_of_spans_of_years(spark):
     assert got.bytes == 5_000_001 * span // 8_000_000
 
 
+@pytest.mark.parametrize("sigmas", [(2.3, 1.5), (0, 1.2), (6.1, 0)])
+def test_gaussian_blur_of_masks_of_many_sizes_moves_pixels_once(spark, sigmas):
+    pick = random.Random(7)
+    sizes = {1: (3, 4), 2: (1, 1), 3: (140, 120), None: (5, 2), 5: (3, 4)}
+    rows = [(m, x - 2, y + m if m else y, pick.randrange(256) if pick.random() < 0.9 else None) for m, (w, h) in sizes.items() for x in range(w) for y in range(h)]
+    out = masks.gaussian_blurred(spark.createDataFrame(rows, "mask long, x int, y int, v int").repartition(3), *sigmas)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    wide, high = ((math.ceil(s) + 1) * 2 for s in sigmas)
+    want = {}
+    for m in sizes:
+        own = {(x, y): v or 0 for k, x, y, v in rows if k == m}
+        xs, ys = range(min(x for x, _ in own) - wide, max(x for x, _ in own) + wide + 1), range(min(y for _, y in own) - high, max(y for _, y in own) + high + 1)
+        now = {(x, y): own.get((x, y), 0) for x in xs for y in ys}
+        for rx, ry in zip(masks.box_radii(sigmas[0]), masks.box_radii(sigmas[1])):
+            now = {(x, y): sum(now.get((x + i, y), 0) for i in range(-rx, rx + 1)) // (2 * rx + 1) for x, y in now}
+            now = {(x, y): sum(now.get((x, y + i), 0) for i in range(-ry, ry + 1)) // (2 * ry + 1) for x, y in now}
+        want |= {(m, x, y): v for (x, y), v in now.items()}
+    got = out.collect()
+    assert len(got) == len(want) and {(r["mask"], r.x, r.y): r.v for r in got} == want
+
+
 def test_ladder_limits():
     with pytest.raises(ValueError):
         recipes.fanned_out(None, [])
